@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from quernel.llm.bpe import op4_bpe
 from quernel.llm.exact_dedup import ORACLE as OP9
 from quernel.llm.exact_dedup import op9_exact_dedup
+from quernel.llm.ngram_join import ORACLE as OP5
+from quernel.llm.ngram_join import op5_ngram_jaccard
 from quernel.llm.sharding import op8_sharding
 from quernel.llm.source_mixing import ORACLE as OP2
 from quernel.llm.source_mixing import op2_source_mixing
 from quernel.llm.url_filters import ORACLE as OP3
 from quernel.llm.url_filters import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_url_filters, op8_sharding, op9_exact_dedup)}
-ORACLES = {"op2_source_mixing": OP2, "op3_url_filters": OP3, "op9_exact_dedup": OP9}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_url_filters, op4_bpe, op5_ngram_jaccard, op8_sharding, op9_exact_dedup)}
+ORACLES = {"op2_source_mixing": OP2, "op3_url_filters": OP3, "op5_ngram_jaccard": OP5, "op9_exact_dedup": OP9}
