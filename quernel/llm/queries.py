@@ -5,6 +5,8 @@ from __future__ import annotations
 from quernel.llm.bpe import op4_bpe
 from quernel.llm.exact_dedup import ORACLE as OP9
 from quernel.llm.exact_dedup import op9_exact_dedup
+from quernel.llm.language_id import op6_language_id
+from quernel.llm.media import op7_media_columns
 from quernel.llm.ngram_join import ORACLE as OP5
 from quernel.llm.ngram_join import op5_ngram_jaccard
 from quernel.llm.sharding import op8_sharding
@@ -14,5 +16,5 @@ from quernel.llm.suffix_dedup import op1_suffix_array_dedup
 from quernel.llm.url_filters import ORACLE as OP3
 from quernel.llm.url_filters import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_url_filters, op4_bpe, op5_ngram_jaccard, op8_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_url_filters, op4_bpe, op5_ngram_jaccard, op6_language_id, op7_media_columns, op8_sharding, op9_exact_dedup)}
 ORACLES = {"op2_source_mixing": OP2, "op3_url_filters": OP3, "op5_ngram_jaccard": OP5, "op9_exact_dedup": OP9}
