@@ -21,9 +21,12 @@ import json
 from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 SPACES = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: Unicode white space
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"  # fixed values
@@ -180,40 +183,56 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _encode_batches(path: str, keep_ids: bool):
-    fields = [("row_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    schema = pa.schema(fields + ([("ids", pa.list_(pa.int64())), ("decoded", pa.string())] if keep_ids else []))
+def _encode_batches(path: str, carried: int, keep_ids: bool):
+    """Columns of the encoding after ``carried`` columns of the input; the text is the last column of the input."""
 
     def run(batches):
         words = vocabulary(path)
         for batch in batches:
-            rows = batch.column(0)
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                counts, hashes, back, ids, decoded = [], [], [], [], []
-                for value in part.column(1):
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                counts, hashes, back, ids = [], [], [], []
+                for value in part.column(part.num_columns - 1):
                     encoded = words.encode(value.as_py() or "")
-                    text = words.decode(encoded)
                     counts.append(len(encoded) // 4)
                     hashes.append(hashlib.sha256(encoded).hexdigest())
-                    back.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
+                    back.append(hashlib.sha256(words.decode(encoded).encode("utf-8")).hexdigest())
                     if keep_ids:
-                        ids.append(memoryview(encoded).cast("I").tolist())
-                        decoded.append(text)
-                columns = [rows.slice(first, part.num_rows), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
+                        ids.append(encoded)
+                columns = [part.column(i) for i in range(carried)] + [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
+                names = part.schema.names[:carried] + ["n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array(ids, pa.list_(pa.int64())), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """row_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, the ids and the decoded text."""
-    schema = "row_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if keep_ids else "")
-    return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS row_id", f"`{text_col}` AS text").mapInArrow(_encode_batches(path or tokenizer_path(), keep_ids), schema)
+def encode_texts(docs: DataFrame, path: str | None = None, text_col: str = "text", carry: tuple = ("doc_id",), keep_ids: bool = True) -> DataFrame:
+    """The columns ``carry`` of every row of ``docs`` with n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, the ids."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("text_to_encode"))
+    schema = StructType([f for f in rows.schema.fields[:-1]])
+    for name, kind in [("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType())] + [("ids", ArrayType(IntegerType()))] * keep_ids:
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(_encode_batches(path or tokenizer_path(), len(carry), keep_ids), schema)
+
+
+def decode_ids(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", carry: tuple = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` with ``text``: the decoded ids. Null ids decode to null."""
+    path = path or tokenizer_path()
+    rows = encoded.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+
+    def run(batches):
+        words = vocabulary(path)
+        for batch in batches:
+            texts = [words.decode(array("I", value).tobytes()) if value is not None else None for value in batch.column(len(carry)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(texts, pa.string())], [*batch.schema.names[: len(carry)], "text"])
+
+    return rows.mapInArrow(run, StructType(rows.schema.fields[:-1]).add("text", StringType()))
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_texts(docs, keep_ids=False).withColumnRenamed("row_id", "doc_id")
+    return encode_texts(docs, keep_ids=False)

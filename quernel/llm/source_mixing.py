@@ -67,11 +67,11 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap
 
 
 def word_streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """Places of documents in their source's shuffled stream (row_id, source, size, text_hash, bucket, place, at), and totals."""
+    """Places of documents in their source's shuffled stream (row_id, source, size, row_hash, bucket, place, at), and totals."""
     rows = docs.select(
         F.col(id_col).alias("row_id"), source_key(F.col(source_col)).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_hash"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
     ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     rows = materialize(rows, "sizes")
@@ -79,13 +79,13 @@ def word_streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -
     totals = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
-    order = Window.partitionBy("source", "bucket").orderBy("key", F.col("row_id").asc_nulls_first(), "size", "text_hash")
+    order = Window.partitionBy("source", "bucket").orderBy("key", F.col("row_id").asc_nulls_first(), "size", "row_hash")
     inner = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.select(
         "*", F.row_number().over(order).alias("place"), F.coalesce(F.sum("size").over(inner), F.lit(0)).alias("within")
     )
     return placed.join(starts, ["source", "bucket"]).select(
-        "row_id", "source", "size", "text_hash", "bucket", "place", (F.col("start") + F.col("within")).alias("at")
+        "row_id", "source", "size", "row_hash", "bucket", "place", (F.col("start") + F.col("within")).alias("at")
     ), totals
 
 
@@ -137,7 +137,7 @@ def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
     share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """The mix as pieces (slot, row_id, source, size, text_hash, bucket, place, pass, first_word, n_words), and all documents with their targets."""
+    """The mix as pieces (slot, row_id, source, size, row_hash, bucket, place, pass, first_word, n_words), and all documents with their targets."""
     streams, totals = word_streams(docs, id_col, text_col, source_col)
     targets = materialize(source_targets(totals, weights, share, cap), "targets")
     placed = streams.join(targets, "source").select(*streams.columns, "source_size", "target", F.round("target").cast("long").alias("words"))
@@ -156,12 +156,28 @@ def mix_sources(
         .filter("from_word < to_word")
     )
     mixed = pieces.join(slots, ["source", "rank"]).select(
-        "slot", "row_id", "source", "size", "text_hash", "bucket", "place", "pass",
+        "slot", "row_id", "source", "size", "row_hash", "bucket", "place", "pass",
         (F.col("from_word") - F.col("at")).alias("first_word"), (F.col("to_word") - F.col("from_word")).alias("n_words"),
     )
     return mixed, placed
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix as rows of ``docs``: one for each pass that takes words of a document. Where a pass ends inside a document, the
+    words taken are joined by single spaces. Rows that share id, text and source are interchangeable."""
+    pieces, _ = mix_sources(docs, id_col, text_col, source_col, **options)
+    passes = pieces.groupBy("row_hash", "row_id", "source", "bucket", "place", "size", "pass").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
+    passes = passes.select("row_hash", F.coalesce(F.col("row_id").cast("string"), F.lit("")).alias("row_name"), "size", "first_word", "n_words")
+    named = docs.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_hash"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row_name"),
+    ).dropDuplicates(["row_hash", "row_name"])
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ")
+    joined = named.join(passes, ["row_hash", "row_name"])
+    return joined.withColumn(text_col, F.when(F.col("n_words") < F.col("size"), cut).otherwise(F.col(text_col))).select(docs.columns)
+
+
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
     mixed, placed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = mixed.groupBy("source", "bucket", "place").agg(F.sum("n_words").alias("taken"))
