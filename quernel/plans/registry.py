@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quernel.plans import flow, graph, lookup
+
+QUERIES = lookup.QUERIES | graph.QUERIES | flow.QUERIES
+ORACLES = lookup.ORACLES | graph.ORACLES | flow.ORACLES
