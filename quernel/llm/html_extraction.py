@@ -17,7 +17,8 @@ wrappers meet in salted groups and then by host, so a hot host costs one small t
 host; they are broadcast only when a count shows them to be few.
 
 Defined results: null html is empty and gives an empty text, as does a page without main text; a null URL or one without
-``://`` is the host ''; unclosed and stray tags are tolerated, and a tag or comment that never ends swallows the rest; an
+``://`` is the host ''; unclosed and stray tags are tolerated, elements
+nested more than MOST_DEPTH deep only end blocks, and a tag or comment that never ends swallows the rest; an
 empty table gives an empty result; repeated rows are extracted alike.
 """
 
@@ -46,6 +47,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
 FIXED_PAGES = 5
 MOST_HOSTS = 2000
+MOST_DEPTH = 150
 TEXTY = {"p", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt"}
 TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
@@ -104,6 +106,7 @@ def parse(page: str) -> Element:
     """The element tree of block elements; inline elements are their text, <br> is white space."""
     root = Element("#page", ())
     stack = [root]
+    deeper: list[str] = []  # open elements below MOST_DEPTH: they only end blocks
     at = 0
 
     def text(piece: str) -> None:
@@ -125,7 +128,10 @@ def parse(page: str) -> Element:
         attributes = page[found.end() : end - 1]
         at = end
         if found[1]:
-            if name in BLOCKS or any(e.tag == name for e in stack[1:]):
+            if name in deeper:
+                del deeper[len(deeper) - 1 - deeper[::-1].index(name) :]
+                stack[-1].parts.append(Element("hr", ()))
+            elif name in BLOCKS or any(e.tag == name for e in stack[1:]):
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == name:
                         del stack[depth:]
@@ -146,7 +152,7 @@ def parse(page: str) -> Element:
             continue
         words = words_of(attributes) if attributes.strip() else ()
         if name not in BLOCKS:
-            if words and not SIDE_WORDS.isdisjoint(words) and not attributes.rstrip().endswith("/"):
+            if words and not SIDE_WORDS.isdisjoint(words) and not attributes.rstrip().endswith("/") and len(stack) < MOST_DEPTH:
                 element = Element(name, words)  # an inline element that is marked as boilerplate
                 stack[-1].parts.append(element)
                 stack.append(element)
@@ -158,6 +164,10 @@ def parse(page: str) -> Element:
                 break
             if stack[depth].tag in LISTS or (stack[depth].tag in BLOCKS and stack[depth].tag not in TEXTY):
                 break
+        if len(stack) >= MOST_DEPTH:
+            deeper.append(name)
+            stack[-1].parts.append(Element("hr", ()))
+            continue
         element = Element(name, words)
         stack[-1].parts.append(element)
         stack.append(element)

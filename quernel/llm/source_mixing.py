@@ -168,14 +168,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces, _ = mix_sources(docs, id_col, text_col, source_col, **options)
     passes = pieces.groupBy("row_hash", "row_id", "source", "bucket", "place", "size", "pass").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
     passes = passes.select("row_hash", F.coalesce(F.col("row_id").cast("string"), F.lit("")).alias("row_name"), "size", "first_word", "n_words")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     named = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_hash"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row_name"),
+        whole.alias("row"), F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_hash"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row_name")
     ).dropDuplicates(["row_hash", "row_name"])
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ")
+    text = F.col(f"row.`{text_col}`")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ")
+    taken = F.when(F.col("n_words") < F.col("size"), cut).otherwise(text)
     joined = named.join(passes, ["row_hash", "row_name"])
-    return joined.withColumn(text_col, F.when(F.col("n_words") < F.col("size"), cut).otherwise(F.col(text_col))).select(docs.columns)
+    return joined.select(*[taken.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
