@@ -33,13 +33,13 @@ def contains_all(have: Column, wanted: list[str]) -> Column:
 
 def ranked_search(
     rows: DataFrame, id_col: str, name: Column, corpus: Column, query: str | None = None, ingredients: list[str] = (),
-    equal: dict[Column, str | None] | None = None, subsets: list[tuple[Column, list[str]]] = (), total_time: Column | None = None,
+    equal: list[tuple[Column, str | None]] = (), subsets: list[tuple[Column, list[str]]] = (), total_time: Column | None = None,
     maximum_time: int | None = None, top_k: int = 5,
 ) -> DataFrame:
     """Faceted search: ``name`` and ``corpus`` are normalised texts. Rows without any hit go if there is a text term; the first
     ``top_k`` by falling score, name and id stay."""
     terms = [t for t in (fold_text(query or ""), *map(fold_text, ingredients)) if t]
-    for column, wanted in (equal or {}).items():
+    for column, wanted in equal:
         rows = rows.filter(equals_filter(column, wanted))
     for have, wanted in subsets:
         rows = rows.filter(contains_all(have, wanted))
