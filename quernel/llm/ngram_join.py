@@ -12,14 +12,15 @@ A document's set is its distinct ``k``-word shingles after lower-casing A-Z. Two
   their prefix: the ``n - ceil(percent% n) + 1`` first in one global order. That order puts shingles that a counting
   sketch over all documents finds frequent last, so lists are short. Pairs must pass the length and the position filter.
 * The boundary is where the subsets of all classes of a size cost more than their lists.
-* A long list is first compared with one hub, a member of its largest component so far; members already connected are
-  never compared with each other, so a large group of near copies costs a number of pairs in proportion to its
-  size. When few cross pairs are left in a list, or after ``hub_rounds``, all remaining cross pairs are compared, so that
-  no link that would join two components is lost.
-* Every candidate is verified on the two whole sets.
+* A list is first compared with one hub, its most central member (whose other shingles stand in long lists too). Members that
+  are connected by then are never compared with each other, so a large group of near copies costs pairs in proportion to
+  its size. When few pairs across components are left in a list, or after ``hub_rounds``, all of them are compared, so that
+  no link that would join two components is lost; a list with many gets another hub outside its largest component first. A
+  pair whose entries in a list also have the token before in common is left to that token's list.
+* Every candidate is verified: first by profiles (how many shingles fall into each of PROFILE hash ranges bounds the overlap
+  from above), then on the two whole sets.
 
-Broadcast are a counting sketch of ``2 ** SKETCH_BITS`` cells and a Bloom filter of ``2 ** BLOOM_BITS`` bits, fixed sizes that
-decide about cost only.
+Broadcast are a counting sketch of ``2 ** SKETCH_BITS`` cells and a Bloom filter of at most 16 MB, which decide about cost only.
 
 Defined results: null texts and texts without words have an empty set (0 shingles) and are their own component; with
 fewer than ``k`` words the whole sequence is the one shingle; rows without an id get no component and link with nothing;
@@ -32,18 +33,21 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm import arrow_text as at
+from quernel.llm import bloom as blooms
 from quernel.llm.components import connected_components
 from quernel.session import materialize
 
 SKETCH_BITS, SKETCH_PART_BITS = 20, 16
-BLOOM_BITS = 25
+PROFILE = 256  # hash ranges of a set's profile
+COARSE = 16  # hash ranges of the coarser one that list entries are compared by
 VERIFY_COST = 8  # comparing along one list entry costs as much as so many subset rows
-SHORT_LIST = 4  # a list is compared in full when it has at most so many cross pairs per member
+SHORT_LIST = 1024  # a list is compared in full when it has at most so many cross pairs per member, before the filters
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -135,9 +139,70 @@ def shingle_frequency(described: DataFrame) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / (2 * usual))) + 1).astype(np.uint8)
 
 
+def _profiles(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """How many shingles of each set fall into each of PROFILE hash ranges; null where a count could overflow."""
+    rows = len(bounds) - 1
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    cell = row * PROFILE + ((hashes >> np.uint64(40)) & np.uint64(PROFILE - 1)).astype(np.int64)
+    counts = np.bincount(cell, minlength=rows * PROFILE).reshape(rows, PROFILE)
+    return [c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else None for c in counts]
+
+
+def _may_link(percent: int):
+    """Pairs (a, b, profile_a, profile_b) whose profiles allow the overlap that a link needs: two sets share no more
+    shingles than the smaller count of each range."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            keep = np.ones(batch.num_rows, dtype=bool)
+            both = np.flatnonzero((a.is_valid().to_numpy(zero_copy_only=False)) & (b.is_valid().to_numpy(zero_copy_only=False)))
+            if len(both):
+                left, right = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, PROFILE) for c in (a, b))
+                most, sizes = (x.sum(axis=1, dtype=np.int64) for x in (np.minimum(left, right), np.hstack([left, right])))
+                keep[both] = 100 * most >= percent * (sizes - most)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def _coarse_profiles(batches):
+    """Profiles added up to COARSE ranges, as arrays; an unknown profile is an empty array."""
+    for batch in batches:
+        rows = [[] if p is None else np.frombuffer(p, np.uint8).reshape(COARSE, -1).sum(axis=1).tolist() for p in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["cid", "ranges"])
+
+
+def _overlapping(percent: int, x: str, y: str) -> str:
+    """Whether the coarse profiles of two list entries allow a link."""
+    most = f"aggregate(zip_with({x}.ranges, {y}.ranges, (a, b) -> least(a, b)), 0, (t, v) -> t + v)"
+    return f"(size({x}.ranges) = 0 OR size({y}.ranges) = 0 OR {100 + percent} * {most} >= {percent} * ({x}.n + {y}.n))"
+
+
+def _only_shared(bloom):
+    """List entries: prefixes cut down to tokens that may be shared, each with the one before it (null for the first)."""
+    schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("token", pa.int64()), ("before", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            size = np.diff(lists.offsets.to_numpy())
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            hit = bloom.value.may_hold(tokens)
+            row, tokens = row[hit], tokens[hit]
+            first = np.diff(row, prepend=-1) != 0
+            before = pa.array(np.roll(tokens, 1), mask=first)
+            cid, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[row]), pa.array(n[row]), pa.array(pos[hit].astype(np.int32)), pa.array(tokens), before], schema=schema)
+
+    return run
+
+
 def _enter(k: int, percent: int, boundary: int, rank):
     """Keys of each document: subsets of light sets, prefix shingles of the others."""
-    schema = pa.schema([("row_id", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("subset_sizes", pa.list_(pa.int32()))])
+    schema = pa.schema([("row_id", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("subset_sizes", pa.list_(pa.int32())), ("profile", pa.binary())])
     mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def subset_keys(items: np.ndarray) -> tuple[list[int], list[int]]:
@@ -174,50 +239,21 @@ def _enter(k: int, percent: int, boundary: int, rank):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(one), pa.array(two), pa.array(n.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))),
-                     pa.array(subsets, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], schema=schema)
+                     pa.array(subsets, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(_profiles(hashes, bounds), pa.binary())], schema=schema)
 
     return run
 
 
-def _bloom_slots(ids: np.ndarray) -> list[np.ndarray]:
-    h = at.mix(ids.view(np.uint64))
-    return [((h >> np.uint64(s)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64) for s in (0, 18, 36)]
-
-
-def _bloom_of(batches):
-    bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
-    for batch in batches:
-        for slot in _bloom_slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)):
-            bits[slot] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-
-def _or_bits(batches):
-    total = np.zeros(1 << (BLOOM_BITS - 3), dtype=np.uint8)
-    for batch in batches:
-        for bits in batch.column(0).to_pylist():
-            total |= np.frombuffer(bits, np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["bits"])
-
-
-def id_bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of a column of longs, always of the same size."""
-    partial = ids.coalesce(64).mapInArrow(_bloom_of, "bits binary")
-    row = partial.coalesce(1).mapInArrow(_or_bits, "bits binary").first()
-    return np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool) if row else np.zeros(1 << BLOOM_BITS, bool)
-
-
 def _fetch(k: int, bloom):
-    schema = pa.schema([("cid", pa.int64()), ("cid2", pa.int64()), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("cid", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            slots = _bloom_slots(ids)
-            hit = bloom.value[slots[0]] & bloom.value[slots[1]] & bloom.value[slots[2]]
+            hit = bloom.value.may_hold(ids)
             for first, last, hashes, bounds in _sets(batch.filter(pa.array(hit)), k) if hit.any() else ():
-                _, one, two = _class_ids(hashes, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], schema=schema)
+                _, one, _ = _class_ids(hashes, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], schema=schema)
 
     return run
 
@@ -249,7 +285,7 @@ def _feasible(percent: int, x: str, y: str) -> str:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hub_rounds: int = 4,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hub_rounds: int = 2,
 ) -> DataFrame:
     """row_id, n_shingles, component_id for every row of ``docs``."""
     spark = docs.sparkSession
@@ -260,47 +296,71 @@ def jaccard_components(
     sizes = {r["n"]: r["count"] for r in classes.filter("n <= 24").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, percent)
     rank = spark.sparkContext.broadcast(shingle_frequency(described))
-    entered = texts.filter("row_id IS NOT NULL").mapInArrow(_enter(k, percent, boundary, rank), "row_id long, cid long, cid2 long, n int, prefix array<long>, subsets array<long>, subset_sizes array<int>")
+    entered = texts.filter("row_id IS NOT NULL").mapInArrow(_enter(k, percent, boundary, rank), "row_id long, cid long, cid2 long, n int, prefix array<long>, subsets array<long>, subset_sizes array<int>, profile binary")
     reps = classes.select(F.col("rep").alias("row_id"), "cid", "cid2")
-    entered = materialize(entered.filter("n > 0").join(reps, ["row_id", "cid", "cid2"], "left_semi"), "keys")
+    entered = entered.filter("n > 0").join(reps, ["row_id", "cid", "cid2"], "left_semi").dropDuplicates(["row_id", "cid", "cid2"])
+    entered = materialize(entered, "keys")
     subset_keys = entered.filter("size(subsets) > 0").select("cid", "n", F.explode(F.arrays_zip("subsets", "subset_sizes")).alias("k")).select(
         F.col("k.subsets").alias("key"), F.col("k.subset_sizes").alias("size"), "cid", "n"
-    ).distinct()
-    entries = entered.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entered.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
-    lists = materialize(entries.join(shared, "token", "left_semi").distinct(), "lists")
-    light = materialize(subset_candidates(subset_keys, percent).distinct(), "light")
-
-    needed = lists.select("cid").union(light.select("a")).union(light.select("b")).distinct()
-    wanted = materialize(classes.join(needed, "cid", "left_semi").select("cid", "cid2", "rep"), "wanted")
-    bloom = spark.sparkContext.broadcast(id_bloom(wanted.select("rep")))
-    fetched = texts.mapInArrow(_fetch(k, bloom), "cid long, cid2 long, items array<long>")
-    sets = materialize(fetched.join(wanted.select("cid", "cid2"), ["cid", "cid2"]).dropDuplicates(["cid", "cid2"]), "sets")
-
-    links = materialize(verify(light, sets, percent), "links")
-    members = lists.select("token", "cid", "n", "pos")
-    for step in range(hub_rounds + 1):
-        roots = None if step == 0 else connected_components(links)
-        if roots is not None:
-            members = members.drop("root").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        else:
-            members = members.withColumn("root", F.col("cid"))
-        groups = members.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("cid", F.lit(step)).alias("h"), "cid", "n", "pos")).alias("one"))
+    )
+    shared = materialize(entered.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"), "shared")
+    thin = spark.sparkContext.broadcast(blooms.build(shared.select("token")))
+    entries = entered.filter("size(prefix) > 0").select("cid", "n", "prefix")
+    lists = materialize(entries.mapInArrow(_only_shared(thin), "cid long, n int, pos int, token long, before long").join(shared, "token"), "lists")
+    # A class whose shingles stand in long lists is central to its group: the hub that most others link with.
+    members = lists.drop("length").join(lists.groupBy("cid").agg(F.sum("length").alias("support")), "cid")
+    members = materialize(members, "members")
+    profiles = entered.select("cid", "profile")
+    light = subset_candidates(subset_keys, percent)
+
+    sets = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verified pairs: first by profiles, then on the whole sets, which are computed again from the texts of just the
+        classes that the pairs name and that earlier rounds have not fetched."""
+        nonlocal sets
+        left, right = (profiles.select(F.col("cid").alias(c), F.col("profile").alias(f"profile_{c}")) for c in "ab")
+        pairs = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "profile_a", "profile_b")
+        pairs = materialize(pairs.mapInArrow(_may_link(percent), "a long, b long"), "pairs")
+        named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        missing = named if sets is None else named.join(sets.select("cid"), "cid", "left_anti")
+        wanted = materialize(classes.join(missing, "cid", "left_semi").select("rep"), "wanted")
+        bloom = blooms.build(wanted)
+        if sets is None or bloom.words.any():  # a false positive of the filter is one set too many, no more
+            fetched = texts.mapInArrow(_fetch(k, spark.sparkContext.broadcast(bloom)), "cid long, items array<long>")
+            fetched = materialize(fetched.dropDuplicates(["cid"]), "sets")
+            sets = fetched if sets is None else sets.unionByName(fetched.join(sets.select("cid"), "cid", "left_anti"))
+        return materialize(verify(pairs, sets, percent), "links")
+
+    hubs = members.groupBy("token").agg(F.max(F.struct("support", "cid", "n", "pos")).alias("one"))
+    coarse = profiles.mapInArrow(_coarse_profiles, "cid long, ranges array<int>")
+    links, extra, step = None, light, 0
+    while True:
+        to_hub = members.alias("x").join(hubs.alias("s"), F.expr("x.token = s.token AND x.cid <> s.one.cid AND " + _feasible(percent, "x", "s.one")))
+        pairs = to_hub.select(F.least("x.cid", "s.one.cid").alias("a"), F.greatest("x.cid", "s.one.cid").alias("b"))
+        found = linked(pairs if extra is None else pairs.union(extra))
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links).select(F.col("node").alias("cid"), "root")
+        members = members.drop("root").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        groups = members.groupBy("token", "root").agg(F.count("*").alias("c"))
         stats = groups.groupBy("token").agg(
-            F.max(F.struct("c", "one")).alias("hub"), F.sum("c").alias("total"),
+            F.max(F.struct("c", "root")).alias("largest"), F.sum("c").alias("total"),
             ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"),
-        ).filter("cross > 0").select("token", "hub.one", "total", "cross")
-        stats = materialize(stats.withColumn("full", (F.col("cross") <= SHORT_LIST * F.col("total")) | F.lit(step == hub_rounds)), "stats")
-        full = members.join(stats.filter("full").select("token"), "token", "left_semi")
+        ).filter("cross > 0")
+        step += 1
+        stats = materialize(stats.withColumn("full", (F.col("cross") <= SHORT_LIST * F.col("total")) | F.lit(step >= hub_rounds)), "stats")
+        members = materialize(members.join(stats.select("token", "full", F.col("largest.root").alias("largest")), "token"), "members")
+        full = members.filter("full").join(coarse, "cid")
         x, y = full.alias("x"), full.alias("y")
-        pairs = x.join(y, F.expr("x.token = y.token AND x.root <> y.root AND x.cid < y.cid AND " + _feasible(percent, "x", "y"))).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        long_lists = stats.filter("NOT full").select("token", "one")
-        hub_pairs = members.alias("x").join(long_lists.alias("s"), F.expr("x.token = s.token AND x.cid <> s.one.cid AND " + _feasible(percent, "x", "s.one"))).select(F.least("x.cid", "s.one.cid").alias("a"), F.greatest("x.cid", "s.one.cid").alias("b"))
-        found = materialize(verify(pairs.union(hub_pairs).distinct(), sets, percent), "links")
-        links = links.union(found)
-        if long_lists.isEmpty():
+        pairs = x.join(y, F.expr("x.token = y.token AND x.root <> y.root AND x.cid < y.cid AND (x.before IS NULL OR y.before IS NULL OR x.before <> y.before) AND " + _feasible(percent, "x", "y") + " AND " + _overlapping(percent, "x", "y")))
+        extra = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        # the next hub of a long list: the most central member outside its largest component
+        members = members.filter("NOT full").drop("full")
+        hubs = members.filter("root <> largest").groupBy("token").agg(F.max(F.struct("support", "cid", "n", "pos")).alias("one"))
+        members = members.drop("largest")
+        if stats.filter("NOT full").isEmpty():
+            links = links.unionByName(linked(extra))
             break
-        members = materialize(members.join(long_lists.select("token"), "token", "left_semi"), "members")
     roots = connected_components(links)
     of_class = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "cid2", "rep", F.coalesce("root", "cid").alias("root"))
     lowest = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -314,8 +374,16 @@ def jaccard_components(
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which one stays for each component: the one with the smallest id. Rows without an id stay."""
     labels = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = labels.filter("row_id <> component_id").select(F.col("row_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = materialize(labels.filter("row_id <> component_id").select(F.col("row_id").alias(id_col)).distinct(), "gone")
+    bloom = docs.sparkSession.sparkContext.broadcast(blooms.build(gone))
+
+    @F.pandas_udf("boolean")
+    def may_go(ids: pd.Series) -> pd.Series:
+        return pd.Series(bloom.value.may_hold(ids.fillna(-1).to_numpy().astype(np.int64)))
+
+    # only texts that may go are shuffled for the exact join
+    marked = may_go(F.col(f"`{id_col}`").cast("long"))
+    return docs.filter(~marked).unionByName(docs.filter(marked).join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
