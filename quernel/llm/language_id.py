@@ -4,8 +4,10 @@ Subwords are the byte n-grams (2, 3 and 4 long) of lower-cased words with their
 hashes to one of ``2 ** BUCKET_BITS`` embeddings; a text is the average of its subwords' embeddings, classified by a linear
 softmax. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows: at most
 ``per_language`` documents of each language, those whose id hashes lowest, as whole texts and as short runs of their words.
-A fifth of the sample is set aside to fit the temperature of the softmax and the score below which a text is rejected,
-so that at most ``reject_rate`` of texts like the labelled ones are.
+At most 1,000 languages, those with most rows, are learned. One more class stands for everything else: its examples are
+subwords drawn at random, as a text in an unknown language or script would hash. A fifth of the sample is set aside to fit
+the temperature of the softmax and the score below which a text is rejected, so that at most ``reject_rate`` of texts
+like the labelled ones are. The score is the probability of the predicted language, which is never the extra class.
 
 As the model is linear in the average, embedding and classifier fold into one table of bucket by language, which is what is
 broadcast (its size is fixed by the bucket count and the number of languages); whole texts are scored in one pass.
@@ -33,6 +35,7 @@ SIZES = (2, 3, 4)
 SCORE_SLICE = 500_000
 PER_LANGUAGE = 400
 REJECT_RATE = 0.002
+EMBEDDING_RATE = 20  # an embedding's share of a text is small, its steps are longer than those of the classifier
 LETTER = np.full(256, 0x20, dtype=np.uint8)
 LETTER[97:123] = np.arange(97, 123)
 LETTER[65:91] = np.arange(97, 123)
@@ -42,7 +45,7 @@ LETTER[128:] = np.arange(128, 256)
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # bucket by language
+    table: np.ndarray  # bucket by language, and the extra class last
     bias: np.ndarray
     temperature: float
     threshold: float  # texts with a lower score are rejected
@@ -81,7 +84,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray):
 
 def _logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
-    total, count = np.zeros((rows, len(model.languages))), np.zeros(rows)
+    total, count = np.zeros((rows, len(model.bias))), np.zeros(rows)
     for bucket, text in subwords(data, offsets):
         if len(bucket):
             first = np.flatnonzero(np.diff(text, prepend=-1))
@@ -92,7 +95,7 @@ def _logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _long_logits(model: Model, data: np.ndarray) -> np.ndarray:
     """Of one long text, in pieces that overlap so that each n-gram is counted in just one."""
-    total, count = np.zeros(len(model.languages)), 0
+    total, count = np.zeros(len(model.bias)), 0
     letters = np.concatenate([[0x20], LETTER[data], [0x20]]).astype(np.uint8)
     for start in range(0, len(letters), SCORE_SLICE):
         part = letters[start : start + SCORE_SLICE + SIZES[-1] - 1]
@@ -161,8 +164,18 @@ def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, ra
     data = [(np.array(r["buckets"]), np.array(r["counts"], dtype=np.float64) / sum(r["counts"]), number[r["lang"]], r["part"], r["order"] % 5 == 0) for r in rows]
     train, check = [d for d in data if not d[4]] or data, [d for d in data if d[4]] or data
     rng = np.random.default_rng(seed)
+
+    def others(like: list) -> list:
+        """Random subwords in the sizes of every third example."""
+        made = []
+        for d in like[::3]:
+            buckets, counts = np.unique(rng.integers(0, 1 << BUCKET_BITS, max(2, len(d[0]))), return_counts=True)
+            made.append((buckets, counts / counts.sum(), len(languages), -1, d[4]))
+        return made
+
+    train, check = train + others(train), check + others(check)
     embedding = rng.normal(0, 1 / DIMENSION, (1 << BUCKET_BITS, DIMENSION))
-    weights, bias = np.zeros((DIMENSION, len(languages))), np.zeros(len(languages))
+    weights, bias = np.zeros((DIMENSION, len(languages) + 1)), np.zeros(len(languages) + 1)
     step, steps = 0, epochs * len(train)
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
@@ -176,15 +189,15 @@ def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, ra
             back = weights @ error
             weights -= lr * np.outer(hidden, error)
             bias -= lr * 0.1 * error
-            embedding[buckets] = part - (lr * 50 * share)[:, None] * back
+            embedding[buckets] = part - (lr * EMBEDDING_RATE * share)[:, None] * back
     table = embedding @ weights
     logits = np.array([share @ table[buckets] + bias for buckets, share, *_ in check])
     labels, whole = np.array([d[2] for d in check]), np.array([d[3] == 0 for d in check])
-    grid = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0]
+    grid = [2.0**k for k in range(-4, 9)]
     loss = [-np.log(_softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
     temperature = grid[int(np.argmin(loss))]
-    top = _softmax(logits / temperature).max(axis=1)
-    threshold = float(np.quantile(top[whole], reject_rate)) / 2 if whole.any() else 0.0
+    top = _softmax(logits / temperature)[:, :-1].max(axis=1)
+    threshold = min(0.5, float(np.quantile(top[whole], reject_rate)) / 2) if whole.any() else 0.0
     return Model(languages, table, bias, temperature, threshold)
 
 
@@ -200,7 +213,7 @@ def _predict_batches(shared):
             for first, last, part, bounds in at.slices(data, offsets, SCORE_SLICE):
                 logits = _long_logits(model, part)[None] if last - first == 1 and len(part) > SCORE_SLICE else _logits(model, part, bounds)
                 chance = _softmax(logits / model.temperature)
-                best[first:last], top[first:last] = chance.argmax(axis=1), chance.max(axis=1)
+                best[first:last], top[first:last] = chance[:, :-1].argmax(axis=1), chance[:, :-1].max(axis=1)
         else:
             has_letter = np.zeros(len(column), dtype=bool)
         top = np.where(has_letter, top, 0.0)
