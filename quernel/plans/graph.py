@@ -163,7 +163,7 @@ def catalog_domain_join(spark, sf):
     classes, properties = part_catalog(spark)
     allowed = catalog.properties_of_classes(classes, properties)
     parts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("t:"), "p_type").alias("class"))
-    return parts.join(F.broadcast(allowed.limit(1000)), "class").select("p_partkey", "kind", "property")
+    return parts.join(allowed, "class").select("p_partkey", "kind", "property")
 
 
 def order_patch(spark, sf):
