@@ -59,3 +59,17 @@ def test_no_labels_and_no_rows(make_docs):
 def test_reruns_agree(spark, sf):
     a, b = (sorted(map(tuple, L.op6_language_id(spark, sf).collect())) for _ in range(2))
     assert a == b
+
+
+def test_unknown_scripts_and_noise_are_rejected(make_docs, model):
+    texts = ["Ελληνικά γλώσσα είναι " * 10, "これは日本語の文章です" * 5, "Привет мир как дела " * 5]
+    rows = L.identify(make_docs([(i, t, None, None) for i, t in enumerate(texts)]), model).collect()
+    assert all(r["rejected"] and r["score"] < 0.5 and r["lang_pred"] in model.languages for r in rows)
+
+
+def test_scores_are_calibrated(spark, model):
+    """The mean score of held-out rows is near the share that is right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = L.identify(docs, model).withColumnRenamed("row_id", "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter(L.held_out_rows("doc_id")).collect()
+    right = sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows)
+    assert abs(sum(r["score"] for r in rows) / len(rows) - right) < 0.05
