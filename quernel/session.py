@@ -34,12 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_folders: list[str] = []  # what this driver has written with materialize()
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps survive the loss of executors."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"quernel-{uuid.uuid4().hex}", name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = os.path.join(shared_dir(spark), f"quernel-{uuid.uuid4().hex}")
+    _folders.append(folder)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this driver has materialized; call it once results are written. Returns their number."""
+    done = 0
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
