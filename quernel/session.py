@@ -26,12 +26,10 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quernel-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernel-"))
+    return named or context.getCheckpointDir()
 
 
 _folders: list[str] = []  # what this driver has written with materialize()
