@@ -13,4 +13,4 @@ def test_materialized_tables_are_released(spark):
 
 def test_shared_folder_is_set_once(spark):
     first = session.shared_dir(spark)
-    assert session.shared_dir(spark) == session.shared_dir(spark) == spark.sparkContext.getCheckpointDir() and first
+    assert first and session.shared_dir(spark) == first and spark.sparkContext.getCheckpointDir()
