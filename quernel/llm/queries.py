@@ -5,6 +5,7 @@ from __future__ import annotations
 from quernel.llm.bpe import op4_bpe
 from quernel.llm.exact_dedup import ORACLE as OP9
 from quernel.llm.exact_dedup import op9_exact_dedup
+from quernel.llm.html_extraction import ORACLE as OP10
 from quernel.llm.html_extraction import op10_html_extraction
 from quernel.llm.language_id import op6_language_id
 from quernel.llm.media import op7_media_columns
@@ -18,4 +19,4 @@ from quernel.llm.url_filters import ORACLE as OP3
 from quernel.llm.url_filters import op3_url_filters
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_url_filters, op4_bpe, op5_ngram_jaccard, op6_language_id, op7_media_columns, op8_sharding, op9_exact_dedup, op10_html_extraction)}
-ORACLES = {"op2_source_mixing": OP2, "op3_url_filters": OP3, "op5_ngram_jaccard": OP5, "op9_exact_dedup": OP9}
+ORACLES = {"op2_source_mixing": OP2, "op3_url_filters": OP3, "op5_ngram_jaccard": OP5, "op9_exact_dedup": OP9, "op10_html_extraction": OP10}
