@@ -14,9 +14,10 @@ from quernel.llm.ngram_join import op5_ngram_jaccard
 from quernel.llm.sharding import op8_sharding
 from quernel.llm.source_mixing import ORACLE as OP2
 from quernel.llm.source_mixing import op2_source_mixing
+from quernel.llm.suffix_dedup import ORACLE as OP1
 from quernel.llm.suffix_dedup import op1_suffix_array_dedup
 from quernel.llm.url_filters import ORACLE as OP3
 from quernel.llm.url_filters import op3_url_filters
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_url_filters, op4_bpe, op5_ngram_jaccard, op6_language_id, op7_media_columns, op8_sharding, op9_exact_dedup, op10_html_extraction)}
-ORACLES = {"op2_source_mixing": OP2, "op3_url_filters": OP3, "op5_ngram_jaccard": OP5, "op9_exact_dedup": OP9, "op10_html_extraction": OP10}
+ORACLES = {"op1_suffix_array_dedup": OP1, "op2_source_mixing": OP2, "op3_url_filters": OP3, "op5_ngram_jaccard": OP5, "op9_exact_dedup": OP9, "op10_html_extraction": OP10}

@@ -349,3 +349,20 @@ def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select(
         F.col("row_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i, md5_number(array_slice(b, i + 1, i + 400)) AS k FROM d, unnest(range(0, n - 399)) t(i)),
+m AS MATERIALIZED (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM p SEMI JOIN m ON p.k = m.k),
+g AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS no
+      FROM (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) AS new FROM r)),
+s AS (SELECT doc_id, no, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, no),
+c AS (SELECT s.doc_id, count(*) AS spans, sum(z - a) AS removed,
+        string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) || hex(array_slice(any_value(b), max(z) + 1, any_value(n))) AS kept
+      FROM (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
