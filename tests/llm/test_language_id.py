@@ -1,7 +1,6 @@
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from quernel.llm import language_id as L
 
