@@ -6,9 +6,10 @@ row sums are the block sizes and its column sums the exact range sizes. Each blo
 them by its matrix row; after the exchange each range permutes again. A shard is a run of consecutive ranges, so
 shards differ by one row at most and slots are gapless. Law: ``rows``.
 
-Bounds: a block or range holds about ``rows_per_task`` rows, so no task grows with the table. The matrix is metadata of
-(n / rows_per_task)^2 cells, drawn on the driver from the block counts alone and handed back as SQL literals in chunks
-of blocks; the join is left to the optimizer. Everything that touches rows is DataFrame functions.
+Bounds: a block or range holds about ``rows_per_task`` rows, so tasks don't grow with the table until there are MOST_PARTS of
+them (two billion rows), and then by narrow rows only. The matrix has at most MOST_PARTS squared cells (32 MB); it is drawn
+on the driver from the block counts alone, handed back as literals and broadcast. Everything that touches rows is DataFrame
+functions.
 
 Defined results: a null text has size 8 and checksum 0; repeated rows each get a slot of their own; an empty table gives
 an empty result; fewer rows than shards leave the last shards empty. Ties in the hash are broken by id and checksum, and
@@ -27,6 +28,7 @@ from quernel.session import materialize
 
 SHARDS = 24
 ROWS_PER_TASK = 1_000_000
+LEAST_BLOCKS, MOST_PARTS = 64, 2016  # of blocks, and of slot ranges: the matrix has at most MOST_PARTS ** 2 cells
 
 
 def draw_matrix(block_sizes: list[int], range_sizes: list[int], seed: int) -> np.ndarray:
@@ -57,26 +59,19 @@ def shuffle_into_shards(
     ).withColumn("ticket", F.xxhash64(F.lit(seed), "row_id", "text_crc32", "size"))
     rows = materialize(rows, "rows")
     total = rows.count()
-    blocks = max(4, -(-total // rows_per_task))
-    per_shard = max(1, -(-total // (shards * rows_per_task)))
+    blocks = min(MOST_PARTS, max(LEAST_BLOCKS, -(-total // rows_per_task)))
+    per_shard = min(max(1, MOST_PARTS // shards), max(1, -(-total // (shards * rows_per_task))))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "ticket"), F.lit(blocks)).cast("int"))
     counts = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
     ranges = [part for size in even_parts(total, shards) for part in even_parts(size, per_shard)]
     matrix = draw_matrix([counts.get(b, 0) for b in range(blocks)], ranges, seed)
-    starts = np.cumsum(matrix, axis=1) - matrix
-    cells = [
-        [b, c, int(starts[b, c]), int(matrix[b, c])] for b in range(blocks) for c in range(len(ranges)) if matrix[b, c]
-    ]
-    chunks = [cells[i : i + 20_000] for i in range(0, len(cells), 20_000)] or [[]]
-    plan = spark.range(1).select(F.explode(F.array(*[F.lit(json.dumps(c)) for c in chunks])).alias("cells"))
-    plan = plan.select(F.explode(F.from_json("cells", "array<array<long>>")).alias("cell")).select(
-        F.col("cell")[0].cast("int").alias("block"), F.col("cell")[1].cast("int").alias("col"),
-        F.col("cell")[2].alias("start"), F.col("cell")[3].alias("n"),
-    )
-    # one row per seat of a block: the range that the block's r-th row goes to
-    seats = plan.select("block", "col", F.explode(F.expr("sequence(start, start + n - 1)")).alias("rank"))
+    ends = np.cumsum(matrix, axis=1).tolist()
+    # one row for each block: where its runs of rows for each range end
+    plan = spark.range(1).select(F.posexplode(F.array(*[F.lit(json.dumps(e)) for e in ends])).alias("block", "ends"))
+    plan = F.broadcast(plan.select("block", F.from_json("ends", "array<long>").alias("ends")))
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 2), "ticket"), "row_id", "text_crc32")
-    dealt = rows.withColumn("rank", (F.row_number().over(local) - 1).cast("long")).join(seats, ["block", "rank"])
+    ranked = rows.withColumn("rank", (F.row_number().over(local) - 1).cast("long")).join(plan, "block")
+    dealt = ranked.withColumn("col", F.size(F.filter("ends", lambda e: e <= F.col("rank")))).drop("ends")
     within = Window.partitionBy("col").orderBy(F.xxhash64(F.lit(seed + 3), "ticket"), "row_id", "text_crc32")
     offsets = [sum(ranges[c // per_shard * per_shard : c]) for c in range(len(ranges))]
     first = F.from_json(F.lit(json.dumps(offsets)), "array<long>")
