@@ -172,3 +172,34 @@ def patch_reports(nodes: DataFrame, edges: DataFrame, violations: DataFrame) ->
     counts = nodes.groupBy("patch_id").agg(F.count("*").alias("node_count")).join(edges.groupBy("patch_id").agg(F.count("*").alias("edge_count")), "patch_id", "full")
     rows = counts.join(listed, "patch_id", "left").na.fill(0, ["node_count", "edge_count"])
     return rows.select("patch_id", F.col("errors").isNull().alias("valid"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), "node_count", "edge_count")
+
+
+EVIDENCE = "array<struct<source: string, section: string, text: string>>"
+PATCH = (
+    f"nodes array<struct<tempId: string, className: string, properties: variant, evidence: {EVIDENCE}, confidence: double>>, "
+    f"edges array<struct<edgeName: string, sourceTempId: string, targetTempId: string, evidence: {EVIDENCE}, confidence: double>>, warnings array<string>"
+)
+NEEDED = {"nodes": {"tempId": "tempId", "className": "className"}, "edges": {"edgeName": "edgeName", "sourceTempId": "sourceTempId", "targetTempId": "targetTempId"}}  # fixed values
+
+
+def parse_patches(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and schema errors (patch_id, place, message) of patches given as JSON text (patch_id, document).
+
+    A document that is no JSON object, an item without a needed field and a confidence outside 0 to 1 are errors.
+    """
+    rows = documents.select("patch_id", "document", F.from_json("document", PATCH).alias("p"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("document")), F.lit("OBJECT")), F.lit(False))
+    errors = rows.filter(~is_object).select("patch_id", F.lit("").alias("place"), F.lit("not a JSON object").alias("message"))
+    parts = {}
+    for kind, fields in NEEDED.items():
+        items = rows.filter(is_object).select("patch_id", F.posexplode(f"p.{kind}").alias("ord", "item"))
+        parts[kind] = items
+        place = lambda field: F.format_string(f"{kind}.%d.{field}", "ord")  # noqa: B023, E731
+        for field in fields:
+            errors = errors.unionByName(items.filter(F.col(f"item.{field}").isNull()).select("patch_id", place(field).alias("place"), F.lit("Field required").alias("message")))
+        confidence = F.col("item.confidence")
+        for bad, message in ((confidence > 1, "Input should be less than or equal to 1"), (confidence < 0, "Input should be greater than or equal to 0")):
+            errors = errors.unionByName(items.filter(bad).select("patch_id", place("confidence").alias("place"), F.lit(message).alias("message")))
+    nodes = parts["nodes"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.tempId").alias("temp_id"), F.col("item.className").alias("class_name"), F.coalesce("item.properties", F.parse_json(F.lit("{}"))).alias("properties"), F.col("item.evidence").alias("evidence"))
+    edges = parts["edges"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.edgeName").alias("edge_name"), F.col("item.sourceTempId").alias("source_temp_id"), F.col("item.targetTempId").alias("target_temp_id"))
+    return nodes, edges, errors

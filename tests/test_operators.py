@@ -223,3 +223,14 @@ def test_catalog(spark):
     assert (stored["pskg:hasOffer"], stored["pskg:from"], stored["pskg:Rule"]) == ("HAS_OFFER", "from", "Rule")
     terms = spark.createDataFrame([("pskg:Rule",), ("no",)], "term string")
     assert {r["term"]: r["is_class"] for r in catalog.exists(terms, classes, properties).collect()} == {"pskg:Rule": True, "no": False}
+
+
+def test_patch_documents(spark):
+    good = {"nodes": [{"tempId": "p", "className": "pskg:Product", "properties": {"pskg:productCode": "C", "pskg:status": "Active"}, "confidence": 0.5}, {"tempId": "r", "className": "pskg:Rule"}], "edges": [{"edgeName": "pskg:hasOffer", "sourceTempId": "p", "targetTempId": "r"}]}
+    bad = {"nodes": [{"className": "x", "confidence": 2.0}], "edges": [{"edgeName": "e", "sourceTempId": "p"}]}
+    rows = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(bad)), (3, "[1"), (4, None)], "patch_id int, document string")
+    nodes, links, errors = validate.parse_patches(rows)
+    assert sorted(tuple(r) for r in errors.collect()) == [
+        (2, "edges.0.targetTempId", "Field required"), (2, "nodes.0.confidence", "Input should be less than or equal to 1"), (2, "nodes.0.tempId", "Field required"), (3, "", "not a JSON object"), (4, "", "not a JSON object"),
+    ]
+    assert validate.validate_patches(nodes.filter("patch_id = 1"), links.filter("patch_id = 1"), *mini(spark)).count() == 0
