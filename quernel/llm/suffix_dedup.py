@@ -37,7 +37,7 @@ from quernel.session import materialize
 
 WINDOW, RADIUS, MAX_GAP = 8, 40, 200
 CHUNK_CONTEXTS = 20_000
-HOT_CONTEXTS = 200_000
+HOT_CONTEXTS = 50_000
 INVERSE = np.uint64(pow(int(at.BASE), -1, 2**64))
 OTHER_VALUES = at.mix(at.BYTE_VALUES) | np.uint64(1)
 _tables: dict[str, np.ndarray] = {}
