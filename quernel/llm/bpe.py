@@ -31,7 +31,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 SPACES = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: Unicode white space
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"  # fixed values
 UNCOMMON = regex.compile(r"[^\x00-\u052f\u1e00-\u23ff\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff00-\uffef]")
-CACHE_PIECES = 500_000
+CACHE_PIECES = 100_000
+CACHE_PAIRS = 300_000
 CACHE_PIECE_CHARS = 64
 
 
@@ -43,15 +44,19 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pieces(dict):
-    """Ids by piece: computed when first asked for, kept while there is room."""
+    """Ids by piece: computed when first asked for. Two generations of at most CACHE_PIECES each are kept, so that pieces in use
+    survive when there is no more room."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= CACHE_PIECE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -124,7 +129,7 @@ class Vocabulary:
             key = last[start] << 32 | token  # the left token is -1 at the start of the piece
             fits = compatible.get(key)
             if fits is None:
-                if len(compatible) > 4_000_000:
+                if len(compatible) >= CACHE_PAIRS:
                     compatible.clear()
                 fits = compatible[key] = self.pair_fits(last[start], token) if start else self.whole_is_itself(token)
             if fits:

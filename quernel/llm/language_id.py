@@ -221,9 +221,9 @@ def _predict_batches(shared):
         return names, top, ~has_letter | (top < (model.threshold if model else 0.0))
 
     def run(batches):
-        for batch in batches:
-            names, top, rejected = score(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(top), pa.array(rejected)], schema=schema)
+        for part in at.parts(batches):
+            names, top, rejected = score(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(top), pa.array(rejected)], schema=schema)
 
     run.score = score
     return run
@@ -250,9 +250,9 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     score, place = _predict_batches(shared).score, docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            _, _, rejected = score(batch.column(place))
-            yield batch.filter(pa.array(~rejected))
+        for part in at.parts(batches):
+            _, _, rejected = score(part.column(place))
+            yield part.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -104,10 +104,10 @@ def _describe(k: int):
 
     def run(batches):
         sketch, mask = np.zeros(1 << SKETCH_BITS, dtype=np.int64), np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in batches:
+        for batch in at.parts(batches):
             for first, last, hashes, bounds in _sets(batch, k):
                 n, one, two = _class_ids(hashes, bounds)
-                sketch += np.bincount((hashes & mask).astype(np.int64), minlength=len(sketch))
+                np.add.at(sketch, (hashes & mask).astype(np.int64), 1)
                 none = pa.nulls(last - first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), pa.array(one), pa.array(two), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         size = 1 << SKETCH_PART_BITS
@@ -218,7 +218,7 @@ def _enter(k: int, percent: int, boundary: int, rank):
         return keys, sizes
 
     def run(batches):
-        for batch in batches:
+        for batch in at.parts(batches):
             for first, last, hashes, bounds in _sets(batch, k):
                 n, one, two = _class_ids(hashes, bounds)
                 order = rank.value[(hashes & mask).astype(np.int64)]
@@ -248,7 +248,7 @@ def _fetch(k: int, bloom):
     schema = pa.schema([("cid", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in at.parts(batches):
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = bloom.value.may_hold(ids)
             for first, last, hashes, bounds in _sets(batch.filter(pa.array(hit)), k) if hit.any() else ():
