@@ -12,8 +12,13 @@ from quernel.llm import bpe, exact_dedup, language_id, ngram_join, source_mixing
 from quernel.session import materialize, table
 
 
+#: Rows of an Arrow batch: texts are long, and batches of the default 10,000 rows take tens of MB on both sides of each task.
+BATCH_ROWS = 1000
+
+
 def language(spark, docs, sf_dir):
     """Documents whose language is recognised stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
@@ -24,6 +29,7 @@ def exact(spark, docs, sf_dir):
 
 def near(spark, docs, sf_dir):
     """Of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, one stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return ngram_join.keep_one_of_each(docs, k=5, percent=80)
 
 
@@ -34,6 +40,7 @@ def mix(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """doc_id, lang and source with the token ids of the whole text and digests of the ids and of the decoded text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return bpe.encode_texts(docs, carry=("doc_id", "lang", "source"))
 
 
