@@ -7,7 +7,8 @@ an optional group, texts that differ become text slots. The result, the host's w
 slots but no alternatives. Aligning one page after the other gives a wrapper for each host.
 
 From the wrapper comes the rule for the host's main text: the outermost ``article`` or ``main`` if it has one, else the
-smallest element that holds most of the text of slots that vary from page to page. Inside it, menus, headers, footers,
+smallest element that holds most of the text of slots that vary from page to page. Tags and class words mark side elements,
+but what holds nearly all varying text, or the article where none is outside, is not one, whatever its class. Inside it, menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments go, and so do texts that all of at least FIXED_PAGES pages
 of the host have in common, as long as other text in the region varies. A page without the host's region is judged by its
 own tree.
@@ -42,10 +43,16 @@ RAW = {"script", "style", "textarea", "iframe", "noembed", "noframes", "noscript
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {"head", "title", "nav", "header", "footer", "aside", "form", "dialog", "menu", "search", "fieldset"}
 SIDE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent notice notices alert alerts gdpr nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side footer header masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search widget widgets pagination pager toolbar toc skip hidden contentinfo complementary dialog".split())
+WHOLE = {"html", "body", "main"}
+STATE_FIRST = {"no", "not", "non", "without", "has", "have", "with"}
+STATE_LAST = {"page", "layout", "open", "opened", "closed", "on", "off", "enabled", "disabled"}
+DISCUSSION = {"comment", "comments", "reply", "replies", "respond", "disqus", "discussion"}
+ANCHORS = {"article", "main", "h1"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
 FIXED_PAGES = 5
+LITTLE = 20
 MOST_HOSTS = 2000
 MOST_DEPTH = 150
 TEXTY = {"p", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt"}
@@ -54,6 +61,11 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?"
 SPLIT = re.compile(r"[^a-z]+")
 
 
+def _marked(tag: str, words) -> bool:
+    """Whether tag and words are those of a menu, sidebar, comment section and so on; what they hold can overrule it, see opened()."""
+    return tag in NEVER or tag not in WHOLE and not SIDE_WORDS.isdisjoint(words)
+
+
 class Element:
     __slots__ = ("tag", "words", "label", "parts")
 
@@ -63,7 +75,7 @@ class Element:
         self.parts: list = []  # elements and raw strings, in page order
 
     def is_side(self) -> bool:
-        return self.tag in NEVER or not SIDE_WORDS.isdisjoint(self.words)
+        return _marked(self.tag, self.words)
 
 
 def tag_end(page: str, start: int) -> int:
@@ -88,15 +100,23 @@ def tag_end(page: str, start: int) -> int:
         at = after + 1
 
 
+def _is_state(parts: list[str]) -> bool:
+    return len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)
+
+
 def words_of(attributes: str) -> tuple:
-    """Words of class and role, sorted, and 'hidden'. Digits and ids are left out: they tell instances apart, not kinds."""
+    """Words of class and role, sorted, and 'hidden'. Digits and ids are left out: they tell instances apart, not kinds.
+    A name that only says how the page is laid out (no-sidebar, has-comments, search-page) is one word, so that it marks nothing."""
     found = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "role"):
-            found.update(w for w in SPLIT.split(html.unescape(value).lower()) if w)
+            for kind in html.unescape(value).lower().strip("\"'").split():
+                parts = [w for w in SPLIT.split(kind) if w]
+                found.update(["-".join(parts)] if _is_state(parts) else parts)
         elif name == "id":
-            found.update(w for w in SPLIT.split(value.lower()) if w in SIDE_WORDS)
+            parts = [w for w in SPLIT.split(value.lower()) if w]
+            found.update(() if _is_state(parts) else (w for w in parts if w in SIDE_WORDS))
         elif name == "hidden":
             found.add("hidden")
     return tuple(sorted(found))
@@ -173,8 +193,8 @@ def parse(page: str) -> Element:
         stack.append(element)
 
 
-def blocks_of(element: Element, skip=None, path: tuple = (), inside: bool = True) -> list[str]:
-    """Texts of the blocks under an element in page order, without side elements."""
+def blocks_of(element: Element, skip=None, path: tuple = (), inside: bool = True, opened=frozenset()) -> list[str]:
+    """Texts of the blocks under an element in page order, without side elements other than those at the paths ``opened``."""
     out, run = [], []
 
     def flush() -> None:
@@ -186,17 +206,17 @@ def blocks_of(element: Element, skip=None, path: tuple = (), inside: bool = True
     for part in element.parts:
         if isinstance(part, str):
             run.append(part)
-        elif part.is_side():
+        elif part.is_side() and (*path, part.label) not in opened:
             if part.tag in BLOCKS:
                 flush()
             else:
                 run.append(" ")
             if part.tag == "header" and inside:
                 flush()
-                out.extend(b for h in part.parts if isinstance(h, Element) and h.tag in HEADINGS and not h.is_side() for b in blocks_of(h, skip, (*path, part.label, h.label)))
+                out.extend(b for h in part.parts if isinstance(h, Element) and h.tag in HEADINGS and not h.is_side() for b in blocks_of(h, skip, (*path, part.label, h.label), opened=opened))
         else:
             flush()
-            out.extend(blocks_of(part, skip, (*path, part.label)))
+            out.extend(blocks_of(part, skip, (*path, part.label), opened=opened))
     flush()
     return out
 
@@ -265,26 +285,88 @@ def align(a: list[list], b: list[list], same_page: bool) -> list[list]:
     return fold(out) if any(x[LABEL] == y[LABEL] for x, y in zip(out, out[1:])) else out
 
 
-def _side(label: str) -> bool:
+def _side(label: str, path: tuple = (), opened=frozenset()) -> bool:
     tag, *words = label.split(".")
-    return tag in NEVER or not SIDE_WORDS.isdisjoint(words)
+    return _marked(tag, words) and path not in opened
 
 
-def varying_chars(node: list) -> int:
-    if _side(node[LABEL]):
+def varying_chars(node: list, path: tuple = (), opened=frozenset()) -> int:
+    if _side(node[LABEL], path, opened):
         return 0
+    return _varying_inside(node, path, opened)
+
+
+def _varying_inside(node: list, path: tuple, opened) -> int:
     own = node[CHARS] if node[TEXT] is None or node[PAGES] < 2 else 0
-    return own + sum(varying_chars(c) for c in node[CHILDREN])
+    return own + sum(varying_chars(c, (*path, c[LABEL]), opened) for c in node[CHILDREN])
+
+
+def opened_paths(wrapper: list) -> frozenset:
+    """Paths of elements that are marked as side elements by tag or class but hold the main text, with those around them.
+
+    One opens if all that is outside of marked elements is little beside its varying text, or if it has an article, a main or a
+    first heading, no unmarked element is an article or main, and it holds most. A discussion opens for these tags alone, so
+    that a long one under a short text stays out, and so does anything in a single page, where no text is known to vary. The
+    best goes first; those further in are then held against its text.
+    """
+    opened: frozenset = frozenset()
+    marked = []
+
+    def collect(node: list, path: tuple, around: tuple) -> None:
+        for child in node[CHILDREN]:
+            here, tag = (*path, child[LABEL]), child[LABEL].split(".")[0]
+            side = _side(child[LABEL])
+            if side and tag in NEVER and tag not in ("form", "fieldset"):
+                continue
+            if side:
+                marked.append((here, child, (*around, here)))
+            collect(child, here, (*around, here) if side else around)
+
+    collect(wrapper, (), ())
+    if not marked:
+        return opened
+
+    def anchored(node: list, path: tuple, tags, once: bool) -> bool:
+        """Whether an element below, outside of further marked ones, has one of the tags and varying text."""
+        for child in node[CHILDREN]:
+            here = (*path, child[LABEL])
+            if _side(child[LABEL], here, opened):
+                continue
+            if child[LABEL].split(".")[0] in tags and not (once and child[PLUS]) and varying_chars(child, here, opened):
+                return True
+            if anchored(child, here, tags, once):
+                return True
+        return False
+
+    while True:
+        clean, best = varying_chars(wrapper, (), opened), None
+        named = anchored(wrapper, (), ("article", "main"), False)
+        for path, node, around in marked:
+            if path in opened:
+                continue
+            mass = _varying_inside(node, path, opened)
+            words = set(node[LABEL].split("."))
+            talk = not DISCUSSION.isdisjoint(w for p in around for w in p[-1].split(".")) and not all(p in opened for p in around[:-1])
+            talk = talk or not DISCUSSION.isdisjoint(words)
+            itself = node[LABEL].split(".")[0] == "article" and not (talk and (node[PLUS] or len(around) > 1))
+            anchor = itself or anchored(node, path, ("h1", "main") if talk else ANCHORS, talk)
+            if mass and (mass > LITTLE * clean and (anchor or not talk and wrapper[PAGES] > 1) or anchor and not named and mass >= clean):
+                if best is None or mass > best[0]:
+                    best = mass, around
+        if best is None:
+            return opened
+        opened |= set(best[1])
 
 
 def rule_of(wrapper: list) -> dict:
     """Where the main text of a host's pages is: a path of labels, and texts in it that belong to the template."""
     region: list[tuple] = []
+    opened = opened_paths(wrapper)
 
     def outermost(node: list, path: tuple) -> None:
         for child in node[CHILDREN]:
             here = (*path, child[LABEL])
-            if _side(child[LABEL]):
+            if _side(child[LABEL], here, opened):
                 continue
             words = child[LABEL].split(".")
             if words[0] in ("article", "main") or "main" in words[1:] and words[0] == "div":
@@ -296,8 +378,8 @@ def rule_of(wrapper: list) -> dict:
     if not region:
         node, path = wrapper, ()
         while True:
-            mass = varying_chars(node)
-            heavy = [c for c in node[CHILDREN] if varying_chars(c) * 10 >= mass * 7 and mass]
+            mass = varying_chars(node, path, opened)
+            heavy = [c for c in node[CHILDREN] if varying_chars(c, (*path, c[LABEL]), opened) * 10 >= mass * 7 and mass]
             if not heavy or heavy[0][PLUS] or heavy[0][LABEL].split(".")[0] in TEXTY:
                 break
             node, path = heavy[0], (*path, heavy[0][LABEL])
@@ -305,7 +387,7 @@ def rule_of(wrapper: list) -> dict:
     fixed = []
 
     def template(node: list, path: tuple, inside: tuple) -> None:
-        if _side(node[LABEL]):
+        if _side(node[LABEL], (*path, *inside), opened):
             return
         if node[TEXT] and not node[PLUS] and not node[OPTIONAL] and node[PAGES] >= FIXED_PAGES and node[PAGES] == wrapper[PAGES]:
             fixed.append([list(inside), node[TEXT]])
@@ -313,28 +395,29 @@ def rule_of(wrapper: list) -> dict:
             template(child, path, (*inside, child[LABEL]))
 
     for path, node in region:
-        if any(varying_chars(c) for c in [node]) and node[PAGES] >= FIXED_PAGES:
+        if varying_chars(node, path, opened) and node[PAGES] >= FIXED_PAGES:
             template(node, path, ())
     paths = []
     for path, _ in region:
         if list(path) not in paths:
             paths.append(list(path))
-    return {"paths": paths, "fixed": fixed}
+    inner = [[list(p[len(path) :]) for p in sorted(opened) if len(p) > len(path) and list(p[: len(path)]) == path] for path in paths]
+    return {"paths": paths, "fixed": fixed, "opened": inner}
 
 
-def regions(root: Element, paths: list[list[str]]) -> list[Element]:
-    """Elements of a page that stand at one of the paths, in page order."""
-    wanted = {tuple(p) for p in paths}
+def regions(root: Element, rule: dict) -> list[tuple]:
+    """Elements of a page that stand at one of the rule's paths, in page order, with the paths that are open in each."""
+    wanted = {tuple(p): frozenset(map(tuple, o)) for p, o in zip(rule["paths"], rule["opened"])}
     if () in wanted:
-        return [root]
+        return [(root, wanted[()])]
     out = []
 
     def visit(element: Element, path: tuple) -> None:
         for part in element.parts:
-            if isinstance(part, Element) and not part.is_side():
+            if isinstance(part, Element):
                 here = (*path, part.label)
                 if here in wanted:
-                    out.append(part)
+                    out.append((part, wanted[here]))
                 elif any(w[: len(here)] == here for w in wanted):
                     visit(part, here)
 
@@ -345,12 +428,11 @@ def regions(root: Element, paths: list[list[str]]) -> list[Element]:
 def extract(page: str, rule: dict | None) -> str:
     """The main text of one page by its host's rule; by its own structure if it lacks the host's region."""
     root = parse(page)
-    found = regions(root, rule["paths"]) if rule else []
+    found = regions(root, rule) if rule else []
     skip = {(tuple(p), t) for p, t in rule["fixed"]} if rule and found else None
-    if not found or (not any(True for r in found for _ in blocks_of(r)) and len(root.parts)):
-        own = rule_of(expression(root))
-        found, skip = regions(root, own["paths"]), None
-    return "\n".join(b for r in found for b in blocks_of(r, skip))
+    if not found or (not any(blocks_of(r, opened=o) for r, o in found) and len(root.parts)):
+        found, skip = regions(root, rule_of(expression(root))), None
+    return "\n".join(b for r, o in found for b in blocks_of(r, skip, opened=o))
 
 
 def _infer_batches(batches):

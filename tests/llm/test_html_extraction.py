@@ -59,3 +59,44 @@ def test_broken_markup_does_not_fail(page):
 
 def test_empty_table(spark):
     assert H.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+SIDE = '<div class="sidebar"><p>about {i}</p></div><div class="comments"><p>a comment of some length about {i}</p></div>'
+SHELLS = {
+    "body": '<body class="no-sidebar"><div><article><h1>Title {i}</h1><p>Text {i}</p></article></div>' + SIDE + "</body>",
+    "layout": '<body><div class="layout has-sidebar"><article><h1>Title {i}</h1><p>Text {i}</p></article>' + SIDE + "</div></body>",
+    "id": '<body><div id="search-page"><article><h1>Title {i}</h1><p>Text {i}</p></article></div>' + SIDE + "</body>",
+    "article": '<body><article class="post has-comments"><h1>Title {i}</h1><p>Text {i}</p></article>' + SIDE + "</body>",
+    "inner": '<body><main><article class="post comments-open social"><h1>Title {i}</h1><p>Text {i}</p></article>' + SIDE + "</main></body>",
+    "right": '<body><div class="content right-sidebar"><article><h1>Title {i}</h1><p>Text {i}</p></article>' + SIDE + "</div></body>",
+    "nested": '<body class="menu"><div class="overlay"><div class="widget"><h1>Title {i}</h1><p>Text {i}</p></div></div>' + SIDE + "</body>",
+    "form": '<body><form id="page"><div><article><h1>Title {i}</h1><p>Text {i}</p></article></div></form></body>',
+    "both": '<html class="no-search"><body class="home comments"><div class="header-layout"><div>Title {i}<p>Text {i}</p></div></div>' + SIDE + "</body></html>",
+}
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+@pytest.mark.parametrize("n", [1, 7])
+def test_marked_containers_of_the_main_text(spark, shell, n):
+    pages = spark.createDataFrame([(i, "http://a.example/x", SHELLS[shell].replace("{i}", f"{i}" * 9)) for i in range(n)], "page_id long, url string, html string")
+    for r in H.extract_pages(pages).collect():
+        name = f"{r['page_id']}" * 9
+        assert r["text"] == f"Title {name}\nText {name}"
+
+
+def test_long_comments_stay_out():
+    talk = "".join(f"<article><p>comment {k} of many on {{i}}</p></article>" for k in range(30))
+    for post in ('<div class="post"><p>Text {i}</p></div>', "<article><p>Text {i}</p></article>"):
+        for kind in ("comments", "comment-list"):
+            page = f'<body>{post}<div class="{kind}">{talk}</div><div class="related"><p>{"More " * 9}</p></div></body>'
+            wrapper = None
+            for i in range(6):
+                new = H.expression(H.parse(page.replace("{i}", str(i))))
+                wrapper = H.merge(wrapper, new) if wrapper else new
+            for rule in (H.rule_of(wrapper), None):
+                assert H.extract(page.replace("{i}", "3"), rule) == "Text 3"
+
+
+def test_page_without_main_text_does_not_take_its_sidebar():
+    page = '<body><article></article><div class="sidebar"><p>about us</p></div><div class="cookie-notice">We use cookies</div></body>'
+    assert H.extract(page, None) == ""
