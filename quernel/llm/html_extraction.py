@@ -9,8 +9,10 @@ slots but no alternatives. Aligning one page after the other gives a wrapper for
 From the wrapper comes the rule for the host's main text: the outermost ``article`` or ``main`` if it has one, else the
 smallest element that holds most of the text of slots that vary from page to page. Tags and class words mark side elements,
 but what holds nearly all varying text, or the article where none is outside, is not one, whatever its class. Inside it, menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments go, and so do texts that all of at least FIXED_PAGES pages
-of the host have in common, as long as other text in the region varies. A page without the host's region is judged by its
+sidebars, notices, adverts, forms, scripts, styles and comments go, and so do texts that the pages with the region have in
+common, if these are at least FIXED_PAGES, as long as other text in the region varies. A text is common if nine tenths of the
+pages with the region have it, never if less than eight tenths do, so a few cut or empty pages don't matter; wrappers hold one
+candidate for each slot, found by majority vote, and between these shares the order of the votes can decide. A page without the host's region is judged by its
 own tree.
 
 On Spark: every task folds its own pages into one partial wrapper per host (hosts are flushed when there are many), partial
@@ -25,6 +27,7 @@ empty table gives an empty result; repeated rows are extracted alike.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -52,6 +55,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
 FIXED_PAGES = 5
+FIXED_SHARE = 80  # in hundredths
+WHOLE_TEXT = 300
 LITTLE = 20
 MOST_HOSTS = 2000
 MOST_DEPTH = 150
@@ -200,7 +205,7 @@ def blocks_of(element: Element, skip=None, path: tuple = (), inside: bool = True
     def flush() -> None:
         block = " ".join(html.unescape("".join(run)).split())
         run.clear()
-        if block and not (skip and (path, block) in skip):
+        if block and not (skip and (path, text_key(block)) in skip):
             out.append(block)
 
     for part in element.parts:
@@ -221,16 +226,37 @@ def blocks_of(element: Element, skip=None, path: tuple = (), inside: bool = True
     return out
 
 
-# A wrapper node: [label, repeated, optional, pages, characters of its own text, text or None if it varies, children]
-LABEL, PLUS, OPTIONAL, PAGES, CHARS, TEXT, CHILDREN = range(7)
+# A wrapper node: [label, repeated, optional, pages, characters of its own text, keys of its texts by lines or None if no text
+# prevails, children, votes for this text that no page with another text has cancelled]
+LABEL, PLUS, OPTIONAL, PAGES, CHARS, TEXT, CHILDREN, VOTES = range(8)
 NO_TEXT = ""
 
 
+def text_key(block: str) -> str:
+    """A block, or a 128-bit hash of it if it is long: wrappers keep every text of a template, whatever its length."""
+    return block if len(block) <= WHOLE_TEXT else "\x00" + hashlib.blake2b(block.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def own_blocks(element: Element) -> list[str]:
+    """The texts between an element's child elements."""
+    runs: list[list[str]] = [[]]
+    for part in element.parts:
+        if isinstance(part, str):
+            runs[-1].append(part)
+        elif part.tag in BLOCKS or not part.is_side():
+            runs.append([])
+        else:
+            runs[-1].append(" ")  # as in blocks_of(): a marked inline element is white space
+    blocks = (" ".join(html.unescape("".join(run)).split()) for run in runs)
+    return [b for b in blocks if b]
+
+
 def expression(element: Element) -> list:
     """The folded expression of one page's element."""
-    own = " ".join(html.unescape(" ".join(p for p in element.parts if isinstance(p, str))).split())
+    own = own_blocks(element)
     children = fold([expression(p) for p in element.parts if isinstance(p, Element)])
-    return [element.label, False, False, 1, len(own), own if len(own) <= 300 else None, children]
+    pages = 1 if element.tag != "#page" or children else 0  # an empty or broken page shows nothing of the template
+    return [element.label, False, False, pages, sum(map(len, own)), "\n".join(map(text_key, own)) if pages else None, children, pages]
 
 
 def fold(children: list[list]) -> list[list]:
@@ -251,12 +277,24 @@ def fold(children: list[list]) -> list[list]:
 
 def merge(a: list, b: list, same_page: bool = False) -> list:
     """Align two expressions of the same label."""
+    if a[TEXT] == b[TEXT]:
+        text, votes = a[TEXT], a[VOTES] if same_page else a[VOTES] + b[VOTES]
+    elif same_page:
+        text, votes = (None, 0) if a[TEXT] is None or b[TEXT] is None else (text_key(a[TEXT] + "\n" + b[TEXT]), a[VOTES])
+    else:
+        high, low = (a, b) if a[VOTES] >= b[VOTES] else (b, a)
+        text, votes = high[TEXT], high[VOTES] - low[VOTES]
     return [
         a[LABEL], a[PLUS] or b[PLUS], a[OPTIONAL] or b[OPTIONAL], a[PAGES] if same_page else a[PAGES] + b[PAGES], a[CHARS] + b[CHARS],
-        a[TEXT] if a[TEXT] == b[TEXT] else None, align(a[CHILDREN], b[CHILDREN], same_page),
+        text if votes else None, align(a[CHILDREN], b[CHILDREN], same_page), votes,
     ]
 
 
+def is_fixed(node: list, pages: int) -> bool:
+    """Whether the node's text is that of (nearly) all of so many pages."""
+    return node[TEXT] is not None and node[VOTES] * 100 >= FIXED_SHARE * pages
+
+
 def align(a: list[list], b: list[list], same_page: bool) -> list[list]:
     """Longest common subsequence of labels: common elements are aligned, all others become optional."""
     if [x[LABEL] for x in a] == [y[LABEL] for y in b]:
@@ -297,7 +335,7 @@ def varying_chars(node: list, path: tuple = (), opened=frozenset()) -> int:
 
 
 def _varying_inside(node: list, path: tuple, opened) -> int:
-    own = node[CHARS] if node[TEXT] is None or node[PAGES] < 2 else 0
+    own = node[CHARS] if node[PAGES] < 2 or not is_fixed(node, node[PAGES]) else 0
     return own + sum(varying_chars(c, (*path, c[LABEL]), opened) for c in node[CHILDREN])
 
 
@@ -386,17 +424,17 @@ def rule_of(wrapper: list) -> dict:
         region.append((path, node))
     fixed = []
 
-    def template(node: list, path: tuple, inside: tuple) -> None:
+    def template(node: list, path: tuple, inside: tuple, pages: int) -> None:
         if _side(node[LABEL], (*path, *inside), opened):
             return
-        if node[TEXT] and not node[PLUS] and not node[OPTIONAL] and node[PAGES] >= FIXED_PAGES and node[PAGES] == wrapper[PAGES]:
-            fixed.append([list(inside), node[TEXT]])
+        if node[TEXT] and not node[PLUS] and node[PAGES] >= FIXED_PAGES and is_fixed(node, pages):
+            fixed.extend([list(inside), key] for key in node[TEXT].split("\n"))
         for child in node[CHILDREN]:
-            template(child, path, (*inside, child[LABEL]))
+            template(child, path, (*inside, child[LABEL]), pages)
 
     for path, node in region:
         if varying_chars(node, path, opened) and node[PAGES] >= FIXED_PAGES:
-            template(node, path, ())
+            template(node, path, (), node[PAGES])
     paths = []
     for path, _ in region:
         if list(path) not in paths:

@@ -100,3 +100,36 @@ def test_long_comments_stay_out():
 def test_page_without_main_text_does_not_take_its_sidebar():
     page = '<body><article></article><div class="sidebar"><p>about us</p></div><div class="cookie-notice">We use cookies</div></body>'
     assert H.extract(page, None) == ""
+
+
+@pytest.mark.parametrize("bad", [[], [None], [""], ["<p>unclosed"], ["plain"], ["<html><head></head></html>"], [None, "", "cut"]])
+def test_template_text_of_any_length_goes_despite_broken_pages(spark, bad):
+    notice, short = "Nothing here is <b>advice</b>. " * 40, "All rights reserved"
+    page = '<html><body><div class="x"><article><h1>Title {i}</h1><p>Text {i} ' + "word{i} " * 50 + f"</p><div>{notice}</div><section>{short}<ul><li>a{{i}}</ul>The end</section></article></div></body></html>"
+    pages = [page.replace("{i}", str(i)) for i in range(12)]
+    rows = [(i, "http://a.example/x", p) for i, p in enumerate(pages)] + [(90 + k, "http://a.example/y", pages[0][: pages[0].index("Nothing") + 99] if p == "cut" else p) for k, p in enumerate(bad)]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nText {i} " + " ".join([f"word{i}"] * 50) + f"\na{i}"
+
+
+def test_common_text_is_judged_alike_in_any_order():
+    pages = ["<article><h1>Title %d</h1><p>%s</p></article>" % (i, "same " * 99 if i % 20 else f"other {i}") for i in range(100)]
+    for step in (1, 7, 33):
+        parts = []
+        for first in range(step):
+            held = None
+            for page in pages[first::step]:
+                new = H.expression(H.parse(page))
+                held = H.merge(held, new) if held else new
+            parts.append(held)
+        wrapper = parts[0]
+        for part in parts[1:]:
+            wrapper = H.merge(wrapper, part)
+        rule = H.rule_of(wrapper)
+        assert H.extract(pages[1], rule) == "Title 1" and H.extract(pages[20], rule) == "Title 20\nother 20"
+    varied = None
+    for i in range(100):
+        new = H.expression(H.parse("<article><h1>T%d</h1><p>%s</p></article>" % (i, "yes" if i % 3 else "no")))
+        varied = H.merge(varied, new) if varied else new
+    assert H.extract("<article><h1>T1</h1><p>yes</p></article>", H.rule_of(varied)) == "T1\nyes"
