@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +15,21 @@ def usable_edges(edges: DataFrame, access: str) -> DataFrame:
     return edges.filter((F.col("status") == "open") & F.array_contains("access", access))
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(node, cost, hops, via, prev): cheapest cost from the nearest of ``starts`` (node) over ``edges`` (edge_id, source, target, cost >= 0).
 
     Frontier relaxation: a round joins only the nodes improved in the last one with their edges, and keeps the least
     (cost, hops, edge) for each node, a partial aggregate before the shuffle. Equal costs go to fewer hops, then to the
     smaller edge id. With ``targets`` (node) the loop ends once no open node is cheaper than the cheapest target reached. Each
-    round is written to the shared folder, which keeps plans short and survives lost executors.
+    round is written to the shared folder, which keeps plans short and survives lost executors. The loop goes on until no
+    node improves; if ``max_rounds`` is given and runs out before, it raises.
     """
     first = starts.select("node", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(starts.schema["node"].dataType).alias("prev")).distinct()
     links = materialize(edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", F.col("cost").cast("long").alias("step")), "edges")
     best = frontier = materialize(first, "best")
-    for _ in range(max_rounds):
+    for done in itertools.count():
+        if done == max_rounds:
+            raise RuntimeError("paths did not settle")
         reached = frontier.join(links, frontier["node"] == links["source"]).select(
             F.col("target").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("edge_id").alias("via"), F.col("source").alias("prev")
         )
@@ -44,22 +49,29 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
     return best
 
 
-def route(paths: DataFrame, target, max_rounds: int = 10_000) -> DataFrame:
-    """(index, edge_id, source, target) of the path to one node, walked back along ``prev``; nothing if it isn't reached."""
-    spark = paths.sparkSession
-    steps, node = [], target
-    for _ in range(max_rounds):
-        row = paths.filter(F.col("node") == F.lit(node)).select("via", "prev").first()
-        if row is None:
-            steps = []
-            break
-        if row["via"] is None:
+def route(paths: DataFrame, target) -> DataFrame:
+    """(index, edge_id, source, target) of the path to one node, walked back along ``prev``; nothing if it isn't reached.
+
+    Pointers double: a round adds the nodes as far back again as the path is known, and squares the pointers, so a path of n edges
+    takes log(n) rounds and no step passes through the driver.
+    """
+    nodes = paths.count()
+    jumps = paths.filter("via IS NOT NULL").select("node", F.col("prev").alias("up"))
+    on_path = materialize(paths.filter(F.col("node") == F.lit(target)).select("node", F.lit(0).cast("long").alias("back")), "on_path")
+    length = 1
+    while True:
+        more = materialize(on_path.join(jumps, "node").select(F.col("up").alias("node"), (F.col("back") + length).alias("back")), "more")
+        if more.isEmpty():
             break
-        steps.append((row["via"], row["prev"], node))
-        node = row["prev"]
-    kind = paths.schema["node"].dataType.simpleString()
-    rows = [(i, *s) for i, s in enumerate(reversed(steps))]
-    return spark.createDataFrame(rows, f"index int, edge_id string, source {kind}, target {kind}")
+        length *= 2
+        if length > 2 * nodes:
+            raise RuntimeError("the pointers of the paths run in a circle")
+        on_path = materialize(on_path.unionByName(more), "on_path")
+        further = jumps.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        jumps = materialize(jumps.join(further, "up").select("node", F.col("next").alias("up")), "jumps")
+    last = on_path.agg(F.max("back").alias("last"))
+    steps = on_path.crossJoin(F.broadcast(last)).join(paths.filter("via IS NOT NULL"), "node")
+    return steps.select((F.col("last") - 1 - F.col("back")).cast("int").alias("index"), F.col("via").alias("edge_id"), F.col("prev").alias("source"), F.col("node").alias("target"))
 
 
 def nearest_target(paths: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ rules, counts) is joins and aggregates keyed by file, so many files of any mix o
 
 from __future__ import annotations
 
+import itertools
 import xml.etree.ElementTree as ET
 from urllib.parse import urljoin
 
@@ -238,17 +239,19 @@ def declared(triples: DataFrame, kind: str, include_all: bool = False) -> DataFr
     return found if include_all else found.join(bases(triples), "file").filter(is_local(F.col("iri"), F.col("base"))).drop("base")
 
 
-def restrictions(triples: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(file, iri, node): blank nodes reached from a class's superclasses and equivalent classes through blank nodes."""
+def restrictions(triples: DataFrame) -> DataFrame:
+    """(file, iri, node): blank nodes reached from a class's superclasses and equivalent classes through blank nodes, at any depth."""
     roots = triples.filter(F.col("p").isin(RDFS + "subClassOf", OWL + "equivalentClass") & (F.col("o_kind") == "bnode") & (F.col("s_kind") == "iri"))
     frontier = roots.select("file", F.col("s").alias("iri"), F.col("o").alias("node")).distinct()
     steps = triples.filter((F.col("s_kind") == "bnode") & (F.col("o_kind") == "bnode")).select("file", F.col("s").alias("node"), F.col("o").alias("next")).distinct()
     reached = frontier = materialize(frontier, "reached")
-    for _ in range(max_depth):
+    for depth in itertools.count(1):
         frontier = materialize(frontier.join(steps, ["file", "node"]).select("file", "iri", F.col("next").alias("node")).distinct().join(reached, ["file", "iri", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if depth % 32 == 0:
+            reached = materialize(reached, "reached")  # a short plan
     return reached
 
 

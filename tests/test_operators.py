@@ -1,3 +1,4 @@
+import inspect
 import json
 
 import pytest
@@ -48,6 +49,26 @@ def test_unreachable(spark):
     assert routes.shortest_paths(empty, start(spark, "X"), start(spark, "A")).count() == 1
 
 
+def test_paths_never_end_early(spark):
+    chain = edges(spark, [(f"e{i}", f"n{i}", f"n{i + 1}", 1, 1) for i in range(6)]).withColumn("cost", F.col("time"))
+    assert inspect.signature(routes.shortest_paths).parameters["max_rounds"].default is None
+    with pytest.raises(RuntimeError):
+        routes.shortest_paths(chain, start(spark, "n0"), max_rounds=3)
+    paths = routes.shortest_paths(chain, start(spark, "n0"))
+    assert {r["node"]: r["cost"] for r in paths.collect()} == {f"n{i}": i for i in range(7)}
+    assert [tuple(r) for r in routes.route(paths, "n3").orderBy("index").collect()] == [(i, f"e{i}", f"n{i}", f"n{i + 1}") for i in range(3)]
+
+
+def test_route_of_many_steps(spark):
+    n = 10_500
+    paths = spark.range(n + 1).select(F.col("id").alias("node"), F.col("id").alias("cost"), F.col("id").cast("int").alias("hops"), F.when(F.col("id") > 0, F.concat(F.lit("e"), "id")).alias("via"), F.when(F.col("id") > 0, F.col("id") - 1).alias("prev"))
+    steps = routes.route(paths, n).orderBy("index").collect()
+    assert [tuple(r) for r in steps] == [(i, f"e{i + 1}", i, i + 1) for i in range(n)]
+    assert routes.route(paths, n + 5).count() == 0
+    with pytest.raises(RuntimeError):
+        routes.route(paths.filter("node > 0").withColumn("prev", F.when(F.col("node") == 1, n).otherwise(F.col("prev"))).filter("node < 5 OR node = 10500").withColumn("prev", F.when(F.col("node") == n, 4).otherwise(F.col("prev"))), n)
+
+
 def test_location_search(spark):
     nodes = spark.createDataFrame([("n1", "Hồ Gươm"), ("n2", "Chợ Mơ"), ("n3", "Ga")], "node_id string, name string")
     roads = spark.createDataFrame([("n1", "n2", "Đường Láng"), ("n3", "n2", "Phố Huế")], "source string, target string, road_name string")

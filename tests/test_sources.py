@@ -65,3 +65,10 @@ def test_skills(spark, tmp_path):
 def test_sql_names(spark):
     assert "normalize_text" in register(spark)
     assert spark.sql("SELECT normalize_text('Đà  Nẵng') AS x").first()["x"] == "da nang"
+
+
+def test_restrictions_at_any_depth(spark):
+    depth = 67
+    rows = [("f", 0, "http://e/o/x", "iri", rdf.RDFS + "subClassOf", "b0", "bnode", None, None)]
+    rows += [("f", i + 1, f"b{i}", "bnode", rdf.OWL + "unionOf", f"b{i + 1}", "bnode", None, None) for i in range(depth)]
+    assert rdf.restrictions(spark.createDataFrame(rows, rdf.TRIPLE)).count() == depth + 1
