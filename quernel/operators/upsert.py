@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.session import materialize
+
+EXCERPT = 1000  # messages that fill() brings to the driver; all of them are in its table
+
 
 def merge_properties(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Properties as rows (keys, property, value, ord): the last change of a property wins over the stored value, a property
@@ -51,13 +55,13 @@ def write_all_or_nothing(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def fill(violations: DataFrame, refusals: DataFrame, tables: dict[str, DataFrame], path: str) -> dict:
-    """Validate, then write; any violation or refusal blocks the write."""
-    errors = [r["message"] for r in violations.select("message").limit(1000).collect()]
-    if errors:
-        return {"success": False, "stage": "ontology_validation", "errors": errors}
-    errors = [r["message"] for r in refusals.select("message").limit(1000).collect()]
-    if errors:
-        return {"success": False, "stage": "persistence", "errors": errors}
+    """Validate, then write; any violation or refusal blocks the write. Then ``error_table`` is a written table of all of them,
+    ``error_count`` its number of rows and ``errors`` its first messages, cut where ``errors_are_excerpt``."""
+    for stage, found in (("ontology_validation", violations), ("persistence", refusals)):
+        table = materialize(found, "errors")
+        if count := table.count():
+            errors = [r["message"] for r in table.select("message").limit(EXCERPT).collect()]
+            return {"success": False, "stage": stage, "errors": errors, "error_count": count, "errors_are_excerpt": len(errors) < count, "error_table": table}
     try:
         write_all_or_nothing(tables, path)
     except Exception as error:  # reported with its stage

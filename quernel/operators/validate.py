@@ -167,11 +167,10 @@ def validate_patches(nodes: DataFrame, edges: DataFrame, classes: DataFrame, pro
 
 
 def patch_reports(nodes: DataFrame, edges: DataFrame, violations: DataFrame) -> DataFrame:
-    """(patch_id, valid, errors, node_count, edge_count)"""
-    listed = violations.groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("phase", "ord", "step", "message"))).getField("message").alias("errors"))
+    """(patch_id, valid, errors, node_count, edge_count); ``errors`` is the number of violations, whose messages stay rows."""
     counts = nodes.groupBy("patch_id").agg(F.count("*").alias("node_count")).join(edges.groupBy("patch_id").agg(F.count("*").alias("edge_count")), "patch_id", "full")
-    rows = counts.join(listed, "patch_id", "left").na.fill(0, ["node_count", "edge_count"])
-    return rows.select("patch_id", F.col("errors").isNull().alias("valid"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), "node_count", "edge_count")
+    rows = counts.join(violations.groupBy("patch_id").agg(F.count("*").alias("errors")), "patch_id", "left").na.fill(0, ["node_count", "edge_count", "errors"])
+    return rows.select("patch_id", (F.col("errors") == 0).alias("valid"), "errors", "node_count", "edge_count")
 
 
 EVIDENCE = "array<struct<source: string, section: string, text: string>>"

@@ -248,7 +248,7 @@ def patch_report(spark, sf):
     """Validity, number of errors, nodes and edges of the patch."""
     nodes, edges, classes, properties = order_patch(spark, sf)
     report = validate.patch_reports(nodes, edges, validate.validate_patches(nodes, edges, classes, properties))
-    return report.select("valid", F.size("errors").cast("long").alias("errors"), "node_count", "edge_count")
+    return report.select("valid", "errors", "node_count", "edge_count")
 
 
 @query("""

@@ -152,6 +152,22 @@ def test_patch_violations(spark):
     ]
 
 
+def test_reports_count_violations(spark):
+    n, e = patch(spark, [("p", "pskg:Product", {}), ("q", "pskg:Nope", {})], [])
+    found = validate.validate_patches(n, e, *mini(spark))
+    row = validate.patch_reports(n, e, found).first()
+    assert (row["valid"], row["errors"], row["node_count"], row["edge_count"]) == (False, found.count(), 2, 0)
+
+
+def test_fill_reports_every_violation(spark, tmp_path):
+    bad = spark.range(1005).select(F.concat(F.lit("m"), "id").alias("message"))
+    for violations, refusals, stage in ((bad, bad.limit(0), "ontology_validation"), (bad.limit(0), bad, "persistence")):
+        got = upsert.fill(violations, refusals, {}, str(tmp_path / "out"))
+        assert (got["success"], got["stage"], got["error_count"], got["errors_are_excerpt"]) == (False, stage, 1005, True)
+        assert {r["message"] for r in got["error_table"].collect()} == {f"m{i}" for i in range(1005)}
+    assert not upsert.fill(bad.limit(3), bad, {}, "-")["errors_are_excerpt"]
+
+
 def test_identity(spark):
     rows = [("a", "pskg:BankingProduct", {"pskg:productCode": "  CARD-001  "}, "s"), ("b", "x:Note", {"b": 1, "a": " y  z "}, " f "), ("c", "x:Note", {"a": "y z", "b": 1}, "f"), ("d", "x:Note", {}, None), ("e", "pskg:BankingProduct", {}, "s")]
     nodes = spark.createDataFrame([(t, c, json.dumps(p), s) for t, c, p, s in rows], "temp_id string, class_name string, p string, source_scope string").withColumn("properties", F.parse_json("p"))
