@@ -288,6 +288,11 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hub_rounds: int = 2,
 ) -> DataFrame:
     """row_id, n_shingles, component_id for every row of ``docs``."""
+    return _labels(docs, id_col, text_col, k, percent, hub_rounds).select("row_id", "n_shingles", "component_id")
+
+
+def _labels(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, hub_rounds: int = 2) -> DataFrame:
+    """Components with the class (cid, cid2) of each row and the root of its component, which no other component shares."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     described = materialize(texts.mapInArrow(_describe(k), "row_id long, n long, cid long, cid2 long, part int, counts binary"), "described")
@@ -364,26 +369,57 @@ def jaccard_components(
     roots = connected_components(links)
     of_class = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "cid2", "rep", F.coalesce("root", "cid").alias("root"))
     lowest = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = of_class.join(lowest, "root").select("cid", "cid2", "component_id")
+    named = of_class.join(lowest, "root").select("cid", "cid2", "root", "component_id")
     return rows.join(named, ["cid", "cid2"], "left").select(
         "row_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("row_id").isNotNull(), F.col("component_id")).otherwise(F.col("row_id")).alias("component_id"),
+        "cid", "cid2", "root",
     )
 
 
+def _class_of(k: int):
+    """The class (cid, cid2) of a text, computed as for the components."""
+    schema = pa.struct([("cid", pa.int64()), ("cid2", pa.int64())])
+
+    @F.arrow_udf("struct<cid: bigint, cid2: bigint>")
+    def class_of(texts: pa.Array) -> pa.Array:
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in at.parts([pa.RecordBatch.from_arrays([texts], ["text"])]):
+            for _, _, hashes, bounds in _sets(batch, k):
+                _, a, b = _class_ids(hashes, bounds)
+                one.append(a)
+                two.append(b)
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], fields=list(schema))
+
+    return class_of
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one stays for each component: the one with the smallest id. Rows without an id stay."""
-    labels = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = materialize(labels.filter("row_id <> component_id").select(F.col("row_id").alias(id_col)).distinct(), "gone")
-    bloom = docs.sparkSession.sparkContext.broadcast(blooms.build(gone))
+    """The documents of which one stays for each component: one with the smallest id. Rows without an id stay. An id may
+    repeat: each of its rows goes or stays by its own text."""
+    labels = materialize(_labels(docs, id_col, text_col, k, percent).filter("n_shingles > 0 AND row_id IS NOT NULL"), "labels")
+    # where several texts of a component have its smallest id, those of one class stay
+    firsts = labels.filter("row_id = component_id").groupBy("root").agg(F.min(F.struct("cid", "cid2")).alias("first"))
+    stays = F.expr("row_id = component_id AND cid = first.cid AND cid2 = first.cid2")
+    counts = labels.join(firsts, "root").groupBy("row_id", "cid", "cid2", stays.alias("stays")).agg(F.count("*").alias("rows"))
+    counts = materialize(counts.filter("NOT stays OR rows > 1"), "gone")
+    gone, twice = counts.filter("NOT stays").select("row_id", "cid", "cid2"), counts.filter("stays").select("row_id", "cid", "cid2")
+    bloom = docs.sparkSession.sparkContext.broadcast(blooms.build(counts.select("row_id").distinct()))
 
     @F.pandas_udf("boolean")
     def may_go(ids: pd.Series) -> pd.Series:
         return pd.Series(bloom.value.may_hold(ids.fillna(-1).to_numpy().astype(np.int64)))
 
     # only texts that may go are shuffled for the exact join
-    marked = may_go(F.col(f"`{id_col}`").cast("long"))
-    return docs.filter(~marked).unionByName(docs.filter(marked).join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    row_id = F.col(f"`{id_col}`").cast("long")
+    marked = may_go(row_id)
+    classed = docs.filter(marked).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_id.alias("row_id"), _class_of(k)(F.col(f"`{text_col}`")).alias("class"))
+    keys = ["row_id", "cid", "cid2"]
+    left = classed.select("doc", "row_id", "class.cid", "class.cid2").join(gone, keys, "left_anti")
+    if not twice.isEmpty():
+        single = left.join(twice, keys, "left_semi").groupBy(*keys).agg(F.min_by("doc", F.col("doc").getField(text_col)).alias("doc"))
+        left = left.join(twice, keys, "left_anti").select("doc").unionByName(single.select("doc"))
+    return docs.filter(~marked).unionByName(left.select("doc.*"))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

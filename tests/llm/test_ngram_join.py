@@ -83,6 +83,16 @@ def test_edge_rows(make_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "9", "None", "None"] and "a b" in kept.columns
 
 
+def test_repeated_ids_go_or_stay_by_their_own_text(make_docs):
+    x, y, z, u = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyzu")
+    texts = [(3, y), (5, x), (5, y + " end"), (5, None), (5, None), (7, z), (7, z + " end"), (8, z), (7, u), (7, u.upper()), (None, y), (9, "p q"), (9, "r s")]
+    kept = [(r["doc_id"], r["text"]) for r in N.keep_one_of_each(make_docs([(i, t, "en", "s") for i, t in texts])).collect()]
+    of_z = [r for r in kept if r in [(7, z), (7, z + " end")]]
+    assert len(of_z) == 1
+    rest = [(3, y), (5, x), (5, None), (5, None), (7, u.upper()), (None, y), (9, "p q"), (9, "r s")]
+    assert sorted(map(str, kept)) == sorted(map(str, rest + of_z))
+
+
 def test_no_rows(make_docs):
     assert N.jaccard_components(make_docs([])).count() == 0
     assert N.jaccard_components(make_docs([(1, None, None, None)])).first()["component_id"] == 1
