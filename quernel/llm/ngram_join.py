@@ -331,7 +331,7 @@ def _labels(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, h
         missing = named if sets is None else named.join(sets.select("cid"), "cid", "left_anti")
         wanted = materialize(classes.join(missing, "cid", "left_semi").select("rep"), "wanted")
         bloom = blooms.build(wanted)
-        if sets is None or bloom.words.any():  # a false positive of the filter is one set too many, no more
+        if sets is None or not bloom.is_empty():  # a false positive of the filter is one set too many, no more
             fetched = texts.mapInArrow(_fetch(k, spark.sparkContext.broadcast(bloom)), "cid long, items array<long>")
             fetched = materialize(fetched.dropDuplicates(["cid"]), "sets")
             sets = fetched if sets is None else sets.unionByName(fetched.join(sets.select("cid"), "cid", "left_anti"))

@@ -20,8 +20,9 @@ On Spark:
 Only keys and contexts of repeated phrases are shuffled; the text of documents without a removed byte never is.
 
 Defined results: a null text is empty; nothing is removed from texts shorter than ``length``; repeated rows are copies of each
-other, so long ones lose everything; matches never cross documents; an empty table gives an empty result. Contexts are
-compared byte by byte; keys and counts of equal contexts rest on 64-bit and 128-bit hashes.
+other, so long ones lose everything; matches never cross documents; an empty table gives an empty result; extra columns are
+left out. Contexts are compared byte by byte; counts of equal contexts and the identity of a row (its id and text) rest on
+128-bit hashes, in both halves wherever rows are joined.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from quernel.session import materialize
 
 WINDOW, RADIUS, MAX_GAP = 8, 40, 200
 CHUNK_CONTEXTS = 20_000
+CUT_BYTES = 8_000_000  # of texts that are cut at a time
 HOT_CONTEXTS = 50_000
 INVERSE = np.uint64(pow(int(at.BASE), -1, 2**64))
 OTHER_VALUES = at.mix(at.BYTE_VALUES) | np.uint64(1)
@@ -120,24 +122,24 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _parse(length: int, bloom=None, by: str = "key", contexts: bool = False):
-    """Phrases of the texts of batches (rid, text): all, or those whose key or place may be in a Bloom filter."""
-    fields = [("key", pa.int64()), ("full", pa.int64()), ("rid", pa.int64()), ("trigger", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
+    """Phrases of the texts of batches (rid, rid2, text): all, or those whose key or place may be in a Bloom filter."""
+    fields = [("key", pa.int64()), ("full", pa.int64()), ("rid", pa.int64()), ("rid2", pa.int64()), ("trigger", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
     schema = pa.schema(fields + ([("context", pa.binary())] if contexts else []))
 
     def run(batches):
         for batch in batches:
-            data, offsets = at.bytes_of(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = at.bytes_of(batch.column(2))
+            ids, ids2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, last, part, bounds in at.slices(data, offsets):
                 text, a, lo, hi, key, full = phrases(part, bounds, length)
-                rid = ids[first:last][text]
+                rid, rid2 = ids[first:last][text], ids2[first:last][text]
                 base = bounds[text]
                 if bloom is not None:
                     hit = bloom.value.may_hold(key if by == "key" else place(rid, a - base))
-                    text, a, lo, hi, key, full, rid, base = (x[hit] for x in (text, a, lo, hi, key, full, rid, base))
+                    a, lo, hi, key, full, rid, rid2, base = (x[hit] for x in (a, lo, hi, key, full, rid, rid2, base))
                 for k in range(0, len(a), 20_000 if contexts else 500_000):
                     cut = slice(k, k + (20_000 if contexts else 500_000))
-                    columns = [key[cut], full[cut], rid[cut], a[cut] - base[cut], lo[cut] - base[cut], hi[cut] - base[cut]]
+                    columns = [key[cut], full[cut], rid[cut], rid2[cut], a[cut] - base[cut], lo[cut] - base[cut], hi[cut] - base[cut]]
                     arrays = [pa.array(c) for c in columns]
                     if contexts:
                         whole = part.tobytes() if k == 0 else whole
@@ -199,23 +201,23 @@ def repeated_starts(contexts: list[bytes], before: np.ndarray, after: np.ndarray
     return found
 
 
-SPANS = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+SPANS = pa.schema([("rid", pa.int64()), ("rid2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _compare(length: int):
-    """Removed spans of contexts (key, rid, trigger, lo, hi, copies, context) that come sorted by key."""
+    """Removed spans of contexts (key, rid, rid2, trigger, lo, hi, copies, context) that come sorted by key."""
 
     def chunk(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows).combine_chunks()
-        rid, trigger, lo, hi, copies = (table.column(i).to_numpy() for i in range(1, 6))
-        found = repeated_starts(table.column(6).to_pylist(), trigger - lo, trigger - hi, length)
+        rid, rid2, trigger, lo, hi, copies = (table.column(i).to_numpy() for i in range(1, 7))
+        found = repeated_starts(table.column(7).to_pylist(), trigger - lo, trigger - hi, length)
         found[copies > 1] = False  # these are removed already
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, begin = np.nonzero(edge == 1)
         _, close = np.nonzero(edge == -1)
         start = trigger[row] - (RADIUS + close - 1)  # larger distances start earlier
         end = trigger[row] - (RADIUS + begin) + length
-        return pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(start), pa.array(end)], schema=SPANS)
+        return pa.RecordBatch.from_arrays([pa.array(rid[row]), pa.array(rid2[row]), pa.array(start), pa.array(end)], schema=SPANS)
 
     def run(batches):
         held, rows, last = [], 0, None
@@ -243,25 +245,25 @@ def _compare(length: int):
 
 
 def _strings(length: int):
-    """Every string of contexts (key, rid, trigger, lo, hi, copies, context): two hashes, rid and start."""
-    schema = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("rid", pa.int64()), ("start", pa.int64())])
+    """Every string of contexts (key, rid, rid2, trigger, lo, hi, copies, context): two hashes, rid, rid2 and start."""
+    schema = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("rid", pa.int64()), ("rid2", pa.int64()), ("start", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(6)[i].as_py(), np.uint8)
+                data = np.frombuffer(batch.column(7)[i].as_py(), np.uint8)
                 start = np.arange(len(data) - length + 1)
-                rid, lo = batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
+                rid, rid2, lo = (batch.column(k)[i].as_py() for k in (1, 2, 4))
                 one, two = (Hashed(data, v).of(start, start + length).view(np.int64) for v in (at.BYTE_VALUES, OTHER_VALUES))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(start), rid)), pa.array(start + lo)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(start), rid)), pa.array(np.full(len(start), rid2)), pa.array(start + lo)], schema=schema)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """(rid, start, end): spans of bytes covered by repeated strings; they may overlap. ``docs``: rid, text."""
+    """(rid, rid2, start, end): spans of bytes covered by repeated strings; they may overlap. ``docs``: rid, rid2, text."""
     spark = docs.sparkSession
-    phrase_columns = "key long, full long, rid long, trigger long, lo long, hi long"
+    phrase_columns = "key long, full long, rid long, rid2 long, trigger long, lo long, hi long"
     texts = docs.filter(F.octet_length("text") >= length)
     keys = texts.mapInArrow(_parse(length), phrase_columns).select("key").groupBy("key").count().filter("count > 1").select("key")
     keys = materialize(keys, "keys")
@@ -269,54 +271,48 @@ def repeated_spans(docs: DataFrame, length: int, hot_contexts: int = HOT_CONTEXT
     repeated = texts.mapInArrow(_parse(length, bloom), phrase_columns).join(keys, "key", "left_semi")
     repeated = materialize(repeated, "repeated")
     contexts = materialize(
-        repeated.groupBy("key", "full").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "trigger", "lo", "hi")).alias("one")), "contexts"
+        repeated.groupBy("key", "full").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "rid2", "trigger", "lo", "hi")).alias("one")), "contexts"
     )
     equal = repeated.join(contexts.filter("copies > 1").select("key", "full"), ["key", "full"], "left_semi")
-    spans = equal.select("rid", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    spans = equal.select("rid", "rid2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     mixed = contexts.groupBy("key").agg(F.count("*").alias("contexts"), F.min("copies").alias("least")).filter("contexts > 1 AND least = 1")
     unclear = materialize(
-        contexts.join(mixed.select("key", "contexts"), "key").select("key", "one.rid", "one.trigger", "copies", "contexts"), "unclear"
+        contexts.join(mixed.select("key", "contexts"), "key").select("key", "one.rid", "one.rid2", "one.trigger", "copies", "contexts"), "unclear"
     )
     places = spark.sparkContext.broadcast(blooms.build(unclear.select("rid", "trigger").mapInArrow(_place_of, "place long")))
     found = texts.mapInArrow(_parse(length, places, "place", True), phrase_columns + ", context binary")
-    full = found.join(unclear.select("rid", "trigger", "key", "copies", "contexts"), ["rid", "trigger", "key"]).dropDuplicates(["rid", "trigger", "key"])
-    full = materialize(full.select("key", "rid", "trigger", "lo", "hi", "copies", "context", "contexts"), "context_bytes")
+    at_place = ["rid", "rid2", "trigger", "key"]
+    full = found.join(unclear.select(*at_place, "copies", "contexts"), at_place).dropDuplicates(at_place)
+    full = materialize(full.select("key", "rid", "rid2", "trigger", "lo", "hi", "copies", "context", "contexts"), "context_bytes")
     cold = full.filter(F.col("contexts") <= hot_contexts).drop("contexts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, -(-full.count() // CHUNK_CONTEXTS))
-    compared = cold.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(length), "rid long, start long, end long")
+    compared = cold.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(length), "rid long, rid2 long, start long, end long")
     hot = full.filter(F.col("contexts") > hot_contexts).drop("contexts")
-    strings = hot.mapInArrow(_strings(length), "one long, two long, rid long, start long")
+    strings = hot.mapInArrow(_strings(length), "one long, two long, rid long, rid2 long, start long")
     often = strings.groupBy("one", "two").count().filter("count > 1").select("one", "two")
-    hot_spans = strings.join(often, ["one", "two"], "left_semi").select("rid", "start", (F.col("start") + length).alias("end"))
+    hot_spans = strings.join(often, ["one", "two"], "left_semi").select("rid", "rid2", "start", (F.col("start") + length).alias("end"))
     return spans.unionByName(compared).unionByName(hot_spans)
 
 
 def _cut(batches):
-    """n_bytes, n_removed, n_spans and the remaining text of rows (row_id, text, spans)."""
-    schema = pa.schema([("row_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    """Bytes, bytes and spans removed, characters kept and the remaining text of rows (row_id, text, spans)."""
+    schema = pa.schema([("row_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_kept_chars", pa.int64()), ("kept", pa.binary())])
     for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
-            data, offsets = at.bytes_of(part.column(1))
-            spans = part.column(2).to_pylist()
-            rows = [[], [], [], []]
-            for i, found in enumerate(spans):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                merged: list[list[int]] = []
-                for start, end in sorted((s["start"], s["end"]) for s in found or ()):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([start, end])
-                kept, before = [], 0
-                for start, end in merged:
-                    kept.append(raw[before:start])
-                    before = end
-                kept.append(raw[before:])
-                for column, value in zip(rows, (len(raw), sum(e - s for s, e in merged), len(merged), b"".join(kept))):
+        data, offsets = at.bytes_of(batch.column(1))
+        for first, last, part, bounds in at.slices(data, offsets, CUT_BYTES):
+            rows = [[], [], [], [], []]
+            for i, found in enumerate(batch.column(2).slice(first, last - first).to_pylist()):
+                raw = part[bounds[i] : bounds[i + 1]]
+                edge = np.zeros(len(raw) + 1, dtype=np.int32)
+                np.add.at(edge, [s["start"] for s in found or ()], 1)
+                np.add.at(edge, [s["end"] for s in found or ()], -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = raw[~gone]
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
+                for column, value in zip(rows, (len(raw), int(gone.sum()), spans, int(np.count_nonzero((kept & 0xC0) != 0x80)), kept.tobytes())):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(r, pa.int64()) for r in rows[:4]), pa.array(rows[4], pa.binary())], schema=schema)
 
 
 def _maybe(bloom):
@@ -329,25 +325,28 @@ def _maybe(bloom):
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """row_id, n_bytes, n_removed, n_spans and the kept bytes of every row of ``docs``."""
+    """row_id, n_bytes, n_removed, n_spans, n_kept_chars (UTF-8 lead bytes that stay) and the kept bytes of every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("rid", F.xxhash64("row_id", "text"))
-    found = repeated_spans(rows.select("rid", "text"), length, hot_contexts)
-    spans = materialize(found.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    rows = rows.withColumn("rid", F.xxhash64("row_id", "text")).withColumn("rid2", F.xxhash64(F.lit(2), "row_id", F.length("text"), "text"))
+    found = repeated_spans(rows.select("rid", "rid2", "text"), length, hot_contexts)
+    spans = materialize(found.groupBy("rid", "rid2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     bloom = spark.sparkContext.broadcast(blooms.build(spans.select("rid")))
-    marked = rows.select("rid", "row_id", "text").mapInArrow(_maybe(bloom), "rid long, row_id long, text string, hit boolean")
+    marked = rows.select("rid", "rid2", "row_id", "text").mapInArrow(_maybe(bloom), "rid long, rid2 long, row_id long, text string, hit boolean")
+    none = F.lit(0).cast("long")
     whole = marked.filter("NOT hit").select(
-        "row_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept")
+        "row_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.length("text").cast("long").alias("n_kept_chars"), F.col("text").cast("binary").alias("kept"),
     )
-    cut = marked.filter("hit").join(spans, "rid", "left").select("row_id", "text", "spans").mapInArrow(_cut, "row_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return whole.unionByName(cut)
+    cut = marked.filter("hit").join(spans, ["rid", "rid2"], "left").select("row_id", "text", "spans")
+    return whole.unionByName(cut.mapInArrow(_cut, "row_id long, n_bytes long, n_removed long, n_spans long, n_kept_chars long, kept binary"))
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).select(
-        F.col("row_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        F.col("row_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept_bytes"), "n_kept_chars",
     )
 
 
@@ -363,6 +362,7 @@ c AS (SELECT s.doc_id, count(*) AS spans, sum(z - a) AS removed,
         string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) || hex(array_slice(any_value(b), max(z) + 1, any_value(n))) AS kept
       FROM (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-  sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+  sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256, CAST(n - coalesce(removed, 0) AS BIGINT) AS n_kept_bytes,
+  CAST(CASE WHEN kept IS NULL THEN length(decode(b)) ELSE length(regexp_replace(regexp_replace(kept, '([89AB][0-9A-F]|([0-7C-F][0-9A-F]))', '\2', 'g'), '..', 'x', 'g')) END AS BIGINT) AS n_kept_chars
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """

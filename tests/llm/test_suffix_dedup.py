@@ -21,7 +21,7 @@ def brute(texts, length):
     for t, m in zip(texts, marks):
         gone = np.cumsum(m)[: len(t)] > 0
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        out.append((len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), kept))
+        out.append((len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), sum(b & 0xC0 != 0x80 for b in kept), kept))
     return out
 
 
@@ -39,7 +39,7 @@ def texts(seed):
 @pytest.mark.parametrize("seed, hot", [(1, 10**6), (2, 1), (3, 4)])
 def test_equals_brute_force(make_docs, seed, hot):
     rows = texts(seed)
-    got = {r["row_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(make_docs([(i, t, "en", None) for i, t in enumerate(rows)]), hot_contexts=hot).collect()}
+    got = {r["row_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["n_kept_chars"], bytes(r["kept"])) for r in S.remove_repeats(make_docs([(i, t, "en", None) for i, t in enumerate(rows)]), hot_contexts=hot).collect()}
     assert [got[i] for i in range(len(rows))] == brute([(t or "").encode() for t in rows], 400)
 
 
@@ -49,6 +49,24 @@ def test_repeated_rows_and_null_ids(make_docs):
     assert got == [("1", 600), ("1", 600), ("None", 0)]
 
 
+@pytest.mark.parametrize("most", [13, 14])
+def test_filters_that_cannot_hold_the_keys_change_nothing(make_docs, monkeypatch, most):
+    """Beyond its bits a filter lets everything pass, and the exact joins decide."""
+    monkeypatch.setattr(S.blooms, "MOST_BITS", most)
+    monkeypatch.setattr(S.blooms, "LEAST_BITS", 12)
+    rows = texts(5)
+    got = {r["row_id"]: (r["n_removed"], bytes(r["kept"])) for r in S.remove_repeats(make_docs([(i, t, "en", None) for i, t in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == [(w[1], w[4]) for w in brute([(t or "").encode() for t in rows], 400)]
+
+
+def test_very_long_text(make_docs):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    rows = ["".join(rng.choice("abcdefgh ") for _ in range(1_500_000)) + shared + "x", "y" + shared]
+    got = {r["row_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in S.remove_repeats(make_docs([(i, t, "en", None) for i, t in enumerate(rows)])).collect()}
+    assert got == {0: (1_501_001, 1000, 1), 1: (1001, 1000, 1)}
+
+
 def test_empty_table(make_docs):
     assert S.remove_repeats(make_docs([])).count() == 0
 
@@ -67,8 +85,8 @@ def test_chunks_keep_keys_together(monkeypatch):
     monkeypatch.setattr(S, "CHUNK_CONTEXTS", 3)
     rng = random.Random(4)
     shared = bytes(rng.randrange(97, 120) for _ in range(700))
-    rows = [(k, i, 240, 100, 180, 1, bytes(rng.randrange(97, 120) for _ in range(60)) + shared[:420]) for k in range(3) for i in range(5)]
-    names = ["key", "rid", "trigger", "lo", "hi", "copies", "context"]
+    rows = [(k, i, -i, 240, 100, 180, 1, bytes(rng.randrange(97, 120) for _ in range(60)) + shared[:420]) for k in range(3) for i in range(5)]
+    names = ["key", "rid", "rid2", "trigger", "lo", "hi", "copies", "context"]
     table = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
     whole = [tuple(r.values()) for b in S._compare(400)([table]) for r in b.to_pylist()]
     parts = [tuple(r.values()) for b in S._compare(400)([table.slice(i, 2) for i in range(0, 15, 2)]) for r in b.to_pylist()]
