@@ -8,11 +8,13 @@ shards differ by one row at most and slots are gapless. Law: ``rows``.
 
 Bounds: a block or range holds about ``rows_per_task`` rows, so tasks don't grow with the table until there are MOST_PARTS of
 them (two billion rows), and then by narrow rows only. The matrix has at most MOST_PARTS squared cells (32 MB); it is drawn
-on the driver from the block counts alone, handed back as literals and broadcast. Everything that touches rows is DataFrame
+on the driver from the block counts alone, written as a table in parts of PLAN_BLOCKS blocks, so that no plan carries more
+than that, and broadcast. Tables of any number of rows have a matrix: where counts are beyond numpy's sampler (a billion), blocks
+are split in halves first, by draws from the hypergeometric law around its mode. Everything that touches rows is DataFrame
 functions.
 
 Defined results: a null text has size 8 and checksum 0; repeated rows each get a slot of their own; an empty table gives
-an empty result; fewer rows than shards leave the last shards empty. Ties in the hash are broken by id and checksum, and
+an empty result; fewer rows than shards leave the last shards empty; extra columns are left out. Ties in the hash are broken by id and checksum, and
 rows that agree in all three are interchangeable, so reruns agree.
 """
 
@@ -29,15 +31,57 @@ from quernel.session import materialize
 SHARDS = 24
 ROWS_PER_TASK = 1_000_000
 LEAST_BLOCKS, MOST_PARTS = 64, 2016  # of blocks, and of slot ranges: the matrix has at most MOST_PARTS ** 2 cells
+PLAN_BLOCKS = 64
+NUMPY_MOST = 10**9
+
+
+def draw_split(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
+    """How many of ``draws`` rows, taken from ``good + bad``, are good: a hypergeometric draw for counts of any size.
+
+    Chances follow from the mode by the ratio of neighbours; so far from it that they underflow, nothing is ever drawn.
+    """
+    total = good + bad
+    least, most = max(0, draws - bad), min(draws, good)
+    if total < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
+    mode = min(most, max(least, (draws + 1) * (good + 1) // (total + 2)))
+    spread = (draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1))) ** 0.5
+    reach = int(40 * spread) + 40
+    low, high = max(least, mode - reach), min(most, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)  # ratio of the chances of k + 1 and k
+    ratio = np.log((good - k) * (draws - k)) - np.log((k + 1) * (bad - draws + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    chance = np.cumsum(np.exp(logs - logs[mode - low]))
+    return low + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
 
 
 def draw_matrix(block_sizes: list[int], range_sizes: list[int], seed: int) -> np.ndarray:
     """Counts of a uniform random permutation between blocks (rows) and slot ranges (columns)."""
-    rng, left = np.random.default_rng(seed), np.array(range_sizes, dtype=np.int64)
-    matrix = np.zeros((len(block_sizes), len(left)), dtype=np.int64)
-    for i, size in enumerate(block_sizes):
-        matrix[i] = rng.multivariate_hypergeometric(left, size, method="marginals") if size else 0
-        left -= matrix[i]
+    rng = np.random.default_rng(seed)
+    matrix = np.zeros((len(block_sizes), len(range_sizes)), dtype=np.int64)
+
+    def fill(first: int, last: int, columns: np.ndarray) -> None:
+        """The rows first .. last of the matrix, given their sum in each column."""
+        if int(columns.sum()) < NUMPY_MOST:
+            left = columns.copy()
+            for i in range(first, last):
+                size = block_sizes[i]
+                matrix[i] = rng.multivariate_hypergeometric(left, size, method="marginals") if size else 0
+                left -= matrix[i]
+        elif last - first == 1:
+            matrix[first] = columns
+        else:
+            middle = (first + last) // 2
+            wanted, rest = sum(block_sizes[first:middle]), int(columns.sum())
+            upper = np.zeros_like(columns)
+            for c, size in enumerate(columns.tolist()):
+                rest -= size
+                upper[c] = draw_split(size, rest, wanted, rng)
+                wanted -= int(upper[c])
+            fill(first, middle, upper)
+            fill(middle, last, columns - upper)
+
+    fill(0, len(block_sizes), np.array(range_sizes, dtype=np.int64))
     return matrix
 
 
@@ -67,8 +111,13 @@ def shuffle_into_shards(
     matrix = draw_matrix([counts.get(b, 0) for b in range(blocks)], ranges, seed)
     ends = np.cumsum(matrix, axis=1).tolist()
     # one row for each block: where its runs of rows for each range end
-    plan = spark.range(1).select(F.posexplode(F.array(*[F.lit(json.dumps(e)) for e in ends])).alias("block", "ends"))
-    plan = F.broadcast(plan.select("block", F.from_json("ends", "array<long>").alias("ends")))
+    plan = None
+    for start in range(0, blocks, PLAN_BLOCKS):
+        part = spark.range(1).select(F.posexplode(F.array(*[F.lit(json.dumps(e)) for e in ends[start : start + PLAN_BLOCKS]])).alias("at", "ends"))
+        part = part.select((F.col("at") + F.lit(start)).alias("block"), F.from_json("ends", "array<long>").alias("ends"))
+        part = materialize(part, "plan") if blocks > PLAN_BLOCKS else part
+        plan = part if plan is None else plan.unionByName(part)
+    plan = F.broadcast(plan)
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 2), "ticket"), "row_id", "text_crc32")
     ranked = rows.withColumn("rank", (F.row_number().over(local) - 1).cast("long")).join(plan, "block")
     dealt = ranked.withColumn("col", F.size(F.filter("ends", lambda e: e <= F.col("rank")))).drop("ends")
