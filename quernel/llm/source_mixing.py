@@ -12,14 +12,18 @@ words / weight while the level of the rest exceeds their cap.
 * The few slots by which a source falls short of its target (the discrepancy grows with the logarithm of the schedule)
   follow at the end; slots beyond the target are dropped. The last slot of a source is cut to the rounded target.
 
-Positions in the streams and ranks of slots are two-level prefix sums (bucket totals first, then within a bucket), so no
-task holds a whole source. Sources are matched with schedule points through 4096 bins of the unit interval: an
-equi-join, without a broadcast of unknown size.
+The order of the mix is the slot: each document has the slot at which its first word comes, and the mixed documents are written
+in runs of RUN_SLOTS slots, in order within each file, so that every file holds the sources in the shares of their targets.
+
+Positions in the streams, ranks of slots and sums over sources are two-level prefix sums (totals of buckets or ranges first,
+then within one), so no task holds a whole source or all sources. Sources are matched with schedule points through 4096 bins of
+the unit interval: an equi-join, without a broadcast of unknown size.
 
 Inside, a source is a key string that is never null and sorts as sources do.
 
 Defined results: null texts and texts without words have size 0 and are never taken; null sources are one source, last in
-order; repeated rows each have their own place in the stream; an empty table gives an empty result.
+order; repeated rows each have their own place in the stream; an empty table gives an empty result; extra columns stay with
+their rows. Rows that are equal in every column are interchangeable.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ BLOCK_WORDS = 4096
 BUCKET_DIGITS = 3  # hex digits of the shuffle key that make a bucket of a source's stream
 SLOT_CHUNK = 65536
 BINS = 4096
+RUN_SLOTS = 64  # slots of the mix that go into one file together
 
 
 def source_key(source: Column) -> Column:
@@ -46,32 +51,48 @@ def source_of(key: Column) -> Column:
     return F.when(F.startswith(key, F.lit("0")), F.substring(key, F.lit(2), F.length(key)))
 
 
+def row_hash(docs: DataFrame, columns) -> Column:
+    """A hash of the columns in which a null differs from every value and from a value of the next column."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+
+
+def running(rows: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """``rows`` with ``<value>_before``, the sum over all rows before in a total order: first by ranges, then within a range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranged")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    starts = ranged.groupBy("range").agg(*[F.sum(v).alias(v) for v in values])
+    starts = starts.select("range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_start") for v in values])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(starts), "range").select(
+        *rows.columns, *[(F.col(f"{v}_start") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(f"{v}_before") for v in values]
+    )
+
+
 def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """totals(source, source_size) with weight and target. One row per source, so single-partition windows are small."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    by_ratio = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    ranked = totals.withColumn("weight", weight.cast("long")).select(
-        "*",
-        (F.lit(share) * F.sum("source_size").over(everything) - F.lit(float(cap)) * F.coalesce(F.sum("source_size").over(before), F.lit(0))).alias("open"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("open_weight"),
+    """totals(source, source_size) with number in the order of sources, weight and target."""
+    placed = running(totals.withColumn("one", F.lit(1).cast("long")), [F.col("source")], ["one"]).withColumnRenamed("one_before", "number")
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))
+    placed = placed.withColumn("weight", weight).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    ranked = running(placed, [F.col("ratio"), F.col("source")], ["one", "source_size", "weight"])
+    words, weight_sum = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    ranked = ranked.withColumn("open", F.lit(share * (words or 0)) - F.lit(float(cap)) * F.col("source_size_before")).withColumn(
+        "open_weight", F.lit(weight_sum or 0).cast("long") - F.col("weight_before")
     ).withColumn("capped", F.col("open") * F.col("weight") / F.col("open_weight") > F.lit(float(cap)) * F.col("source_size"))
-    level_open = F.min(F.when(~F.col("capped"), F.struct("rank", "open", "open_weight"))).over(everything)
-    ranked = ranked.withColumn("rank", F.row_number().over(by_ratio)).withColumn("level", level_open)
-    target = F.when(F.col("capped"), F.lit(float(cap)) * F.col("source_size")).otherwise(
-        F.col("level.open") * F.col("weight") / F.col("level.open_weight")
-    )
-    return ranked.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).cast("double").alias("target"))
+    # the level of the first source that stays below its cap holds for all of them
+    level = ranked.filter("NOT capped").agg(F.min(F.struct("one_before", "open", "open_weight")).alias("first")).first()["first"]
+    target = F.lit(float(cap)) * F.col("source_size")
+    if level is not None:
+        target = F.when(F.col("capped"), target).otherwise(F.lit(level["open"]) * F.col("weight") / F.lit(level["open_weight"]))
+    return ranked.select("source", "source_size", "number", "weight", F.coalesce(target, F.lit(0.0)).cast("double").alias("target"))
 
 
-def word_streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+def word_streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, hashed) -> tuple[DataFrame, DataFrame]:
     """Places of documents in their source's shuffled stream (row_id, source, size, row_hash, bucket, place, at), and totals."""
     rows = docs.select(
         F.col(id_col).alias("row_id"), source_key(F.col(source_col)).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_hash"),
+        row_hash(docs, hashed).alias("row_hash"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
     ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     rows = materialize(rows, "sizes")
@@ -102,15 +123,14 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     needs = targets.withColumn("words", F.round("target").cast("long")).withColumn(
         "slots", slots_needed(F.col("words"), F.col("source_size"), block_words)
     ).filter("slots > 0")
-    everything = Window.partitionBy()
-    upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_slots = F.lit(needs.agg(F.sum("slots")).first()[0] or 0)
     bounds = materialize(
-        needs.select(
-            "source", "slots", (F.sum("slots").over(upto) / F.sum("slots").over(everything)).alias("hi"),
-        ).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("hi")), F.lit(0.0))),
+        running(needs.select("source", "number", "slots"), [F.col("source")], ["slots"]).select(
+            "source", "number", "slots", (F.col("slots_before") / all_slots).alias("lo"), ((F.col("slots_before") + F.col("slots")) / all_slots).alias("hi"),
+        ),
         "bounds",
     )
-    total = bounds.agg(F.sum("slots")).first()[0] or 0
+    total, sources = (x or 0 for x in bounds.agg(F.sum("slots"), F.max("number") + 1).first())
     binned = bounds.withColumn("bin", F.explode(F.expr(f"sequence(cast(floor(lo * {BINS}) AS int), cast(least({BINS} - 1, floor(hi * {BINS})) AS int))")))
     golden = F.col("i") * F.lit(0.6180339887498949)
     points = spark.range(total).toDF("i").withColumn("u", golden - F.floor(golden)).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
@@ -125,20 +145,20 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ).filter("rank < slots")
     got = chunks.groupBy("source").agg(F.sum("n").alias("got"))
     short = bounds.join(got, "source", "left").select(
-        "source", "slots", F.coalesce("got", F.lit(0)).alias("got")
+        "source", "number", "slots", F.coalesce("got", F.lit(0)).alias("got")
     ).filter("got < slots")
-    late = short.select("source", F.explode(F.expr("sequence(got, slots - 1)")).alias("rank")).select(
-        (F.lit(total) + F.col("rank")).alias("slot"), "source", "rank"
+    late = short.select("source", "number", "got", F.explode(F.expr("sequence(got, slots - 1)")).alias("rank")).select(
+        (F.lit(total) + (F.col("rank") - F.col("got")) * F.lit(sources) + F.col("number")).alias("slot"), "source", "rank"
     )
     return ranked.select("slot", "source", "rank").unionByName(late)
 
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-    share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS,
+    share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS, hashed=None,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix as pieces (slot, row_id, source, size, row_hash, bucket, place, pass, first_word, n_words), and all documents with their targets."""
-    streams, totals = word_streams(docs, id_col, text_col, source_col)
+    streams, totals = word_streams(docs, id_col, text_col, source_col, hashed or [id_col, text_col, source_col])
     targets = materialize(source_targets(totals, weights, share, cap), "targets")
     placed = streams.join(targets, "source").select(*streams.columns, "source_size", "target", F.round("target").cast("long").alias("words"))
     placed = materialize(placed, "streams")
@@ -163,27 +183,30 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as rows of ``docs``: one for each pass that takes words of a document. Where a pass ends inside a document, the
-    words taken are joined by single spaces. Rows that share id, text and source are interchangeable."""
-    pieces, _ = mix_sources(docs, id_col, text_col, source_col, **options)
-    passes = pieces.groupBy("row_hash", "row_id", "source", "bucket", "place", "size", "pass").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
-    passes = passes.select("row_hash", F.coalesce(F.col("row_id").cast("string"), F.lit("")).alias("row_name"), "size", "first_word", "n_words")
+    """The mix as rows of ``docs``: one for each pass that takes words of a document, in runs of the mix (see above). Where a pass
+    ends inside a document, the words taken are joined by single spaces. Rows equal in every column are interchangeable."""
+    pieces, _ = mix_sources(docs, id_col, text_col, source_col, hashed=docs.columns, **options)
+    passes = pieces.groupBy("row_hash", "row_id", "source", "bucket", "place", "size", "pass").agg(
+        F.min("slot").alias("slot"), F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words")
+    )
+    passes = passes.select("row_hash", F.coalesce(F.col("row_id").cast("string"), F.lit("")).alias("row_name"), "size", "slot", "first_word", "n_words")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     named = docs.select(
-        whole.alias("row"), F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)).alias("row_hash"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row_name")
+        whole.alias("row"), row_hash(docs, docs.columns).alias("row_hash"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row_name")
     ).dropDuplicates(["row_hash", "row_name"])
     text = F.col(f"row.`{text_col}`")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ")
     taken = F.when(F.col("n_words") < F.col("size"), cut).otherwise(text)
     joined = named.join(passes, ["row_hash", "row_name"])
-    return joined.select(*[taken.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    mixed = joined.select("slot", F.struct(*[taken.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row"))
+    return mixed.repartition(F.expr(f"slot div {RUN_SLOTS}")).sortWithinPartitions("slot").select("row.*")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
     mixed, placed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = mixed.groupBy("source", "bucket", "place").agg(F.sum("n_words").alias("taken"))
+    taken = mixed.groupBy("source", "bucket", "place").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     return placed.join(taken, ["source", "bucket", "place"], "left").select(
-        F.col("row_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        F.col("row_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
     )
 
 
@@ -201,8 +224,22 @@ l AS (SELECT *, min_by({'o': open, 'w': open_weight}, rank) FILTER (NOT capped)
 g AS (SELECT source, source_size, CASE WHEN capped THEN 2.0::DOUBLE * source_size ELSE level.o * weight / level.w END AS target FROM l),
 p AS (SELECT d.*, g.source_size, g.target, CAST(round_even(target, 0) AS BIGINT) AS words,
         coalesce(CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pos
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place,
+        CAST((words // greatest(source_size, 1)) * ceil(source_size / 4096) + ceil((words - (words // greatest(source_size, 1)) * source_size) / 4096) AS BIGINT) AS slots
+      FROM (SELECT DISTINCT source, source_size, words FROM p)),
+b AS (SELECT *, CAST(sum(slots) OVER () AS BIGINT) AS total, count(*) OVER () AS places,
+        CAST(sum(slots) OVER (ORDER BY place) AS BIGINT) AS upto FROM n WHERE slots > 0),
+u AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u FROM range((SELECT max(total) FROM b)) t(i)),
+h AS (SELECT source, slots, i AS slot, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS rank
+      FROM b JOIN u ON u >= (upto - slots)::DOUBLE / total AND u < upto::DOUBLE / total),
+w AS (SELECT source, slot, rank FROM h WHERE rank < slots),
+late AS (SELECT b.source, total + (unnest(range(got, slots)) - got) * (SELECT max(place) + 1 FROM b) + place AS slot, unnest(range(got, slots)) AS rank
+      FROM (SELECT b.*, (SELECT count(*) FROM h WHERE h.source IS NOT DISTINCT FROM b.source) AS got FROM b) b WHERE got < slots),
+f AS (SELECT * FROM w UNION ALL SELECT * FROM late)
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(pos + size, words) - pos) + greatest(0, least(source_size + pos + size, words) - source_size - pos) AS BIGINT) AS taken FROM p
+  CAST(greatest(0, least(pos + size, words) - pos) + greatest(0, least(source_size + pos + size, words) - source_size - pos) AS BIGINT) AS taken,
+  CAST(f.slot AS BIGINT) AS first_slot
+FROM p LEFT JOIN f ON f.source IS NOT DISTINCT FROM p.source AND f.rank = pos // 4096 AND size > 0 AND pos < words
 """
 ORACLE = ORACLE.replace("round_even(target, 0)", "round(target)")

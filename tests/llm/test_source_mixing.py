@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import source_mixing as M
 
@@ -28,7 +30,11 @@ def test_takes_follow_targets(make_docs, block):
         key = (r["source"], r["bucket"], r["place"])
         taken[key] = taken.get(key, 0) + r["n_words"]
         assert r["n_words"] <= block and 0 <= r["first_word"] and r["first_word"] + r["n_words"] <= r["size"]
-    assert len({r["slot"] for r in mixed.select("slot", "source").collect()}) == mixed.select("slot").distinct().count()
+    of_slot = {}
+    for r in mixed.collect():
+        of_slot.setdefault(r["slot"], set()).add(r["source"])
+        assert r["n_words"] <= block
+    assert all(len(sources) == 1 for sources in of_slot.values())  # a slot belongs to one source
     totals, got = {}, {}
     all_rows = placed.collect()
     assert len(all_rows) == len(rows)
@@ -46,9 +52,13 @@ def test_takes_follow_targets(make_docs, block):
 
 def test_schedule_is_even(spark):
     """Any run of slots holds each source in proportion to its target, to within a few slots."""
-    targets = spark.createDataFrame([("0a", 50_000, 60_000.0), ("0b", 50_000, 30_000.0), ("0c", 5_000, 10_000.0)], "source string, source_size long, target double")
+    targets = spark.createDataFrame([("0a", 50_000, 0, 60_000.0), ("0b", 50_000, 1, 30_000.0), ("0c", 5_000, 2, 10_000.0)], "source string, source_size long, number long, target double")
     order = [r["source"] for r in M.schedule(targets, 100).orderBy("slot").collect()]
     assert len(order) == 1000 and order.count("0a") == 600
+    rows = M.schedule(targets, 100).collect()
+    assert len({r["slot"] for r in rows}) == 1000
+    for source in ("0a", "0b", "0c"):
+        assert [r["rank"] for r in sorted(rows, key=lambda r: r["slot"]) if r["source"] == source] == list(range(order.count(source)))
     for at in range(0, 900, 50):
         assert abs(order[at : at + 100].count("0a") - 60) <= 6
 
@@ -68,3 +78,96 @@ def test_no_rows_and_no_words(make_docs):
     for rows in ([], [(1, None, None, None), (2, " ", "en", "s")]):
         mixed, placed = M.mix_sources(make_docs(rows))
         assert mixed.count() == 0 and placed.count() == len(rows)
+
+
+def brute_slots(sizes, block):
+    """The slots of each source in order: golden-ratio points through the cumulative numbers of slots, the missing ones last."""
+    targets = brute_targets(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    need = {}
+    for s in order:
+        words = int(targets[s] + 0.5)
+        passes, rest = divmod(words, max(sizes[s], 1))
+        need[s] = passes * -(-sizes[s] // block) + -(-rest // block)
+    total, slots = sum(need.values()), {s: [] for s in order}
+    for i in range(total):
+        u = i * 0.6180339887498949 % 1
+        upto = 0
+        for s in order:
+            if u < (upto + need[s]) / total:
+                break
+            upto += need[s]
+        slots[s].append(i)
+    for place, s in enumerate(order):
+        late = [total + k * len(order) + place for k in range(need[s] - len(slots[s]))]
+        slots[s] = slots[s][: need[s]] + late
+    return slots
+
+
+def test_documents_come_at_the_slots_of_the_schedule(make_docs):
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" * rng.randint(1, 30)), "en", rng.choice(["a", "b", "c", None])) for i in range(200)]
+    mixed, placed = M.mix_sources(make_docs(rows), block_words=50)
+    sizes, streams = {}, {}
+    for i, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+        streams.setdefault(s, []).append((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())))
+    slots = brute_slots(sizes, 50)
+    first = {r["row_id"]: r["slot"] for r in mixed.groupBy("row_id").agg(F.min("slot").alias("slot")).collect()}
+    for s, stream in streams.items():
+        at = 0
+        for _, i, n in sorted(stream):
+            if i in first:
+                assert first[i] == slots[s][at // 50]
+            else:
+                assert at >= int(brute_targets(sizes)[s] + 0.5)
+            at += n
+    # the mix is even: in any run of slots each source has its share
+    targets, total = brute_targets(sizes), sum(brute_targets(sizes).values())
+    of = {slot: s for s in slots for slot in slots[s]}
+    order = [of[k] for k in sorted(of)]
+    for at in range(0, len(order) - 40, 20):
+        for s in sizes:
+            assert abs(order[at : at + 40].count(s) - 40 * targets[s] / total) <= 4
+
+
+def test_sums_over_many_sources(make_docs, spark):
+    """One source for each document: prefix sums over ranges of sources equal plain ones."""
+    rows = [(i, " ".join("w" * (i % 23 + 1)), "en", f"site{i * 7919 % 1000}") for i in range(300)]
+    _, placed = M.mix_sources(make_docs(rows))
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    assert all(r["target"] == pytest.approx(want[r["source"][1:]]) for r in placed.collect())
+
+
+def test_rows_that_differ_in_one_column_only_all_stay(spark):
+    rows = [(1, None, "en", "w x y"), (1, "w x y", "en", None), (2, "a b", "de", "s"), (2, "a b", "en", "s"), (2, "a b", None, "s"), (None, "n n", "en", "s"), (None, "n n", "fr", "s"), (3, "c d", "en", "s"), (3, "c d", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = M.mixed_documents(docs, share=2.0).collect()
+    want = [r for r in rows if r[1] for _ in range(2)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_mixed_documents_come_in_runs_of_the_mix(make_docs):
+    rows = [(i, " ".join("w" * 20), "en", "ab"[i % 2]) for i in range(400)]
+    docs = make_docs(rows)
+    mixed, _ = M.mix_sources(docs, block_words=20, hashed=docs.columns)
+    slot = {}
+    for r in mixed.collect():
+        slot.setdefault(r["row_id"], set()).add(r["slot"])
+    parts = M.mixed_documents(docs, block_words=20).withColumn("part", F.spark_partition_id()).collect()
+    for part in {r["part"] for r in parts}:
+        held = [r["doc_id"] for r in parts if r["part"] == part]
+        runs = {s // M.RUN_SLOTS for i in held for s in slot[i]}
+        assert held and runs
+        counts = [sum(i % 2 == k for i in held) for k in (0, 1)]
+        if len(held) >= M.RUN_SLOTS:
+            assert 0.6 < counts[0] / max(1, counts[1]) / 1.0 < 4  # both sources, near their targets (3 to 1, capped at 2 times a size)
+
+
+def test_very_long_text(make_docs):
+    rows = [(1, "w " * 1_000_000, "en", "a"), (2, "x y", "en", "a")]
+    got = {r["row_id"]: r["n"] for r in M.mix_sources(make_docs(rows))[0].groupBy("row_id").agg(F.sum("n_words").alias("n")).collect()}
+    assert sum(got.values()) == 1_500_003
