@@ -4,13 +4,15 @@ Subwords are the byte n-grams (2, 3 and 4 long) of lower-cased words with their
 hashes to one of ``2 ** BUCKET_BITS`` embeddings; a text is the average of its subwords' embeddings, classified by a linear
 softmax. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows: at most
 ``per_language`` documents of each language, those whose id hashes lowest, as whole texts and as short runs of their words.
-At most 1,000 languages, those with most rows, are learned. One more class stands for everything else: its examples are
+Every language is learned: with more than MOST_DOCUMENTS / ``per_language`` of them each has a smaller share of MOST_DOCUMENTS
+documents, one at least. Of a document at most SAMPLE_SUBWORDS distinct subwords are handed to the driver, in one stream. One more class stands for everything else: its examples are
 subwords drawn at random, as a text in an unknown language or script would hash. A fifth of the sample is set aside to fit
 the temperature of the softmax and the score below which a text is rejected, so that at most ``reject_rate`` of texts
 like the labelled ones are. The score is the probability of the predicted language, which is never the extra class.
 
-As the model is linear in the average, embedding and classifier fold into one table of bucket by language, which is what is
-broadcast (its size is fixed by the bucket count and the number of languages); whole texts are scored in one pass.
+As the model is linear in the average, embedding and classifier fold into one table of bucket by language where languages are
+fewer than dimensions; that table, or both parts, is broadcast (its size is fixed by the bucket count and the number of
+languages); whole texts are scored in one pass.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows whose id is null are predicted but
 never learned from and count as not held out; without any labelled row everything is ``und``; repeated rows get equal
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.llm import arrow_text as at
+from quernel.session import materialize
 
 BUCKET_BITS = 15
 DIMENSION = 16
 SIZES = (2, 3, 4)
 SCORE_SLICE = 500_000
-PER_LANGUAGE = 400
+PER_LANGUAGE, MOST_DOCUMENTS, SAMPLE_SUBWORDS = 400, 40_000, 20_000
 REJECT_RATE = 0.002
 EMBEDDING_RATE = 20  # an embedding's share of a text is small, its steps are longer than those of the classifier
 LETTER = np.full(256, 0x20, dtype=np.uint8)
@@ -45,11 +48,15 @@ LETTER[128:] = np.arange(128, 256)
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # bucket by language, and the extra class last
+    table: np.ndarray  # bucket by language with the extra class last, or by dimension
+    weights: np.ndarray | None  # dimension by language, unless the table has been folded with it
     bias: np.ndarray
     temperature: float
     threshold: float  # texts with a lower score are rejected
 
+    def logits(self, average: np.ndarray) -> np.ndarray:
+        return (average if self.weights is None else average @ self.weights) + self.bias
+
 
 def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letters of the texts with a space around each text, and the text of each byte."""
@@ -84,18 +91,18 @@ def subwords(data: np.ndarray, offsets: np.ndarray):
 
 def _logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows = len(offsets) - 1
-    total, count = np.zeros((rows, len(model.bias))), np.zeros(rows)
+    total, count = np.zeros((rows, model.table.shape[1])), np.zeros(rows)
     for bucket, text in subwords(data, offsets):
         if len(bucket):
             first = np.flatnonzero(np.diff(text, prepend=-1))
             total[text[first]] += np.add.reduceat(model.table[bucket], first, axis=0)
             count += np.bincount(text, minlength=rows)
-    return total / np.maximum(count, 1)[:, None] + model.bias
+    return model.logits(total / np.maximum(count, 1)[:, None])
 
 
 def _long_logits(model: Model, data: np.ndarray) -> np.ndarray:
     """Of one long text, in pieces that overlap so that each n-gram is counted in just one."""
-    total, count = np.zeros(len(model.bias)), 0
+    total, count = np.zeros(model.table.shape[1]), 0
     letters = np.concatenate([[0x20], LETTER[data], [0x20]]).astype(np.uint8)
     for start in range(0, len(letters), SCORE_SLICE):
         part = letters[start : start + SCORE_SLICE + SIZES[-1] - 1]
@@ -114,7 +121,7 @@ def _long_logits(model: Model, data: np.ndarray) -> np.ndarray:
             h = h[~inner]
             total += model.table[((h ^ (h >> np.uint32(15))) & np.uint32((1 << BUCKET_BITS) - 1)).astype(np.int64)].sum(axis=0)
             count += len(h)
-    return total / max(count, 1) + model.bias
+    return model.logits(total / max(count, 1))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -134,6 +141,9 @@ def _examples(batches):
                 data = np.frombuffer(piece.lower().encode("utf-8"), np.uint8)
                 found = [b for b, _ in subwords(data, np.array([0, len(data)]))] if len(data) else []
                 buckets, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                if len(buckets) > SAMPLE_SUBWORDS:  # the most frequent
+                    top = np.sort(np.argsort(-counts, kind="stable")[:SAMPLE_SUBWORDS])
+                    buckets, counts = buckets[top], counts[top]
                 if len(buckets):
                     for column, value in zip(out, (lang, order, part, buckets.astype(np.int32), counts.astype(np.int32))):
                         column.append(value)
@@ -141,13 +151,16 @@ def _examples(batches):
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out, per_language: int) -> DataFrame:
-    """At most ``per_language`` learnable rows of each language, by a hash of the id."""
+    """At most ``per_language`` learnable rows of each language, by a hash of the id; fewer where there are very many languages."""
     rows = docs.filter(~held_out & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.xxhash64(F.lit(17), F.col(id_col)).bitwiseAND(F.lit((1 << 62) - 1)).alias("order"), F.col(text_col).alias("text")
     )
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = sizes.count()
+    per_language = max(1, min(per_language, MOST_DOCUMENTS // max(1, languages)))
     # only rows that can be among the lowest are sorted: a share of about twice the number wanted
-    share = F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(1000)).withColumn("below", F.lit(float(1 << 62)) * F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("n")))
+    share = sizes if languages > MOST_DOCUMENTS else F.broadcast(sizes)
+    share = share.withColumn("below", F.lit(float(1 << 62)) * F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("n")))
     likely = rows.join(share, "lang").filter("order <= below")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
     return likely.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "order", "text")
@@ -155,13 +168,14 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, rate: float = 0.6, seed: int = 5) -> Model | None:
     """Train on the driver from the subword counts of a bounded sample."""
-    rows = sample.mapInArrow(_examples, "lang string, order long, part int, buckets array<int>, counts array<int>").collect()
+    examples = materialize(sample.mapInArrow(_examples, "lang string, order long, part int, buckets array<int>, counts array<int>"), "examples")
+    rows = [{**r.asDict(), "buckets": np.array(r["buckets"], np.int32), "counts": np.array(r["counts"], np.float32)} for r in examples.toLocalIterator()]
     rows.sort(key=lambda r: (r["order"], r["lang"], r["part"], len(r["buckets"])))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
     number = {lang: i for i, lang in enumerate(languages)}
-    data = [(np.array(r["buckets"]), np.array(r["counts"], dtype=np.float64) / sum(r["counts"]), number[r["lang"]], r["part"], r["order"] % 5 == 0) for r in rows]
+    data = [(r["buckets"], r["counts"].astype(np.float64) / float(r["counts"].sum(dtype=np.float64)), number[r["lang"]], r["part"], r["order"] % 5 == 0) for r in rows]
     train, check = [d for d in data if not d[4]] or data, [d for d in data if d[4]] or data
     rng = np.random.default_rng(seed)
 
@@ -190,15 +204,16 @@ def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, ra
             weights -= lr * np.outer(hidden, error)
             bias -= lr * 0.1 * error
             embedding[buckets] = part - (lr * EMBEDDING_RATE * share)[:, None] * back
-    table = embedding @ weights
-    logits = np.array([share @ table[buckets] + bias for buckets, share, *_ in check])
+    averages = np.array([share @ embedding[buckets] for buckets, share, *_ in check])
+    logits = averages @ weights + bias
     labels, whole = np.array([d[2] for d in check]), np.array([d[3] == 0 for d in check])
     grid = [2.0**k for k in range(-4, 9)]
     loss = [-np.log(_softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
     temperature = grid[int(np.argmin(loss))]
     top = _softmax(logits / temperature)[:, :-1].max(axis=1)
     threshold = min(0.5, float(np.quantile(top[whole], reject_rate)) / 2) if whole.any() else 0.0
-    return Model(languages, table, bias, temperature, threshold)
+    table, rest = (embedding @ weights, None) if len(bias) < DIMENSION else (embedding, weights)
+    return Model(languages, table, rest, bias, temperature, threshold)
 
 
 def _predict_batches(shared):

@@ -72,3 +72,27 @@ def test_scores_are_calibrated(spark, model):
     rows = L.identify(docs, model).withColumnRenamed("row_id", "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter(L.held_out_rows("doc_id")).collect()
     right = sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows)
     assert abs(sum(r["score"] for r in rows) / len(rows) - right) < 0.05
+
+
+def test_more_than_a_thousand_languages_are_learned(spark):
+    """No language is left out for its rank; beyond the dimensions the two parts of the model stay apart."""
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    rows = [(i, f"{word(i % 1001)}zq {word(i % 1001)}{word(i % 1001)} " * 4, f"l{i % 1001:04d}") for i in range(10010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs, per_language=1)
+    seen = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(seen) > 1000 and set(model.languages) == seen and model.weights is not None
+    assert L.identify(docs.limit(50), model).filter("score BETWEEN 0 AND 1").count() == 50
+
+
+def test_folded_and_parted_models_agree(monkeypatch, model, spark, sf):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert model.weights is None
+    monkeypatch.setattr(L, "DIMENSION", 4)
+    data = np.frombuffer(b"the of and to in", np.uint8)
+    parted = L.learn(docs)
+    assert parted.weights is not None  # as many classes as dimensions, or more
+    whole = L.Model(parted.languages, parted.table @ parted.weights, None, parted.bias, parted.temperature, parted.threshold)
+    assert np.allclose(L._logits(whole, data, np.array([0, len(data)])), L._logits(parted, data, np.array([0, len(data)])))
