@@ -19,11 +19,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 UNIT = 576  # bytes of a sample
 TIMESCALE = 8000  # 8-bit samples a second
 PER_CHUNK = 32  # samples of a chunk
+PART_BYTES, PART_ROWS = 8_000_000, 64  # of a batch that are turned into files at a time
 KEY_EVERY = 16  # each so many samples one is a sync sample
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}  # fixed values
 
@@ -191,12 +193,23 @@ TRACKS = (
 )
 
 
+def _by_bytes(batch: pa.RecordBatch, column: int):
+    """A batch in parts of about PART_BYTES bytes of a text or binary column; a longer value is alone."""
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+        yield batch.slice(first, min(last, first + PART_ROWS) - first)
+        first = min(last, first + PART_ROWS)
+
+
 def _describe_batches(batches):
     keyframe = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     track = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", keyframe)])
     for batch in batches:
-        for first in range(0, batch.num_rows, 64):
-            part = batch.slice(first, 64)
+        for part in _by_bytes(batch, 1):
             read = [read_tracks(m.as_py()) if m.is_valid else ([], None) for m in part.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([describe(t) for t, _ in read], pa.list_(track)), pa.array([e for _, e in read], pa.string())],
@@ -212,8 +225,7 @@ def describe_media(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 def _store_batches(batches):
     for batch in batches:
-        for first in range(0, batch.num_rows, 64):
-            part = batch.slice(first, 64)
+        for part in _by_bytes(batch, 1):
             media = [write_track(pad((t.as_py() or "").encode("utf-8"))) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["row_id", "media"])
 
@@ -251,10 +263,9 @@ def op7_media_columns(spark, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
-                media = next(_store_batches([part.select(["row_id", "text"])]))
-                for digests in _digest_batches([media]):
+            for part in _by_bytes(batch, 1):
+                media = pa.Table.from_batches(list(_store_batches([part.select(["row_id", "text"])]))).combine_chunks().to_batches()
+                for digests in _digest_batches(media):
                     yield digests.append_column("n_bytes", part.column("n_bytes"))
 
     schema = "row_id long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_bytes long"

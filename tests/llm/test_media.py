@@ -45,6 +45,31 @@ def test_damaged_files():
     assert M.read_tracks(b"") == ([], None)
 
 
+def plain_file(payload):
+    """The file of a payload below 4 GB, box by box, and the feature that its tables say."""
+    word = lambda *n: b"".join(x.to_bytes(4, "big") for x in n)
+    sized = lambda kind, body: word(len(body) + 8) + kind + body
+    samples, clock = len(payload) // 576, word(0, 0, 8000, len(payload))
+    unit = word(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+    first = 24 + 8
+    chunks = list(range(first, first + len(payload), 32 * 576))
+    full, rest = divmod(samples, 32)
+    runs = ([(1, 32)] if full else []) + ([(full + 1, rest)] if rest else [])
+    keys = list(range(1, samples + 1, 16))
+    entry = sized(b"raw ", bytes(6) + b"\0\1" + bytes(8) + b"\0\1\0\x08" + bytes(4) + (8000 << 16).to_bytes(4, "big"))
+    tables = (
+        sized(b"stsd", word(0, 1) + entry) + sized(b"stts", word(0, 1, samples, 576)) + sized(b"stss", word(0, len(keys), *keys))
+        + sized(b"stsc", word(0, len(runs)) + b"".join(word(a, n, 1) for a, n in runs)) + sized(b"stsz", word(0, 576, samples)) + sized(b"stco", word(0, len(chunks), *chunks))
+    )
+    where = sized(b"dinf", sized(b"dref", word(0, 1) + sized(b"url ", word(1))))
+    media = sized(b"mdhd", word(0) + clock + b"\x55\xc4\0\0") + sized(b"hdlr", word(0, 0) + b"soun" + bytes(13)) + sized(b"minf", sized(b"smhd", word(0, 0)) + where + sized(b"stbl", tables))
+    track = sized(b"tkhd", word(7, 0, 0, 1, 0, len(payload)) + bytes(8) + b"\0\0\0\0\1\0\0\0" + unit + bytes(8)) + sized(b"mdia", media)
+    movie = sized(b"mvhd", word(0) + clock + word(0x10000) + b"\1\0" + bytes(10) + unit + bytes(24) + word(2)) + sized(b"trak", track)
+    blob = sized(b"ftyp", b"isom" + word(512) + b"isomiso2") + sized(b"mdat", payload) + sized(b"moov", movie)
+    last = first + (keys[-1] - 1) * 576
+    return blob, f"raw,8000,{len(payload)},{samples};keys={len(keys)};first={first};last={last + 576};error="
+
+
 def test_query_equals_brute_force(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = M.op7_media_columns(spark, sf).collect()
@@ -52,7 +77,8 @@ def test_query_equals_brute_force(spark, sf):
     for r in rows:
         raw = (docs[r["doc_id"]] or "").encode()
         payload = M.pad(raw)
-        blob = M.write_track(payload)
+        blob, feature = plain_file(payload)
+        assert r["feature"] == feature
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest())
 
@@ -64,3 +90,15 @@ def test_columns_of_files(spark, make_docs):
     none = M.describe_media(spark.createDataFrame([(1, None)], "i long, m binary"), "i", "m").first()
     assert (none["tracks"], none["error"]) == ([], None)
     assert M.store_texts(make_docs([])).count() == 0
+
+
+def test_long_texts_are_stored_in_parts_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "PART_BYTES", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["a" * 400, None, "b" * 700, "c" * 5000, "", "d" * 10, "e" * 990, "f", None])], ["row_id", "text"])
+    parts = list(M._by_bytes(batch, 1))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and [p.num_rows for p in parts] == [2, 1, 1, 3, 2]
+    rows = spark.createDataFrame([(1, "é" * 2_000_000), (2, "x")], "doc_id long, text string")
+    tracks = {r["row_id"]: r["tracks"][0] for r in M.describe_media(M.store_texts(rows), "row_id", "media").collect()}
+    assert tracks[1]["samples"] == -(-4_000_000 // 576) and tracks[2]["samples"] == 1
