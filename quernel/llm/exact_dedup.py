@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm import bloom
 from quernel.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,15 +89,24 @@ def label_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = HEAVY_SHARE) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    keys = materialize(docs.select(F.col(id_col).alias("row_id"), text_digest(text_col).alias("digest")), "digests")
-    heavy, _ = heavy_digests(keys, share)
-    names = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    rows = docs.select(text_digest(text_col).alias("digest"), F.col(id_col).alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(F.broadcast(heavy), "digest", "left")
-    rows = rows.filter(F.col("group_size").isNull() | F.col("row_id").eqNullSafe(F.col("keep_id")))
-    order = Window.partitionBy("digest").orderBy(F.col("row_id").desc_nulls_last())
-    return rows.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select(names)
+    """The rows of ``docs`` that stay, with their own columns. Winners are found on narrow keys; only texts whose id may be a
+    loser's are shuffled to be dropped. Rows that share id and text are told apart by nothing: any of them stays."""
+    labels = materialize(label_duplicates(docs, id_col, text_col, share).filter("group_size > 1").select("row_id", "digest", "kept"), "labels")
+    # by id and text: does one row stay, and are there more of them?
+    keys = labels.groupBy("row_id", "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).filter("NOT stays OR rows > 1")
+    keys = materialize(keys.select(F.coalesce(F.col("row_id").cast("string"), F.lit("")).alias("name"), F.col("row_id").isNull().alias("no_id"), "digest", "stays"), "losers")
+    tag = lambda name, none: F.xxhash64(name, none)
+    may_go = bloom.may_hold(materialize(keys.select(tag("name", "no_id").alias("tag")).distinct(), "tags"))
+    row_id = F.col(f"`{id_col}`")
+    name, none = F.coalesce(row_id.cast("string"), F.lit("")), row_id.isNull()
+    marked = may_go(tag(name, none))
+    rows = docs.filter(marked).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"), none.alias("no_id"), text_digest(F.col(f"`{text_col}`")).alias("digest")
+    )
+    joined = rows.join(keys, ["name", "no_id", "digest"], "left")
+    once = joined.filter("stays").groupBy("name", "no_id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    left = joined.filter("stays IS NULL").select("row").unionByName(once.select("row"))
+    return docs.filter(~marked).unionByName(left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -47,3 +47,17 @@ def test_misra_gries_bound():
     for value, count in Counter(values).items():
         assert found.get(value, 0) <= count
         assert found.get(value, 0) >= count - 5000 / 21
+
+
+def test_dropping_equals_brute_force(make_docs):
+    """Repeated and null ids, hot groups, rows that differ in other columns only."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, i % 90]), rng.choice(["Hot TEXT", "hot text", None, "", f"t{i % 30}", f"u{i}"]), rng.choice(["en", None]), "s") for i in range(300)]
+    norm = lambda t: (t or "").translate(str.maketrans(E.UPPER, E.LOWER))
+    best = {}
+    for i, t, _, _ in rows:
+        best[norm(t)] = max(best.get(norm(t), -1), -1 if i is None else i)
+    for share in (1024, 4):
+        out = E.drop_duplicates(make_docs(rows), share=share).collect()
+        assert sorted((norm(r["text"]), -1 if r["doc_id"] is None else r["doc_id"]) for r in out) == sorted(best.items())
+        assert all((r["doc_id"], r["text"], r["lang"], r["source"]) in rows for r in out)
