@@ -6,13 +6,15 @@ such expressions are then aligned, sibling list by sibling list: what both have
 an optional group, texts that differ become text slots. The result, the host's wrapper, has optional and repeated groups and
 slots but no alternatives. Aligning one page after the other gives a wrapper for each host.
 
-From the wrapper comes the rule for the host's main text: the outermost ``article`` or ``main`` if it has one, else the
-smallest element that holds most of the text of slots that vary from page to page. Tags and class words mark side elements,
+From the wrapper comes the rule for the host's main text: the smallest element that holds most of the text of slots that vary
+from page to page. Among elements that hold at least half of it, the outermost ``article`` or ``main`` goes first, so that the tag
+decides between containers, never against the mass of the slots. Tags and class words mark side elements,
 but what holds nearly all varying text, or the article where none is outside, is not one, whatever its class. Inside it, menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments go, and so do texts that the pages with the region have in
-common, if these are at least FIXED_PAGES, as long as other text in the region varies. A text is common if nine tenths of the
-pages with the region have it, never if less than eight tenths do, so a few cut or empty pages don't matter; wrappers hold one
-candidate for each slot, found by majority vote, and between these shares the order of the votes can decide. A page without the host's region is judged by its
+common, as long as other text in the region varies. A text is common if its votes would still be more than three quarters with one
+more page against it; a few cut or empty pages don't matter, and the rule is the same for hosts of any size. Wrappers hold one
+candidate for each slot, found by majority vote in which a page with another text cancels a vote, so that between three quarters
+and seven eighths of the pages the order of the votes can decide. A page without the host's region is judged by its
 own tree.
 
 On Spark: every task folds its own pages into one partial wrapper per host (hosts are flushed when there are many), partial
@@ -21,8 +23,8 @@ host; they are broadcast only when a count shows them to be few.
 
 Defined results: null html is empty and gives an empty text, as does a page without main text; a null URL or one without
 ``://`` is the host ''; unclosed and stray tags are tolerated, elements
-nested more than MOST_DEPTH deep only end blocks, and a tag or comment that never ends swallows the rest; an
-empty table gives an empty result; repeated rows are extracted alike.
+nested more than MOST_DEPTH deep only end blocks, but for the outermost marked ones, which go; a tag or comment that never ends
+swallows the rest; an empty table gives an empty result; repeated rows are extracted alike; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ ANCHORS = {"article", "main", "h1"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
-FIXED_PAGES = 5
-FIXED_SHARE = 80  # in hundredths
+FIXED_SHARE, TEMPLATE_SHARE = 80, 75  # in hundredths
+REGION_SHARE = 50  # in hundredths of the varying text
 WHOLE_TEXT = 300
 LITTLE = 20
 MOST_HOSTS = 2000
@@ -131,7 +133,8 @@ def parse(page: str) -> Element:
     """The element tree of block elements; inline elements are their text, <br> is white space."""
     root = Element("#page", ())
     stack = [root]
-    deeper: list[str] = []  # open elements below MOST_DEPTH: they only end blocks
+    deeper: list[str] = []  # names of open elements below MOST_DEPTH: they only end blocks, but for one that is marked
+    marked_at = -1  # where in ``deeper`` the marked one is, whose element tops the stack
     at = 0
 
     def text(piece: str) -> None:
@@ -154,12 +157,18 @@ def parse(page: str) -> Element:
         at = end
         if found[1]:
             if name in deeper:
-                del deeper[len(deeper) - 1 - deeper[::-1].index(name) :]
+                cut = len(deeper) - 1 - deeper[::-1].index(name)
+                del deeper[cut:]
+                if 0 <= cut <= marked_at:
+                    marked_at = -1
+                    stack.pop()
                 stack[-1].parts.append(Element("hr", ()))
             elif name in BLOCKS or any(e.tag == name for e in stack[1:]):
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == name:
                         del stack[depth:]
+                        deeper.clear()
+                        marked_at = -1
                         break
                     if stack[depth].tag in LISTS and name in CLOSES:
                         break
@@ -182,6 +191,16 @@ def parse(page: str) -> Element:
                 stack[-1].parts.append(element)
                 stack.append(element)
             continue
+        if len(stack) >= MOST_DEPTH:
+            deeper.append(name)
+            if marked_at < 0 and _marked(name, words):
+                marked_at = len(deeper) - 1
+                element = Element(name, words)
+                stack[-1].parts.append(element)
+                stack.append(element)
+            else:
+                stack[-1].parts.append(Element("hr", ()))
+            continue
         closes = CLOSES.get(name, set()) | ({"p"} if name != "p" else set())
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in closes:
@@ -189,10 +208,6 @@ def parse(page: str) -> Element:
                 break
             if stack[depth].tag in LISTS or (stack[depth].tag in BLOCKS and stack[depth].tag not in TEXTY):
                 break
-        if len(stack) >= MOST_DEPTH:
-            deeper.append(name)
-            stack[-1].parts.append(Element("hr", ()))
-            continue
         element = Element(name, words)
         stack[-1].parts.append(element)
         stack.append(element)
@@ -295,15 +310,29 @@ def is_fixed(node: list, pages: int) -> bool:
     return node[TEXT] is not None and node[VOTES] * 100 >= FIXED_SHARE * pages
 
 
+def is_template(node: list, pages: int) -> bool:
+    """Whether the node's text would be that of most pages by far even if one more page had another."""
+    return node[TEXT] is not None and node[VOTES] * 100 > TEMPLATE_SHARE * (pages + 1)
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """best[i, j]: length of the longest common subsequence of a[i:] and b[j:], a row at a time. Along a row it changes by steps
+    of one, so its row is a running maximum of what a match at each place gives."""
+    numbers = {label: k for k, label in enumerate(dict.fromkeys(b))}
+    columns = np.array([numbers[label] for label in b], dtype=np.int64)
+    best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        reached = np.where(columns == numbers.get(a[i], -1), best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(reached[::-1])[::-1]
+    return best
+
+
 def align(a: list[list], b: list[list], same_page: bool) -> list[list]:
     """Longest common subsequence of labels: common elements are aligned, all others become optional."""
     if [x[LABEL] for x in a] == [y[LABEL] for y in b]:
         return [merge(x, y, same_page) for x, y in zip(a, b)]
     n, m = len(a), len(b)
-    best = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if a[i][LABEL] == b[j][LABEL] else max(best[i + 1, j], best[i, j + 1])
+    best = common_lengths([x[LABEL] for x in a], [y[LABEL] for y in b])
     out, i, j = [], 0, 0
 
     def lacking(node: list) -> list:
@@ -413,6 +442,9 @@ def rule_of(wrapper: list) -> dict:
                 outermost(child, here)
 
     outermost(wrapper, ())
+    mass = varying_chars(wrapper, (), opened)
+    if sum(varying_chars(node, path, opened) for path, node in region) * 100 < REGION_SHARE * mass:
+        region = []
     if not region:
         node, path = wrapper, ()
         while True:
@@ -427,13 +459,13 @@ def rule_of(wrapper: list) -> dict:
     def template(node: list, path: tuple, inside: tuple, pages: int) -> None:
         if _side(node[LABEL], (*path, *inside), opened):
             return
-        if node[TEXT] and not node[PLUS] and node[PAGES] >= FIXED_PAGES and is_fixed(node, pages):
+        if node[TEXT] and not node[PLUS] and is_template(node, pages):
             fixed.extend([list(inside), key] for key in node[TEXT].split("\n"))
         for child in node[CHILDREN]:
             template(child, path, (*inside, child[LABEL]), pages)
 
     for path, node in region:
-        if varying_chars(node, path, opened) and node[PAGES] >= FIXED_PAGES:
+        if varying_chars(node, path, opened):
             template(node, path, (), node[PAGES])
     paths = []
     for path, _ in region:

@@ -133,3 +133,73 @@ def test_common_text_is_judged_alike_in_any_order():
         new = H.expression(H.parse("<article><h1>T%d</h1><p>%s</p></article>" % (i, "yes" if i % 3 else "no")))
         varied = H.merge(varied, new) if varied else new
     assert H.extract("<article><h1>T1</h1><p>yes</p></article>", H.rule_of(varied)) == "T1\nyes"
+
+
+def rule_from(pages):
+    held = None
+    for page in pages:
+        new = H.expression(H.parse(page))
+        held = H.merge(held, new) if held else new
+    return H.rule_of(held)
+
+
+@pytest.mark.parametrize("depth", [100, 149, 150, 160, 400])
+def test_marked_elements_go_at_any_depth(depth):
+    page = "<body>" + "<div>" * depth + '<p>main {i}</p><div class="comments"><div>reader <p>comment</p></div></div><p>more {i}</p><aside>x</aside>' + "</div>" * depth + "<p>end {i}</p></body>"
+    pages = [page.replace("{i}", f"{k}" * 20) for k in range(6)]
+    want = lambda k: "\n".join(f"{w} " + f"{k}" * 20 for w in ("main", "more", "end"))
+    assert H.extract(pages[3], rule_from(pages)) == want(3) and H.extract(pages[3], None) == want(3)
+
+
+def test_region_follows_the_mass_of_the_slots_not_the_tag():
+    """An article that holds a fixed teaser loses to the container of the varying text."""
+    page = '<body><div class="left"><article><h3>Welcome</h3><p>Our site</p></article></div><div class="text"><h1>Title {i}</h1><p>{long}</p><p>More {i}</p></div></body>'
+    pages = [page.replace("{i}", str(k)).replace("{long}", f"word{k} " * 40) for k in range(8)]
+    for k, page in enumerate(pages):
+        assert H.extract(page, rule_from(pages)) == f"Title {k}\n" + " ".join([f"word{k}"] * 40) + f"\nMore {k}"
+
+
+@pytest.mark.parametrize("kind", ["search results", "widget promo", "share"])
+def test_misleading_names_of_the_only_text(kind):
+    pages = [f'<body><nav>menu</nav><div class="{kind}"><h2>Title {k}</h2><p>Text {k} of the page</p></div><footer>f</footer></body>' for k in range(5)]
+    rule = rule_from(pages)
+    for k, page in enumerate(pages):
+        assert H.extract(page, rule) == f"Title {k}\nText {k} of the page"
+
+
+def test_template_text_on_hosts_of_every_size():
+    """One rule for all sizes: three pages are too few to call a text the template's, four are enough."""
+    for n in (1, 2, 3, 4, 5, 40):
+        pages = [f"<article><h1>Title {k}</h1><div>{'Same on all. ' * 20}</div><p>Text {k}</p></article>" for k in range(n)]
+        got = H.extract(pages[0], rule_from(pages))
+        assert ("Same on all" in got) == (n < 4) and got.startswith("Title 0") and got.endswith("Text 0")
+
+
+def test_common_lengths_equal_brute_force():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        best = H.common_lengths(a, b)
+        slow = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                slow[i][j] = slow[i + 1][j + 1] + 1 if a[i] == b[j] else max(slow[i + 1][j], slow[i][j + 1])
+        assert best.tolist() == slow
+
+
+def test_pages_of_many_siblings_are_aligned_in_time():
+    import time
+
+    pages = ["".join(f'<div class="{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{x}">t</div>' for k in range(4000)) for x in "ab"]
+    began = time.time()
+    rule_from(pages)
+    assert time.time() - began < 20
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    page = "<article><h1>T</h1>" + "<p>" + "long text &amp; more " * 100_000 + "</p></article>"
+    rows = spark.createDataFrame([(1, "http://a.example/", page, "x", 5, None)], "page_id long, url string, html string, host string, salt int, rule string")
+    got = H.extract_pages(rows).first()
+    assert got["text"] == "T\n" + ("long text & more " * 100_000).strip()
