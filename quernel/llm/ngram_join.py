@@ -15,25 +15,29 @@ A document's set is its distinct ``k``-word shingles after lower-casing A-Z. Two
 * A list is first compared with one hub, its most central member (whose other shingles stand in long lists too). Members that
   are connected by then are never compared with each other, so a large group of near copies costs pairs in proportion to
   its size. When few pairs across components are left in a list, or after ``hub_rounds``, all of them are compared, so that
-  no link that would join two components is lost; a list with many gets another hub outside its largest component first. A
-  pair whose entries in a list also have the token before in common is left to that token's list.
+  no link that would join two components is lost; a list with many gets another hub outside its largest component first. Lists
+  of more than BLOCK_MEMBERS members are compared block by block: two blocks are a join key of their own, so that no task
+  holds a long list. A pair whose entries in a list also have the token before in common is left to that token's list.
 * Every candidate is verified: first by profiles (how many shingles fall into each of PROFILE hash ranges bounds the overlap
   from above), then on the two whole sets.
 
-Broadcast are a counting sketch of ``2 ** SKETCH_BITS`` cells and a Bloom filter of at most 16 MB, which decide about cost only.
+Broadcast are a counting sketch of a byte for each of ``2 ** 20`` to ``2 ** 24`` cells, more for more documents, and a Bloom filter of at
+most 16 MB, which decide about cost only: a shingle that the sketch takes for usual is in a long list, which hubs and blocks handle.
 
 Defined results: null texts and texts without words have an empty set (0 shingles) and are their own component; with
 fewer than ``k`` words the whole sequence is the one shingle; rows without an id get no component and link with nothing;
-repeated rows share a class; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
+repeated rows share a class; an empty table gives an empty result; extra columns stay with their rows. Shingles are compared by
+64-bit hashes, sets by 128 bits: classes are named by the first half, and where two classes agree in that (to be expected from
+some 10^10 of them on), both get names that follow from both halves.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +47,13 @@ from quernel.llm import bloom as blooms
 from quernel.llm.components import connected_components
 from quernel.session import materialize
 
-SKETCH_BITS, SKETCH_PART_BITS = 20, 16
+SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_PART_BITS = 20, 24, 16
+SKETCH_DOCUMENTS = 16  # a cell for so many of them
 PROFILE = 256  # hash ranges of a set's profile
 COARSE = 16  # hash ranges of the coarser one that list entries are compared by
 VERIFY_COST = 8  # comparing along one list entry costs as much as so many subset rows
 SHORT_LIST = 1024  # a list is compared in full when it has at most so many cross pairs per member, before the filters
+BLOCK_MEMBERS = 4096  # of a list, that are compared with as many others in a task
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -88,26 +94,42 @@ def _sets(batch: pa.RecordBatch, k: int):
         yield first, last, hashes, bounds
 
 
-def _class_ids(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Naming:
+    """How classes are named: the bits used of the first half (fewer in tests), and the names that several classes would share."""
+
+    bits: int = 64
+    shared: np.ndarray | None = None
+
+
+def sketch_bits(rows: int) -> int:
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (rows // SKETCH_DOCUMENTS).bit_length()))
+
+
+def _class_ids(hashes: np.ndarray, bounds: np.ndarray, naming: Naming) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of shingles, class id, second half of the identity) of each set."""
     n = np.diff(bounds)
     out = []
     for salt in (3, 5):
         total = np.concatenate([[np.uint64(0)], np.cumsum(at.mix(hashes ^ at.mix(np.full(1, salt, np.uint64))), dtype=np.uint64)])
-        out.append(at.mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64))
-    return n, out[0], out[1]
+        out.append(at.mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)))
+    one, two = out[0] >> np.uint64(64 - naming.bits), out[1]
+    if naming.shared is not None:
+        hit = np.isin(one.view(np.int64), naming.shared)
+        one[hit] = at.mix(at.mix(two[hit]) + one[hit])
+    return n, one.view(np.int64), two.view(np.int64)
 
 
-def _describe(k: int):
+def _describe(k: int, bits: int, naming: Naming):
     """Classes of all documents and, per partition, parts of the counting sketch."""
     schema = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        sketch, mask = np.zeros(1 << SKETCH_BITS, dtype=np.int64), np.uint64((1 << SKETCH_BITS) - 1)
+        sketch, mask = np.zeros(1 << bits, dtype=np.uint32), np.uint64((1 << bits) - 1)
         for batch in at.parts(batches):
             for first, last, hashes, bounds in _sets(batch, k):
-                n, one, two = _class_ids(hashes, bounds)
-                np.add.at(sketch, (hashes & mask).astype(np.int64), 1)
+                n, one, two = _class_ids(hashes, bounds, naming)
+                np.add.at(sketch, (hashes & mask).astype(np.int64), np.uint32(1))
                 none = pa.nulls(last - first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), pa.array(one), pa.array(two), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         size = 1 << SKETCH_PART_BITS
@@ -128,10 +150,10 @@ def _add_parts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(counts, pa.binary())], ["part", "counts"])
 
 
-def shingle_frequency(described: DataFrame) -> np.ndarray:
+def shingle_frequency(described: DataFrame, bits: int) -> np.ndarray:
     """The sketch over all documents, as a rank of frequency for each cell: 0 for usual, then one for each doubling."""
-    parts = described.filter("part IS NOT NULL").select("part", "counts").repartition(1 << (SKETCH_BITS - SKETCH_PART_BITS), "part")
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    parts = described.filter("part IS NOT NULL").select("part", "counts").repartition(1 << (bits - SKETCH_PART_BITS), "part")
+    total = np.zeros(1 << bits, dtype=np.int64)
     size = 1 << SKETCH_PART_BITS
     for row in parts.mapInArrow(_add_parts, "part int, counts binary").collect():  # as many rows as the sketch has parts
         total[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["counts"], np.uint32)
@@ -200,10 +222,9 @@ def _only_shared(bloom):
     return run
 
 
-def _enter(k: int, percent: int, boundary: int, rank):
+def _enter(k: int, percent: int, boundary: int, rank, naming: Naming):
     """Keys of each document: subsets of light sets, prefix shingles of the others."""
     schema = pa.schema([("row_id", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("subset_sizes", pa.list_(pa.int32())), ("profile", pa.binary())])
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
 
     def subset_keys(items: np.ndarray) -> tuple[list[int], list[int]]:
         n = len(items)
@@ -218,9 +239,10 @@ def _enter(k: int, percent: int, boundary: int, rank):
         return keys, sizes
 
     def run(batches):
+        mask = np.uint64(len(rank.value) - 1)
         for batch in at.parts(batches):
             for first, last, hashes, bounds in _sets(batch, k):
-                n, one, two = _class_ids(hashes, bounds)
+                n, one, two = _class_ids(hashes, bounds, naming)
                 order = rank.value[(hashes & mask).astype(np.int64)]
                 prefix, subsets, sizes = [], [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
@@ -244,7 +266,7 @@ def _enter(k: int, percent: int, boundary: int, rank):
     return run
 
 
-def _fetch(k: int, bloom):
+def _fetch(k: int, bloom, naming: Naming):
     schema = pa.schema([("cid", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -252,7 +274,7 @@ def _fetch(k: int, bloom):
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = bloom.value.may_hold(ids)
             for first, last, hashes, bounds in _sets(batch.filter(pa.array(hit)), k) if hit.any() else ():
-                _, one, _ = _class_ids(hashes, bounds)
+                _, one, _ = _class_ids(hashes, bounds, naming)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], schema=schema)
 
     return run
@@ -286,22 +308,35 @@ def _feasible(percent: int, x: str, y: str) -> str:
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, hub_rounds: int = 2,
+    block_members: int = BLOCK_MEMBERS, naming: Naming = Naming(),
 ) -> DataFrame:
     """row_id, n_shingles, component_id for every row of ``docs``."""
-    return _labels(docs, id_col, text_col, k, percent, hub_rounds).select("row_id", "n_shingles", "component_id")
+    return _labels(docs, id_col, text_col, k, percent, hub_rounds, block_members, naming)[0].select("row_id", "n_shingles", "component_id")
 
 
-def _labels(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, hub_rounds: int = 2) -> DataFrame:
-    """Components with the class (cid, cid2) of each row and the root of its component, which no other component shares."""
+def _labels(
+    docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, hub_rounds: int = 2, block_members: int = BLOCK_MEMBERS, naming: Naming = Naming(),
+) -> tuple[DataFrame, Naming]:
+    """Components with the class (cid, cid2) of each row and the root of its component, which no other component shares; and
+    how the classes are named."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    described = materialize(texts.mapInArrow(_describe(k), "row_id long, n long, cid long, cid2 long, part int, counts binary"), "described")
-    rows = described.filter("part IS NULL").select("row_id", "n", "cid", "cid2")
-    classes = materialize(rows.filter("n > 0 AND row_id IS NOT NULL").groupBy("cid", "cid2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n")), "classes")
+    bits = sketch_bits(docs.count())
+    while True:
+        described = materialize(texts.mapInArrow(_describe(k, bits, naming), "row_id long, n long, cid long, cid2 long, part int, counts binary"), "described")
+        rows = described.filter("part IS NULL").select("row_id", "n", "cid", "cid2")
+        classes = materialize(rows.filter("n > 0 AND row_id IS NOT NULL").groupBy("cid", "cid2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n")), "classes")
+        shared = classes.groupBy("cid").agg(F.min("cid2").alias("low"), F.max("cid2").alias("high")).filter("low <> high").select("cid")
+        if naming.shared is not None:  # the second round has names of both halves
+            break
+        shared = np.array([r["cid"] for r in shared.toLocalIterator()], dtype=np.int64)  # about (classes ** 2) / 2 ** 65 of them
+        if not len(shared):
+            break
+        naming = Naming(naming.bits, shared)
     sizes = {r["n"]: r["count"] for r in classes.filter("n <= 24").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, percent)
-    rank = spark.sparkContext.broadcast(shingle_frequency(described))
-    entered = texts.filter("row_id IS NOT NULL").mapInArrow(_enter(k, percent, boundary, rank), "row_id long, cid long, cid2 long, n int, prefix array<long>, subsets array<long>, subset_sizes array<int>, profile binary")
+    rank = spark.sparkContext.broadcast(shingle_frequency(described, bits))
+    entered = texts.filter("row_id IS NOT NULL").mapInArrow(_enter(k, percent, boundary, rank, naming), "row_id long, cid long, cid2 long, n int, prefix array<long>, subsets array<long>, subset_sizes array<int>, profile binary")
     reps = classes.select(F.col("rep").alias("row_id"), "cid", "cid2")
     entered = entered.filter("n > 0").join(reps, ["row_id", "cid", "cid2"], "left_semi").dropDuplicates(["row_id", "cid", "cid2"])
     entered = materialize(entered, "keys")
@@ -332,7 +367,7 @@ def _labels(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, h
         wanted = materialize(classes.join(missing, "cid", "left_semi").select("rep"), "wanted")
         bloom = blooms.build(wanted)
         if sets is None or not bloom.is_empty():  # a false positive of the filter is one set too many, no more
-            fetched = texts.mapInArrow(_fetch(k, spark.sparkContext.broadcast(bloom)), "cid long, items array<long>")
+            fetched = texts.mapInArrow(_fetch(k, spark.sparkContext.broadcast(bloom), naming), "cid long, items array<long>")
             fetched = materialize(fetched.dropDuplicates(["cid"]), "sets")
             sets = fetched if sets is None else sets.unionByName(fetched.join(sets.select("cid"), "cid", "left_anti"))
         return materialize(verify(pairs, sets, percent), "links")
@@ -354,13 +389,17 @@ def _labels(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, h
         ).filter("cross > 0")
         step += 1
         stats = materialize(stats.withColumn("full", (F.col("cross") <= SHORT_LIST * F.col("total")) | F.lit(step >= hub_rounds)), "stats")
-        members = materialize(members.join(stats.select("token", "full", F.col("largest.root").alias("largest")), "token"), "members")
-        full = members.filter("full").join(coarse, "cid")
-        x, y = full.alias("x"), full.alias("y")
-        pairs = x.join(y, F.expr("x.token = y.token AND x.root <> y.root AND x.cid < y.cid AND (x.before IS NULL OR y.before IS NULL OR x.before <> y.before) AND " + _feasible(percent, "x", "y") + " AND " + _overlapping(percent, "x", "y")))
-        extra = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        members = materialize(members.join(stats.select("token", "full", F.col("largest.root").alias("largest"), F.ceil(F.col("total") / block_members).cast("int").alias("blocks")), "token"), "members")
+        full = members.filter("full").join(coarse, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        x = full.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("x")
+        y = full.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), "block"))).alias("y")
+        pairs = x.join(y, F.expr(
+            "x.token = y.token AND x.low = y.low AND x.high = y.high AND (x.low < x.high OR x.cid < y.cid) AND x.root <> y.root "
+            "AND (x.before IS NULL OR y.before IS NULL OR x.before <> y.before) AND " + _feasible(percent, "x", "y") + " AND " + _overlapping(percent, "x", "y")
+        ))
+        extra = pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
         # the next hub of a long list: the most central member outside its largest component
-        members = members.filter("NOT full").drop("full")
+        members = members.filter("NOT full").drop("full", "blocks")
         hubs = members.filter("root <> largest").groupBy("token").agg(F.max(F.struct("support", "cid", "n", "pos")).alias("one"))
         members = members.drop("largest")
         if stats.filter("NOT full").isEmpty():
@@ -374,10 +413,10 @@ def _labels(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, h
         "row_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("row_id").isNotNull(), F.col("component_id")).otherwise(F.col("row_id")).alias("component_id"),
         "cid", "cid2", "root",
-    )
+    ), naming
 
 
-def _class_of(k: int):
+def _class_of(k: int, naming: Naming):
     """The class (cid, cid2) of a text, computed as for the components."""
     schema = pa.struct([("cid", pa.int64()), ("cid2", pa.int64())])
 
@@ -386,7 +425,7 @@ def _class_of(k: int):
         one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in at.parts([pa.RecordBatch.from_arrays([texts], ["text"])]):
             for _, _, hashes, bounds in _sets(batch, k):
-                _, a, b = _class_ids(hashes, bounds)
+                _, a, b = _class_ids(hashes, bounds, naming)
                 one.append(a)
                 two.append(b)
         return pa.StructArray.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], fields=list(schema))
@@ -397,23 +436,20 @@ def _class_of(k: int):
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which one stays for each component: one with the smallest id. Rows without an id stay. An id may
     repeat: each of its rows goes or stays by its own text."""
-    labels = materialize(_labels(docs, id_col, text_col, k, percent).filter("n_shingles > 0 AND row_id IS NOT NULL"), "labels")
+    labels, naming = _labels(docs, id_col, text_col, k, percent)
+    labels = materialize(labels.filter("n_shingles > 0 AND row_id IS NOT NULL"), "labels")
     # where several texts of a component have its smallest id, those of one class stay
     firsts = labels.filter("row_id = component_id").groupBy("root").agg(F.min(F.struct("cid", "cid2")).alias("first"))
     stays = F.expr("row_id = component_id AND cid = first.cid AND cid2 = first.cid2")
     counts = labels.join(firsts, "root").groupBy("row_id", "cid", "cid2", stays.alias("stays")).agg(F.count("*").alias("rows"))
     counts = materialize(counts.filter("NOT stays OR rows > 1"), "gone")
     gone, twice = counts.filter("NOT stays").select("row_id", "cid", "cid2"), counts.filter("stays").select("row_id", "cid", "cid2")
-    bloom = docs.sparkSession.sparkContext.broadcast(blooms.build(counts.select("row_id").distinct()))
-
-    @F.pandas_udf("boolean")
-    def may_go(ids: pd.Series) -> pd.Series:
-        return pd.Series(bloom.value.may_hold(ids.fillna(-1).to_numpy().astype(np.int64)))
+    may_go = blooms.may_hold(counts.select("row_id").distinct())
 
     # only texts that may go are shuffled for the exact join
     row_id = F.col(f"`{id_col}`").cast("long")
     marked = may_go(row_id)
-    classed = docs.filter(marked).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_id.alias("row_id"), _class_of(k)(F.col(f"`{text_col}`")).alias("class"))
+    classed = docs.filter(marked).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_id.alias("row_id"), _class_of(k, naming)(F.col(f"`{text_col}`")).alias("class"))
     keys = ["row_id", "cid", "cid2"]
     left = classed.select("doc", "row_id", "class.cid", "class.cid2").join(gone, keys, "left_anti")
     if not twice.isEmpty():

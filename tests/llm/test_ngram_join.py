@@ -75,6 +75,36 @@ def test_any_boundary_gives_the_same(make_docs, monkeypatch, boundary):
     assert got == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("rounds, block", [(1, 3), (3, 2)])
+def test_long_lists_are_compared_block_by_block(make_docs, monkeypatch, rounds, block):
+    monkeypatch.setattr(N, "SHORT_LIST", 0)
+    rows = corpus(11)
+    got = {r["row_id"]: (r["n_shingles"], r["component_id"]) for r in N.jaccard_components(make_docs([(i, t, "en", "s") for i, t in rows]), hub_rounds=rounds, block_members=block).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_classes_that_share_a_name(make_docs):
+    """With class ids of six bits nearly all classes share theirs; nothing is mixed up."""
+    rows = corpus(12)[:90]
+    docs = make_docs([(i, t, "en", "s") for i, t in rows])
+    got = {r["row_id"]: (r["n_shingles"], r["component_id"]) for r in N.jaccard_components(docs, naming=N.Naming(6)).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("most", [13])
+def test_filters_that_cannot_hold_the_keys_change_nothing(make_docs, monkeypatch, most):
+    monkeypatch.setattr(N.blooms, "MOST_BITS", most)
+    monkeypatch.setattr(N.blooms, "LEAST_BITS", 64)
+    rows = corpus(13)[:90]
+    docs = make_docs([(i, t, "en", "s") for i, t in rows])
+    want = brute(rows, 5, 80)
+    assert sorted(r["doc_id"] for r in N.keep_one_of_each(docs).collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+
+
+def test_sketch_grows_with_the_documents():
+    assert N.sketch_bits(0) == 20 and N.sketch_bits(10**8) == 23 and N.sketch_bits(10**12) == 24
+
+
 def test_edge_rows(make_docs):
     rows = [(5, "a b c d e", None, None), (5, "a b c d e", None, None), (None, "a b c d e", None, None), (3, "A B C D E", "en", "s"), (9, None, None, None), (None, None, None, None), (4, "z" * 100_000, "en", "s")]
     got = sorted((str(r["row_id"]), r["n_shingles"], str(r["component_id"])) for r in N.jaccard_components(make_docs(rows)).collect())
