@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,33 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """A dict that lives as long as the worker process runs tasks of ``owner``."""
+    return _caches.setdefault(owner, {})
+
+
+def make_room(owner: str = "") -> None:
+    """Workers are used again by later stages: drop what other operators have kept in this one, and give memory back."""
+    for name, held in _caches.items():
+        if name != owner:
+            held.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def parts(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of at most ``rows`` rows; afterwards Arrow's unused memory goes back to the system."""
+    """Batches in parts of at most ``rows`` rows; before and afterwards unused memory goes back to the system."""
+    make_room()
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
-    pa.default_memory_pool().release_unused()
+    make_room()
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,6 @@ nearly everything pass: none is built then, every row goes to the exact join, an
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +80,8 @@ def may_hold(ids: DataFrame):
     """A function of a column of longs: whether the (materialized) ids may hold it."""
     bloom = ids.sparkSession.sparkContext.broadcast(build(ids))
 
-    @F.pandas_udf("boolean")
-    def found(column: pd.Series) -> pd.Series:
-        return pd.Series(bloom.value.may_hold(column.fillna(-1).to_numpy().astype(np.int64)))
+    @F.arrow_udf("boolean")
+    def found(column: pa.Array) -> pa.Array:
+        return pa.array(bloom.value.may_hold(column.fill_null(-1).to_numpy(zero_copy_only=False)))
 
     return found

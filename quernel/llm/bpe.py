@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from quernel.llm import arrow_text as at
+
 SPACES = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: Unicode white space
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"  # fixed values
 UNCOMMON = regex.compile(r"[^\x00-\u052f\u1e00-\u23ff\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff00-\uffef]")
@@ -172,14 +174,13 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary per worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    loaded = at.cache("bpe")
+    if path not in loaded:
+        at.make_room("bpe")
+        loaded[path] = Vocabulary(path)
+    return loaded[path]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

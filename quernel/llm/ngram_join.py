@@ -416,21 +416,22 @@ def _labels(
     ), naming
 
 
-def _class_of(k: int, naming: Naming):
-    """The class (cid, cid2) of a text, computed as for the components."""
-    schema = pa.struct([("cid", pa.int64()), ("cid2", pa.int64())])
+def _judged(k: int, naming: Naming, bloom):
+    """Of an id and a text: may the row go, and if so, the class (cid, cid2) of its text, computed as for the components. One
+    function for both, so that a task needs one Python worker. Not to be evaluated twice, hence declared nondeterministic."""
+    schema = pa.struct([("may_go", pa.bool_()), ("cid", pa.int64()), ("cid2", pa.int64())])
 
-    @F.arrow_udf("struct<cid: bigint, cid2: bigint>")
-    def class_of(texts: pa.Array) -> pa.Array:
-        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in at.parts([pa.RecordBatch.from_arrays([texts], ["text"])]):
-            for _, _, hashes, bounds in _sets(batch, k):
-                _, a, b = _class_ids(hashes, bounds, naming)
-                one.append(a)
-                two.append(b)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], fields=list(schema))
+    @F.arrow_udf("struct<may_go: boolean, cid: bigint, cid2: bigint>")
+    def judged(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        hit = bloom.value.may_hold(ids.fill_null(-1).to_numpy(zero_copy_only=False))
+        one, two = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for batch in at.parts([pa.RecordBatch.from_arrays([texts.filter(pa.array(hit))], ["text"])]):
+            found += [_class_ids(hashes, bounds, naming)[1:] for _, _, hashes, bounds in _sets(batch, k)]
+        one[hit], two[hit] = (np.concatenate(x) for x in zip(*found))
+        return pa.StructArray.from_arrays([pa.array(hit), pa.array(one), pa.array(two)], fields=list(schema))
 
-    return class_of
+    return judged.asNondeterministic()
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -444,18 +445,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = labels.join(firsts, "root").groupBy("row_id", "cid", "cid2", stays.alias("stays")).agg(F.count("*").alias("rows"))
     counts = materialize(counts.filter("NOT stays OR rows > 1"), "gone")
     gone, twice = counts.filter("NOT stays").select("row_id", "cid", "cid2"), counts.filter("stays").select("row_id", "cid", "cid2")
-    may_go = blooms.may_hold(counts.select("row_id").distinct())
+    gone_ids = counts.select("row_id").distinct()
+    may_go, bloom = blooms.may_hold(gone_ids), docs.sparkSession.sparkContext.broadcast(blooms.build(gone_ids))
 
     # only texts that may go are shuffled for the exact join
     row_id = F.col(f"`{id_col}`").cast("long")
-    marked = may_go(row_id)
-    classed = docs.filter(marked).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_id.alias("row_id"), _class_of(k, naming)(F.col(f"`{text_col}`")).alias("class"))
+    classed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_id.alias("row_id"), _judged(k, naming, bloom)(row_id, F.col(f"`{text_col}`")).alias("class"))
+    classed = classed.filter("class.may_go")
     keys = ["row_id", "cid", "cid2"]
     left = classed.select("doc", "row_id", "class.cid", "class.cid2").join(gone, keys, "left_anti")
     if not twice.isEmpty():
         single = left.join(twice, keys, "left_semi").groupBy(*keys).agg(F.min_by("doc", F.col("doc").getField(text_col)).alias("doc"))
         left = left.join(twice, keys, "left_anti").select("doc").unionByName(single.select("doc"))
-    return docs.filter(~marked).unionByName(left.select("doc.*"))
+    return docs.filter(~may_go(row_id)).unionByName(left.select("doc.*"))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

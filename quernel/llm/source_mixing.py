@@ -12,8 +12,8 @@ words / weight while the level of the rest exceeds their cap.
 * The few slots by which a source falls short of its target (the discrepancy grows with the logarithm of the schedule)
   follow at the end; slots beyond the target are dropped. The last slot of a source is cut to the rounded target.
 
-The order of the mix is the slot: each document has the slot at which its first word comes, and the mixed documents are written
-in runs of RUN_SLOTS slots, in order within each file, so that every file holds the sources in the shares of their targets.
+The order of the mix is the slot: each document has the slot at which its first word comes. Mixed documents are dealt to files by a
+hash and stand there in the order of their slots, so that every file, read from its start, is an even sample of the mix so far.
 
 Positions in the streams, ranks of slots and sums over sources are two-level prefix sums (totals of buckets or ranges first,
 then within one), so no task holds a whole source or all sources. Sources are matched with schedule points through 4096 bins of
@@ -39,7 +39,6 @@ BLOCK_WORDS = 4096
 BUCKET_DIGITS = 3  # hex digits of the shuffle key that make a bucket of a source's stream
 SLOT_CHUNK = 65536
 BINS = 4096
-RUN_SLOTS = 64  # slots of the mix that go into one file together
 
 
 def source_key(source: Column) -> Column:
@@ -183,7 +182,7 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as rows of ``docs``: one for each pass that takes words of a document, in runs of the mix (see above). Where a pass
+    """The mix as rows of ``docs``: one for each pass that takes words of a document, in the order of the mix within each file. Where a pass
     ends inside a document, the words taken are joined by single spaces. Rows equal in every column are interchangeable."""
     pieces, _ = mix_sources(docs, id_col, text_col, source_col, hashed=docs.columns, **options)
     passes = pieces.groupBy("row_hash", "row_id", "source", "bucket", "place", "size", "pass").agg(
@@ -199,7 +198,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = F.when(F.col("n_words") < F.col("size"), cut).otherwise(text)
     joined = named.join(passes, ["row_hash", "row_name"])
     mixed = joined.select("slot", F.struct(*[taken.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row"))
-    return mixed.repartition(F.expr(f"slot div {RUN_SLOTS}")).sortWithinPartitions("slot").select("row.*")
+    return mixed.sortWithinPartitions("slot").select("row.*")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
