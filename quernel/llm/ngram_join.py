@@ -53,7 +53,7 @@ PROFILE = 256  # hash ranges of a set's profile
 COARSE = 16  # hash ranges of the coarser one that list entries are compared by
 VERIFY_COST = 8  # comparing along one list entry costs as much as so many subset rows
 SHORT_LIST = 1024  # a list is compared in full when it has at most so many cross pairs per member, before the filters
-BLOCK_MEMBERS = 4096  # of a list, that are compared with as many others in a task
+BLOCK_MEMBERS = 32_768  # of a list, that are compared with as many others in a task; a member is sent once for each block of its list
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
