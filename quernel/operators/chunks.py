@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernel.functions.text import HEADING
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"  # fixed values
+OUTER_SPACE = r"\A(?U:\s)+|(?U:\s)+\z"
 MEDIA = {".md": "text/markdown", ".txt": "text/plain"}  # fixed values
 
 
@@ -22,9 +23,9 @@ def decode_documents(files: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     status = (
-        F.when(~suffix.isin(*MEDIA), "unsupported").when(text.isNull(), "not_utf8").when(~text.rlike(r"\S"), "empty").otherwise("ok")
+        F.when(~suffix.isin(*MEDIA), "unsupported").when(text.isNull(), "not_utf8").when(~text.rlike(r"(?U:\S)"), "empty").otherwise("ok")
     )
-    return files.select("source", F.when(status == "ok", F.regexp_replace(text, "^\ufeff", "")).alias("content"), status.alias("status"))
+    return files.select("source", F.when(status == "ok", text).alias("content"), status.alias("status"))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,6 +42,15 @@ def sections(rows: DataFrame, is_heading: Column, title: Column) -> DataFrame:
     return marked.filter("NOT is_heading").drop("is_heading", "title")
 
 
+def chunk_documents(documents: DataFrame) -> DataFrame:
+    """(id, index, section, content) of readable documents (source, content): Markdown in sections, other text as one chunk."""
+    is_markdown = F.lower("source").endswith(".md")
+    text = documents.filter(~is_markdown).select(
+        F.col("source").alias("id"), F.lit(0).alias("index"), F.lit(None).cast("string").alias("section"), F.regexp_replace("content", OUTER_SPACE, "").alias("content")
+    )
+    return chunk(documents.filter(is_markdown), "source", "content").unionByName(text.filter("content <> ''"))
+
+
 def chunk(docs: DataFrame, id_col: str, text_col: str, is_heading: Column | None = None, title: Column | None = None) -> DataFrame:
     """(id, index, section, content): one chunk for each section that holds more than white space, trimmed."""
     heading = F.col("line").rlike(HEADING) if is_heading is None else is_heading
@@ -49,13 +59,15 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, is_heading: Column | None
     joined = body.groupBy("id", "section_no").agg(
         F.first("section", ignorenulls=True).alias("section"), F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line"))).getField("line"), "\n").alias("content")
     )
-    trimmed = joined.withColumn("content", F.regexp_replace("content", r"\A(?U:\s)+|(?U:\s)+\z", "")).filter("content <> ''")
+    trimmed = joined.withColumn("content", F.regexp_replace("content", OUTER_SPACE, "")).filter("content <> ''")
     index = F.row_number().over(Window.partitionBy("id").orderBy("section_no")) - 1
     return trimmed.select("id", index.alias("index"), "section", "content")
 
 
 def document_context(chunks: DataFrame) -> DataFrame:
-    """(id, context): the chunks of a document as one text."""
-    block = F.format_string("[%s] %s\n%s", F.col("index").cast("string"), F.coalesce("section", F.lit("-")), "content")
+    """(id, context): the chunks of a document as one text, each under its number, source and section."""
+    block = F.concat(
+        F.lit("[CHUNK "), F.col("index").cast("string"), F.lit("]\nSOURCE: "), F.col("id").cast("string"), F.lit("\nSECTION: "), F.coalesce(F.nullif("section", F.lit("")), F.lit("N/A")), F.lit("\n"), "content"
+    )
     ordered = F.array_sort(F.collect_list(F.struct("index", block.alias("block")))).getField("block")
     return chunks.groupBy("id").agg(F.array_join(ordered, "\n\n").alias("context"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
@@ -20,26 +19,32 @@ NATURAL_KEYS = {  # fixed values: class and its identifying property
 }
 
 
-def _canonical(value):
-    if isinstance(value, dict):
-        return {k: _canonical(value[k]) for k in sorted(value)}
-    if isinstance(value, list):
-        return [_canonical(v) for v in value]
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value).strip()) if isinstance(value, str) else value
+LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"(:?)')  # a string of compact JSON; a key is followed by a colon
+
+
+def _plain(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", text).split())
+
+
+def _normal_literal(found: re.Match) -> str:
+    return found[0] if found[1] else json.dumps(_plain(json.loads(found[0])), ensure_ascii=False)
+
+
+def _compact(document: str) -> str:
+    """JSON with sorted keys and without white space, the strings among its values normalised."""
+    return LITERAL.sub(_normal_literal, json.dumps(json.loads(document), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
 @F.pandas_udf(StringType())
-def source_scoped_key(source: pd.Series, class_name: pd.Series, properties: pd.Series) -> pd.Series:
-    """SHA-256 of the compact sorted JSON of source, class and properties (JSON text), their strings normalised."""
+def canonical_json(documents: pd.Series) -> pd.Series:
+    return documents.map(_compact, na_action="ignore")
 
-    def one(s, c, p):
-        if s is None or c is None or p is None:
-            return None
-        payload = {"source": _canonical(s), "class": c, "properties": _canonical(json.loads(p))}
-        text = json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str)
-        return hashlib.sha256(text.encode()).hexdigest()
 
-    return pd.Series([one(*row) for row in zip(source, class_name, properties)])
+def source_scoped_key(source: Column, class_name: Column, properties: Column) -> Column:
+    """SHA-256 of the compact JSON of class, properties (JSON text) and source, in this order of keys; null if any is null."""
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    text = F.concat(F.lit('{"class":'), quoted(class_name), F.lit(',"properties":'), canonical_json(properties), F.lit(',"source":'), quoted(normalize_identity(source)), F.lit("}"))
+    return F.sha2(text, 256)
 
 
 def source_scope(evidence: Column) -> Column:
@@ -48,27 +53,38 @@ def source_scope(evidence: Column) -> Column:
     return F.nullif(F.array_join(names, "|"), F.lit(""))
 
 
-def resolve(nodes: DataFrame, natural_keys: dict[str, str] = NATURAL_KEYS) -> DataFrame:
+def resolve(nodes: DataFrame, natural_keys: dict[str, str] = NATURAL_KEYS, classes: DataFrame | None = None) -> DataFrame:
     """``nodes`` (class_name, properties VARIANT, source_scope, ...) with strategy, key_name, key_value and reason.
 
-    natural_key, or source_scoped for classes without one; unresolved without a source; error if the natural key is missing.
+    natural_key, or source_scoped for classes without one; unresolved without a source; error if the class is not among
+    ``classes`` (technical_name), or the natural key is missing or empty.
     """
     keys = F.create_map(*[F.lit(x) for pair in natural_keys.items() for x in pair])[F.col("class_name")]
     as_json = F.to_json("properties")
-    given = F.element_at(F.from_json(as_json, "map<string,string>"), keys)
-    value = normalize_identity(F.when(keys.isNotNull(), given))
-    rows = nodes.withColumn("key_name", keys).withColumn("natural", value)
-    scoped = source_scoped_key("source_scope", "class_name", F.when(keys.isNull(), as_json))
+    given = F.when(keys.isNotNull(), F.element_at(F.from_json(as_json, "map<string,string>"), keys))
+    rows = nodes.withColumn("key_name", keys).withColumn("given", given).withColumn("natural", normalize_identity("given"))
+    if classes is None:
+        rows = rows.withColumn("is_known", F.lit(True))
+    else:
+        known = classes.select(F.col("technical_name").alias("class_name"), F.lit(True).alias("is_known")).distinct()
+        rows = rows.join(known, "class_name", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+    scoped = source_scoped_key(F.col("source_scope"), F.col("class_name"), F.when(keys.isNull(), as_json))
     has_natural = F.col("key_name").isNotNull()
-    strategy = (
-        F.when(has_natural & (F.coalesce("natural", F.lit("")) != ""), "natural_key").when(has_natural, "error")
-        .when(F.coalesce(F.trim("source_scope"), F.lit("")) == "", "unresolved").otherwise("source_scoped")
+    name, class_name = F.col("key_name"), F.col("class_name")
+    reason = (  # fixed wording
+        F.when(~F.col("is_known"), F.concat(F.lit("Unknown ontology class: "), class_name))
+        .when(has_natural & F.col("given").isNull(), F.concat(F.lit("Missing identity property "), name, F.lit(" for class "), class_name))
+        .when(has_natural & (F.col("natural") == ""), F.concat(F.lit("Identity property "), name, F.lit(" is empty for class "), class_name))
+        .when(~has_natural & (F.coalesce("source_scope", F.lit("")) == ""), F.concat(F.lit("No natural identity policy and no source scope available for class "), class_name))
     )
-    rows = rows.withColumn("strategy", strategy)
-    return rows.withColumn("key_value", F.when(F.col("strategy") == "natural_key", F.col("natural")).when(F.col("strategy") == "source_scoped", scoped)).withColumn(
-        "reason",
-        F.when(F.col("strategy") == "error", F.concat(F.lit("Missing natural key: "), "key_name")).when(F.col("strategy") == "unresolved", F.lit("No natural key and no source scope")),
-    ).withColumn("key_name", F.when(F.col("strategy") == "source_scoped", F.lit("_sourceScopedKey")).otherwise(F.col("key_name"))).drop("natural")
+    strategy = F.when(F.col("reason").isNull(), F.when(has_natural, "natural_key").otherwise("source_scoped")).when(
+        F.col("is_known") & ~has_natural, "unresolved"
+    ).otherwise("error")
+    rows = rows.withColumn("reason", reason).withColumn("strategy", strategy)
+    value = F.when(F.col("strategy") == "natural_key", F.col("natural")).when(F.col("strategy") == "source_scoped", scoped)
+    return rows.withColumn("key_value", value).withColumn(
+        "key_name", F.when(F.col("strategy") == "source_scoped", F.lit("_ingestionKey")).when(F.col("strategy") != "unresolved", name)
+    ).drop("natural", "given", "is_known")
 
 
 def policy_violations(classes: DataFrame, properties: DataFrame, natural_keys: dict[str, str] = NATURAL_KEYS) -> DataFrame:

@@ -32,9 +32,20 @@ def stored_edges(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def refused(resolved: DataFrame) -> DataFrame:
-    """Messages of nodes that can't be written safely."""
-    bad = resolved.filter(F.col("strategy").isin("unresolved", "error"))
-    return bad.select("temp_id", F.concat(F.lit("Cannot safely upsert "), "class_name", F.lit(": "), "reason").alias("message"))
+    """Messages of nodes that can't be written safely: unresolved, in error, or resolved without a key."""
+    no_key = F.col("key_name").isNull() | (F.coalesce("key_value", F.lit("")) == "")
+    message = (  # fixed wording
+        F.when(F.col("strategy") == "error", F.col("reason"))
+        .when(F.col("strategy") == "unresolved", F.concat(F.lit("Cannot safely upsert "), "class_name", F.lit(": "), "reason"))
+        .when(no_key, F.concat(F.lit("Resolved identity is incomplete for class "), "class_name"))
+    )
+    return resolved.select("temp_id", message.alias("message")).filter("message IS NOT NULL")
+
+
+def missing_ends(dangling: DataFrame) -> DataFrame:
+    """Messages of edges without a stored end, which abort the write of their patch: the source's first."""
+    message = F.when(F.col("source").isNull(), F.concat(F.lit("Missing source node: "), "source_temp_id")).otherwise(F.concat(F.lit("Missing target node: "), "target_temp_id"))
+    return dangling.select(F.col("source_temp_id").alias("temp_id"), message.alias("message"))
 
 
 def write_all_or_nothing(tables: dict[str, DataFrame], path: str) -> None:

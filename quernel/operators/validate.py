@@ -2,7 +2,7 @@
 
 Patches: ``nodes`` (patch_id, ord, temp_id, class_name, properties VARIANT) and ``edges`` (patch_id, ord, edge_name, source_temp_id,
 target_temp_id). Catalog: ``classes`` (technical_name, name, rules) and ``properties`` (kind, technical_name, domain, range).
-Every check is a join with the catalog; all violations together are ordered by (phase, ord, step, message).
+Every check is a join with the catalog. Violations come unordered: their order is (phase, ord, step, message), for who shows them.
 """
 
 from __future__ import annotations
@@ -54,21 +54,19 @@ def node_violations(nodes: DataFrame, classes: DataFrame, properties: DataFrame)
     subject = F.col("temp_id")
     unknown_class = _violation(nodes.join(known, "class_name", "left_anti"), 1, "unknown_class", subject, _say("Unknown ontology class: ", F.col("class_name")))
     given = exploded_properties(nodes).join(known, "class_name").join(attributes, "property", "left")
-    unknown = given.filter("domain IS NULL")
-    outside = given.filter(F.col("domain").isNotNull() & ~F.array_contains("domain", F.col("class_label")))
-    inside = given.filter(F.array_contains("domain", F.col("class_label")))
-    wrong = inside.filter(~fits_any(F.col("value"), F.col("ranges")))
+    inside = F.coalesce(F.array_contains("domain", F.col("class_label")), F.lit(False))
     names = F.create_map(*[F.lit(x) for pair in PYTHON_TYPES.items() for x in pair])
     kind = F.when(F.startswith("kind", F.lit("ARRAY")), "list").when(F.startswith("kind", F.lit("OBJECT")), "dict").when(F.startswith("kind", F.lit("DECIMAL")), "float").otherwise(names[F.col("kind")])
     shown = F.concat(F.lit("["), F.array_join(F.transform("ranges", lambda r: F.concat(F.lit("'"), r, F.lit("'"))), ", "), F.lit("]"))
-    found = unknown_class
-    for rows, code, message in (
-        (unknown, "unknown_property", _say("Unknown ontology property: ", F.col("property"))),
-        (outside, "property_domain", _say("Property ", F.col("property"), " does not belong to class ", F.col("class_name"))),
-        (wrong, "datatype", _say("Invalid datatype for ", F.col("property"), ": expected ", shown, ", got ", kind)),
-    ):
-        found = found.unionByName(_violation(rows, 1, code, subject, message, F.col("step")))
-    return found.unionByName(_attribute_rules(nodes, classes, attributes))
+    # a property has one of three faults at most: one pass over the opened properties
+    fault = (
+        F.when(F.col("domain").isNull(), F.struct(F.lit("unknown_property").alias("code"), _say("Unknown ontology property: ", F.col("property")).alias("message")))
+        .when(~inside, F.struct(F.lit("property_domain").alias("code"), _say("Property ", F.col("property"), " does not belong to class ", F.col("class_name")).alias("message")))
+        .when(~fits_any(F.col("value"), F.col("ranges")), F.struct(F.lit("datatype").alias("code"), _say("Invalid datatype for ", F.col("property"), ": expected ", shown, ", got ", kind).alias("message")))
+    )
+    faults = given.withColumn("fault", fault).filter("fault IS NOT NULL")
+    faults = faults.select("patch_id", F.lit(1).alias("phase"), "ord", F.col("step").cast("int").alias("step"), subject.alias("subject"), "fault.code", "fault.message")
+    return unknown_class.unionByName(faults).unionByName(_attribute_rules(nodes, classes, attributes))
 
 
 def _rules(classes: DataFrame) -> DataFrame:
@@ -119,7 +117,7 @@ def edge_violations(nodes: DataFrame, edges: DataFrame, classes: DataFrame, prop
     rows = edges.join(source, ["patch_id", "source_temp_id"], "left").join(target, ["patch_id", "target_temp_id"], "left").join(known, "edge_name", "left")
     rows = rows.join(label.select(F.col("c").alias("source_class"), F.col("l").alias("source_label")), "source_class", "left")
     rows = rows.join(label.select(F.col("c").alias("target_class"), F.col("l").alias("target_label")), "target_class", "left")
-    name, found = F.col("edge_name"), None
+    name = F.col("edge_name")
     no_source, no_target = F.col("source_class").isNull(), F.col("source_class").isNotNull() & F.col("target_class").isNull()
     linked = F.col("source_class").isNotNull() & F.col("target_class").isNotNull()
     no_edge = linked & F.col("domain").isNull()
@@ -135,10 +133,10 @@ def edge_violations(nodes: DataFrame, edges: DataFrame, classes: DataFrame, prop
         (both_known & ~F.array_contains("ranges", F.col("target_label")), "edge_range", _say("Invalid edge range for ", name, ": ", F.col("target_class"), " is not allowed")),
         (both_known & wanted.isNotNull() & ~wanted.eqNullSafe(F.col("rule_type")), "edge_semantics", _say("Edge ", name, " requires target pskg:ruleType=", wanted, "; got ", F.coalesce("rule_type", F.lit("None")))),
     ]
-    for step, (where, code, message) in enumerate(checks):
-        part = _violation(rows.filter(where), 2, code, name, message, F.lit(step))
-        found = part if found is None else found.unionByName(part)
-    return found
+    # all checks of an edge in one pass over the joined rows
+    hits = F.array(*[F.when(where, F.struct(F.lit(step).alias("step"), F.lit(code).alias("code"), message.alias("message"))) for step, (where, code, message) in enumerate(checks)])
+    found = rows.select("patch_id", "ord", name.alias("subject"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    return found.select("patch_id", F.lit(2).alias("phase"), "ord", "h.step", "subject", "h.code", "h.message")
 
 
 def cardinality_violations(nodes: DataFrame, edges: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
@@ -163,7 +161,7 @@ def validate_patches(nodes: DataFrame, edges: DataFrame, classes: DataFrame, pro
     first = of_nodes.groupBy("patch_id", "phase", "ord", "subject", "message").agg(F.min("step").alias("step"), F.min_by("code", "step").alias("code")).select(COLUMNS)
     rest = edge_violations(nodes, edges, classes, properties).unionByName(cardinality_violations(nodes, edges, classes, properties))
     prefix = F.when(F.col("phase") == 2, F.concat(F.lit("Edge "), "subject", F.lit(": "))).otherwise(F.concat(F.lit("Node "), "subject", F.lit(": ")))
-    return first.unionByName(rest).withColumn("message", F.concat(prefix, "message")).orderBy("patch_id", "phase", "ord", "step", "message")
+    return first.unionByName(rest).withColumn("message", F.concat(prefix, "message"))
 
 
 def patch_reports(nodes: DataFrame, edges: DataFrame, violations: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quernel.operators import chunks, state
-from quernel.session import shared_dir, table
+from quernel.session import new_folder, table
 from quernel.sources import rdf
 from quernel.streaming import state_stream
 
@@ -90,7 +88,7 @@ def state_patches(spark, sf):
 def state_fold_stream(spark, sf):
     """The same fold by a stateful stream over the event files."""
     static = table(spark, sf, "events")
-    folder = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     source = f"{folder}/source"
     static.filter("event_id % 5 <> 0").select(
         "user_id", F.col("event_type").alias("field"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("value")

@@ -252,15 +252,19 @@ def patch_report(spark, sf):
 
 
 @query("""
-SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'error' WHEN c_custkey % 9 = 1 THEN 'unresolved' ELSE 'natural_key' END AS strategy,
-  CASE WHEN c_custkey % 9 > 1 THEN c_name || ' x' END AS key_value, CASE WHEN c_custkey % 9 = 0 THEN 'Missing natural key: pskg:customerIdentifier' WHEN c_custkey % 9 = 1 THEN 'No natural key and no source scope' END AS reason FROM customer
+SELECT c_custkey, CASE WHEN c_custkey % 9 IN (0, 2, 3) THEN 'error' WHEN c_custkey % 9 = 1 THEN 'unresolved' ELSE 'natural_key' END AS strategy,
+  CASE WHEN c_custkey % 9 > 3 THEN c_name || ' x' END AS key_value, CASE c_custkey % 9 WHEN 0 THEN 'Identity property pskg:customerIdentifier is empty for class pskg:Customer'
+   WHEN 1 THEN 'No natural identity policy and no source scope available for class pskg:Note' WHEN 2 THEN 'Missing identity property pskg:customerIdentifier for class pskg:Customer' WHEN 3 THEN 'Unknown ontology class: pskg:Ghost' END AS reason,
+  CASE WHEN c_custkey % 9 NOT IN (1, 3) THEN 'pskg:customerIdentifier' END AS key_name FROM customer
 """)
 def identity_natural(spark, sf):
-    """Natural keys: normalised values, missing ones as errors, classes without key or source as unresolved."""
+    """Natural keys: normalised values; missing and empty ones and unknown classes as errors; no key and no source as unresolved."""
     k = F.col("c_custkey") % 9
     doc = F.when(k == 0, F.to_json(F.struct(F.lit("  ").alias("pskg:customerIdentifier")))).otherwise(F.to_json(F.struct(F.concat(F.lit("  "), "c_name", F.lit(" \t x ")).alias("pskg:customerIdentifier"))))
-    nodes = table(spark, sf, "customer").select("c_custkey", F.when(k == 1, "pskg:Note").otherwise("pskg:Customer").alias("class_name"), F.parse_json(doc).alias("properties"), F.lit(None).cast("string").alias("source_scope"))
-    return identity.resolve(nodes).select("c_custkey", "strategy", "key_value", "reason")
+    doc = F.when(k == 2, F.lit("{}")).otherwise(doc)
+    nodes = table(spark, sf, "customer").select("c_custkey", F.when(k == 1, "pskg:Note").when(k == 3, "pskg:Ghost").otherwise("pskg:Customer").alias("class_name"), F.parse_json(doc).alias("properties"), F.lit(None).cast("string").alias("source_scope"))
+    classes = spark.sql("SELECT * FROM VALUES ('pskg:Note'), ('pskg:Customer') AS t(technical_name)")
+    return identity.resolve(nodes, classes=classes).select("c_custkey", "strategy", "key_value", "reason", "key_name")
 
 
 @query("""

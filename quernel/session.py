@@ -25,9 +25,11 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset on a local master."""
     named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not context.getCheckpointDir():
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernel-"))
     return named or context.getCheckpointDir()
 
@@ -35,11 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 _folders: list[str] = []  # what this driver has written with materialize()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which release() deletes."""
+    _folders.append(os.path.join(shared_dir(spark), f"quernel-{uuid.uuid4().hex}"))
+    return _folders[-1]
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps survive the loss of executors."""
     spark = df.sparkSession
-    folder = os.path.join(shared_dir(spark), f"quernel-{uuid.uuid4().hex}")
-    _folders.append(folder)
+    folder = new_folder(spark)
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
