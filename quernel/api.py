@@ -6,11 +6,14 @@ happen before a plan is built.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.text import normalize_text
 from quernel.operators import recipes, routes, search
+from quernel.session import materialize
 
 ACCESS = ("car", "motorbike", "bicycle", "pedestrian", "service_vehicle")  # fixed values
 OPTIMIZATION = {"shortest_distance": "distance", "fastest_time": "time"}  # fixed values
@@ -89,10 +92,19 @@ def _paths(nodes: DataFrame, edges: DataFrame, start: str, wanted: list[str], ac
     return routes.shortest_paths(usable, spark.createDataFrame([(start,)], "node string"), targets), targets
 
 
-def _route(paths: DataFrame, edges: DataFrame, target: str) -> DataFrame:
-    """Steps with their edges, totals' inputs and turns."""
-    steps = routes.route(paths, target).drop("source", "target")
-    return routes.with_turns(steps.join(edges, "edge_id").withColumn("route", F.lit(1)), "route", "index").drop("route")
+def _route(paths: DataFrame, nodes: DataFrame, edges: DataFrame, start: str, end: str, optimization: str) -> dict:
+    """The answer for a route: its id, ends, totals and toll warnings, and the steps with edges, turns and both nodes."""
+    steps = routes.route(paths, end).drop("source", "target")
+    steps = materialize(routes.with_turns(steps.join(edges, "edge_id").withColumn("route", F.lit(1)), "route", "index"), "steps")
+    totals = routes.route_totals(steps, "route").first()
+    warnings = []
+    if "toll" in edges.columns and "road_name" in edges.columns:
+        tolls = steps.withColumn("warning", F.when(F.col("toll"), F.concat(F.lit("Có phí: "), "road_name")))  # fixed wording
+        warnings = (routes.first_seen(tolls, "route", "index", "warning").first() or {"values": []})["values"]
+    return {
+        "success": True, "route_id": str(uuid.uuid4()), "start": start, "end": end, "optimization": optimization, "total_distance": totals["total_distance"] if totals else 0,
+        "total_time": totals["total_time"] if totals else 0, "warnings": warnings, "steps": routes.with_nodes(steps.drop("route"), nodes),
+    }
 
 
 def find_route(nodes: DataFrame, edges: DataFrame, start: str, end: str, access: str = "car", optimization: str = "fastest_time") -> dict:
@@ -102,7 +114,7 @@ def find_route(nodes: DataFrame, edges: DataFrame, start: str, end: str, access:
     paths, _ = found
     if paths.filter(F.col("node") == end).isEmpty():
         return _error("NO_ROUTE", f"no route from {start} to {end}")
-    return {"success": True, "steps": _route(paths, edges, end)}
+    return _route(paths, nodes, edges, start, end, optimization)
 
 
 def find_recovery_route(nodes: DataFrame, edges: DataFrame, position: str, route_nodes: list[str], current_index: int, access: str = "car", optimization: str = "fastest_time") -> dict:
@@ -116,4 +128,4 @@ def find_recovery_route(nodes: DataFrame, edges: DataFrame, position: str, route
     best = routes.nearest_target(paths, targets).first()
     if best is None:
         return _error("NO_RECOVERY_ROUTE", "no node of the route can be reached")
-    return {"success": True, "resume_index": best["index"] + current_index, "steps": _route(paths, edges, best["node"])}
+    return _route(paths, nodes, edges, position, best["node"], optimization) | {"resume_index": best["index"] + current_index}

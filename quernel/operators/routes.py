@@ -91,6 +91,14 @@ def with_turns(steps: DataFrame, route_col: str, order_col: str, heading_col: st
     return steps.withColumn("turn", turn(before, F.col(heading_col)))
 
 
+def with_nodes(steps: DataFrame, nodes: DataFrame, id_col: str = "node_id") -> DataFrame:
+    """``steps`` (source, target, ...) with ``from_node`` and ``to_node``: the id and all fields of both nodes."""
+    payload = nodes.select(F.col(id_col).alias("__id"), F.struct(F.col(id_col).alias("id"), *[F.col(c) for c in nodes.columns if c != id_col]).alias("__node"))
+    for end, name in (("source", "from_node"), ("target", "to_node")):
+        steps = steps.join(payload.withColumnsRenamed({"__id": end, "__node": name}), end, "left")
+    return steps
+
+
 def route_totals(steps: DataFrame, route_col: str, distance: str = "distance", time: str = "time") -> DataFrame:
     return steps.groupBy(route_col).agg(F.sum(distance).alias("total_distance"), F.sum(time).alias("total_time"))
 

@@ -45,6 +45,20 @@ def invalid(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows.select("session", "seq", F.explode(broken).alias("check"))
 
 
+def fold_valid(rows: DataFrame, checks: dict[str, Column], delta: str = "delta") -> DataFrame:
+    """The fold of the patches (session, ts, seq, delta) that pass every check; one that breaks any changes nothing at all."""
+    fine = F.lit(True)
+    for ok in checks.values():
+        fine = fine & F.coalesce(ok, F.lit(True))
+    return fold(field_changes(rows.filter(fine), delta))
+
+
+def in_vocabulary(delta: Column, field: str, words: list[str]) -> Column:
+    """Whether a text field of a delta is one of the words; an absent or null one is fine."""
+    given = F.try_variant_get(delta, f"$.{field}", "string")
+    return given.isNull() | given.isin(words)
+
+
 def required(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Sessions that are asked for but not known."""
     return wanted.join(known, "session", "left_anti").select("session", F.concat(F.lit("Session not found: "), "session").alias("message"))

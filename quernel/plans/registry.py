@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.plans import flow, graph, lookup
+from quernel.plans import checks, flow, graph, lookup
 
-QUERIES = lookup.QUERIES | graph.QUERIES | flow.QUERIES
-ORACLES = lookup.ORACLES | graph.ORACLES | flow.ORACLES
+QUERIES = lookup.QUERIES | graph.QUERIES | flow.QUERIES | checks.QUERIES
+ORACLES = lookup.ORACLES | graph.ORACLES | flow.ORACLES | checks.ORACLES

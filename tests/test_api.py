@@ -42,3 +42,23 @@ def test_routes(spark):
     assert api.find_recovery_route(nodes, table, "A", ["D", "C", "B"], 1)["resume_index"] == 2
     assert api.find_recovery_route(nodes, table, "D", ["A", "B"], 0)["errorCode"] == "NO_RECOVERY_ROUTE"
     assert api.search_locations(nodes, table, " ")["errorCode"] == "INVALID_QUERY"
+
+
+def test_route_answer(spark, tmp_path):
+    """A navigation document as tables, and the whole answer for a route over it."""
+    import json
+
+    from quernel.sources import navigation
+
+    edge = lambda i, to, heading, **more: {"id": i, "to": to, "roadName": f"road {i}", "distance": 5, "time": 5, "heading": heading, "status": "open", "access": ["car"], "toll": False} | more
+    document = {"metadata": {"name": "x"}, "nodes": {n: {"name": n.lower(), "type": "t", "lat": 1.0, "lng": 2.0, "level": 0} for n in "ABC"}, "graph": {"A": [edge("AB", "B", 10, toll=True), edge("AC", "C", 0, status="closed")], "B": [edge("BC", "C", 100, toll=True)], "C": []}}
+    (tmp_path / "graph.json").write_text(json.dumps(document))
+    nodes, keys, edges = navigation.read_graph(spark, str(tmp_path / "graph.json"))
+    assert {r["node"] for r in keys.collect()} == {"A", "B", "C"}
+    got = api.find_route(nodes, edges, "A", "C")
+    assert (got["success"], got["start"], got["end"], got["optimization"], got["total_distance"], got["total_time"]) == (True, "A", "C", "fastest_time", 10, 10)
+    assert got["warnings"] == ["Có phí: road AB", "Có phí: road BC"] and len(got["route_id"]) == 36
+    steps = sorted(got["steps"].collect(), key=lambda r: r["index"])
+    assert [(r["from_node"]["id"], r["to_node"]["name"], r["edge_id"], r["turn"]) for r in steps] == [("A", "b", "AB", "start"), ("B", "c", "BC", "right")]
+    same = api.find_route(nodes, edges, "A", "A")
+    assert (same["success"], same["total_distance"], same["steps"].count(), same["warnings"]) == (True, 0, 0, [])

@@ -1,3 +1,4 @@
+import hashlib
 import inspect
 import json
 
@@ -271,3 +272,27 @@ def test_patch_documents(spark):
         (2, "edges.0.targetTempId", "Field required"), (2, "nodes.0.confidence", "Input should be less than or equal to 1"), (2, "nodes.0.tempId", "Field required"), (3, "", "not a JSON object"), (4, "", "not a JSON object"),
     ]
     assert validate.validate_patches(nodes.filter("patch_id = 1"), links.filter("patch_id = 1"), *mini(spark)).count() == 0
+
+
+def test_identity_wording(spark):
+    rows = [("a", "pskg:Ghost", "{}", "s"), ("b", "pskg:BankingProduct", "{}", "s"), ("c", "pskg:BankingProduct", '{"pskg:productCode": "  "}', "s"), ("d", "x:Note", "{}", None), ("e", "x:Note", '{"z": [" a  b ", {"k": "\\u00e9 "}], "a": 1}', " f ")]
+    nodes = spark.createDataFrame(rows, "temp_id string, class_name string, p string, source_scope string").withColumn("properties", F.parse_json("p"))
+    classes = spark.createDataFrame([("pskg:BankingProduct",), ("x:Note",)], "technical_name string")
+    got = {r["temp_id"]: r for r in identity.resolve(nodes, classes=classes).collect()}
+    assert got["a"]["reason"] == "Unknown ontology class: pskg:Ghost"
+    assert got["b"]["reason"] == "Missing identity property pskg:productCode for class pskg:BankingProduct"
+    assert got["c"]["reason"] == "Identity property pskg:productCode is empty for class pskg:BankingProduct"
+    assert got["d"]["reason"] == "No natural identity policy and no source scope available for class x:Note"
+    text = '{"class":"x:Note","properties":{"a":1,"z":["a b",{"k":"é"}]},"source":"f"}'
+    assert (got["e"]["key_name"], got["e"]["key_value"]) == ("_ingestionKey", hashlib.sha256(text.encode()).hexdigest())
+    assert "Cannot safely upsert x:Note: No natural identity policy and no source scope available for class x:Note" in {r["message"] for r in upsert.refused(identity.resolve(nodes, classes=classes)).collect()}
+
+
+def test_text_files_are_one_chunk(spark):
+    rows = [("a.txt", "intro\n# Head\nbody\n".encode()), ("b.MD", "intro\n# Head\nbody\n".encode()), ("c.txt", "\u00a0\n".encode()), ("d.txt", "\ufeffx".encode()), ("product.md", b"# Product\n\nCode: CARD-001\n")]
+    files = chunks.decode_documents(spark.createDataFrame(rows, "source string, content binary"))
+    assert {r["source"]: r["status"] for r in files.collect()} == {"a.txt": "ok", "b.MD": "ok", "c.txt": "empty", "d.txt": "ok", "product.md": "ok"}
+    got = {(r["id"], r["index"], r["section"], r["content"]) for r in chunks.chunk_documents(files.filter("status = 'ok'")).collect()}
+    assert got == {("a.txt", 0, None, "intro\n# Head\nbody"), ("b.MD", 0, None, "intro"), ("b.MD", 1, "Head", "body"), ("d.txt", 0, None, "\ufeffx"), ("product.md", 0, "Product", "Code: CARD-001")}
+    context = {r["id"]: r["context"] for r in chunks.document_context(chunks.chunk_documents(files.filter("status = 'ok'"))).collect()}
+    assert context["b.MD"] == "[CHUNK 0]\nSOURCE: b.MD\nSECTION: N/A\nintro\n\n[CHUNK 1]\nSOURCE: b.MD\nSECTION: Head\nbody"
