@@ -103,9 +103,12 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.filter(marked).select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("name"), none.alias("no_id"), text_digest(F.col(f"`{text_col}`")).alias("digest")
     )
-    joined = rows.join(keys, ["name", "no_id", "digest"], "left")
-    once = joined.filter("stays").groupBy("name", "no_id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    left = joined.filter("stays IS NULL").select("row").unionByName(once.select("row"))
+    at = ["name", "no_id", "digest"]
+    once = keys.filter("stays").select(at)
+    left = rows.join(keys.select(at), at, "left_anti").select("row")
+    if not once.isEmpty():  # of rows that share id and text, one
+        one = rows.join(once, at, "left_semi").groupBy(at).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        left = left.unionByName(one.select("row"))
     return docs.filter(~marked).unionByName(left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
