@@ -18,7 +18,7 @@ A document's set is its distinct ``k``-word shingles after lower-casing A-Z. Two
   no link that would join two components is lost; a list with many gets another hub outside its largest component first. Lists
   of more than BLOCK_MEMBERS members are compared block by block: two blocks are a join key of their own, so that no task
   holds a long list. A pair whose entries in a list also have the token before in common is left to that token's list.
-* Every candidate is verified: first by profiles (how many shingles fall into each of PROFILE hash ranges bounds the overlap
+* Every candidate is verified: first by profiles (how many shingles fall into each of its hash ranges, one or two to a range, bounds the overlap
   from above), then on the two whole sets.
 
 Broadcast are a counting sketch of a byte for each of ``2 ** 20`` to ``2 ** 24`` cells, more for more documents, and a Bloom filter of at
@@ -39,6 +39,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ from quernel.session import materialize
 
 SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_PART_BITS = 20, 24, 16
 SKETCH_DOCUMENTS = 16  # a cell for so many of them
-PROFILE = 256  # hash ranges of a set's profile
+LEAST_RANGES, MOST_RANGES = 64, 16_384  # hash ranges of a set's profile: a power of two, one or two shingles in each
+PROFILE_BYTES = 2_000_000  # of profiles that are compared at a time
 COARSE = 16  # hash ranges of the coarser one that list entries are compared by
 VERIFY_COST = 8  # comparing along one list entry costs as much as so many subset rows
 SHORT_LIST = 1024  # a list is compared in full when it has at most so many cross pairs per member, before the filters
@@ -162,12 +164,16 @@ def shingle_frequency(described: DataFrame, bits: int) -> np.ndarray:
 
 
 def _profiles(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
-    """How many shingles of each set fall into each of PROFILE hash ranges; null where a count could overflow."""
-    rows = len(bounds) - 1
-    row = np.repeat(np.arange(rows), np.diff(bounds))
-    cell = row * PROFILE + ((hashes >> np.uint64(40)) & np.uint64(PROFILE - 1)).astype(np.int64)
-    counts = np.bincount(cell, minlength=rows * PROFILE).reshape(rows, PROFILE)
-    return [c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else None for c in counts]
+    """How many shingles of each set fall into each of its hash ranges; null where a count could overflow. Half as many ranges
+    are these counts added up in pairs, so profiles of different lengths compare."""
+    n = np.diff(bounds)
+    ranges = np.clip(1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64), LEAST_RANGES, MOST_RANGES)
+    start = np.cumsum(ranges) - ranges
+    cell = np.repeat(start, n) + ((hashes >> np.uint64(40)).astype(np.int64) & (np.repeat(ranges, n) - 1))
+    counts = np.bincount(cell, minlength=int(ranges.sum()))
+    most = np.maximum.reduceat(counts, start) if len(start) else start
+    small = counts.astype(np.uint8)
+    return [small[i : i + r].tobytes() if m < 256 else None for i, r, m in zip(start.tolist(), ranges.tolist(), most.tolist())]
 
 
 def _may_link(percent: int):
@@ -176,13 +182,20 @@ def _may_link(percent: int):
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
             keep = np.ones(batch.num_rows, dtype=bool)
-            both = np.flatnonzero((a.is_valid().to_numpy(zero_copy_only=False)) & (b.is_valid().to_numpy(zero_copy_only=False)))
-            if len(both):
-                left, right = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, PROFILE) for c in (a, b))
-                most, sizes = (x.sum(axis=1, dtype=np.int64) for x in (np.minimum(left, right), np.hstack([left, right])))
-                keep[both] = 100 * most >= percent * (sizes - most)
+            lengths = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in (2, 3)]
+            for x, y in np.unique(np.stack(lengths, axis=1), axis=0).tolist():
+                if not (x and y):
+                    continue  # one of the profiles is unknown
+                alike = np.flatnonzero((lengths[0] == x) & (lengths[1] == y))
+                step = max(1, PROFILE_BYTES // max(x, y))
+                for rows in (alike[i : i + step] for i in range(0, len(alike), step)):
+                    left, right = (
+                        np.frombuffer(b"".join(batch.column(c).take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1, min(x, y)).sum(axis=1, dtype=np.int32)
+                        for c in (2, 3)
+                    )
+                    most, sizes = (t.sum(axis=1, dtype=np.int64) for t in (np.minimum(left, right), left + right))
+                    keep[rows] = 100 * most >= percent * (sizes - most)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
@@ -191,7 +204,7 @@ def _may_link(percent: int):
 def _coarse_profiles(batches):
     """Profiles added up to COARSE ranges, as arrays; an unknown profile is an empty array."""
     for batch in batches:
-        rows = [[] if p is None else np.frombuffer(p, np.uint8).reshape(COARSE, -1).sum(axis=1).tolist() for p in batch.column(1).to_pylist()]
+        rows = [[] if p is None else np.frombuffer(p, np.uint8).reshape(-1, COARSE).sum(axis=0).tolist() for p in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["cid", "ranges"])
 
 

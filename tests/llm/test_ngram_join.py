@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quernel.llm import ngram_join as N
@@ -133,3 +135,26 @@ def test_chain_of_components(spark):
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r["node"]: r["root"] for r in connected_components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_profiles_lose_no_link():
+    rng = np.random.default_rng(1)
+    unknown = 0
+    for _ in range(150):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 3000))).astype(np.uint64))
+        new = rng.integers(0, 2**63, int(rng.integers(0, len(a) // 5 + 2))).astype(np.uint64)
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.5, 1)], new]))
+        profiles = N._profiles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        both = len(np.intersect1d(a, b))
+        pairs = pa.record_batch([pa.array([1, 1]), pa.array([2, 3]), pa.array([profiles[0]] * 2, pa.binary()), pa.array([profiles[1], None], pa.binary())], ["a", "b", "profile_a", "profile_b"])
+        kept = next(N._may_link(80)([pairs])).column(1).to_pylist()
+        assert 3 in kept  # nothing is known of its set
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert 2 in kept
+        else:
+            unknown += 2 in kept
+    assert unknown < 40
+    far = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (5000, 5100)]
+    left, right = (N._profiles(x, np.array([0, len(x)])) for x in far)
+    pairs = pa.record_batch([pa.array([1]), pa.array([2]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b", "profile_a", "profile_b"])
+    assert next(N._may_link(80)([pairs])).num_rows == 0
