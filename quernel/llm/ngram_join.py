@@ -404,17 +404,21 @@ def _labels(
         stats = materialize(stats.withColumn("full", (F.col("cross") <= SHORT_LIST * F.col("total")) | F.lit(step >= hub_rounds)), "stats")
         members = materialize(members.join(stats.select("token", "full", F.col("largest.root").alias("largest"), F.ceil(F.col("total") / block_members).cast("int").alias("blocks")), "token"), "members")
         full = members.filter("full").join(coarse, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        # a list of one block is joined by its token, one of more by each two of its blocks: x in the lower one, y in the higher
-        cell = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", "low", "high")).alias("cell")
+        # a list of one block is joined with itself by its token, one of more by each two of its blocks: x in the lower one, y in the higher
         sent = ["cid", "n", "pos", "root", "before", "ranges"]
-        x = full.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.col("blocks") - 1)))
+        apart = (
+            "x.root <> y.root AND (x.before IS NULL OR y.before IS NULL OR x.before <> y.before) AND "
+            + _feasible(percent, "x", "y") + " AND " + _overlapping(percent, "x", "y")
+        )
+        single, long = full.filter("blocks = 1").select("token", *sent), full.filter("blocks > 1")
+        within = single.alias("x").join(single.alias("y"), F.expr("x.token = y.token AND x.cid < y.cid AND " + apart))
+        cell = F.xxhash64("token", "low", "high").alias("cell")
+        x = long.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.col("blocks") - 1)))
         x = x.select(cell, (F.col("low") < F.col("high")).alias("across"), *sent).alias("x")
-        y = full.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), "block"))).select(cell, *sent).alias("y")
-        pairs = x.join(y, F.expr(
-            "x.cell = y.cell AND (x.across OR x.cid < y.cid) AND x.root <> y.root "
-            "AND (x.before IS NULL OR y.before IS NULL OR x.before <> y.before) AND " + _feasible(percent, "x", "y") + " AND " + _overlapping(percent, "x", "y")
-        ))
-        extra = pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+        y = long.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), "block"))).select(cell, *sent).alias("y")
+        across = x.join(y, F.expr("x.cell = y.cell AND (x.across OR x.cid < y.cid) AND " + apart))
+        ends = [F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")]
+        extra = within.select(*ends).unionByName(across.select(*ends))
         # the next hub of a long list: the most central member outside its largest component
         members = members.filter("NOT full").drop("full", "blocks")
         hubs = members.filter("root <> largest").groupBy("token").agg(F.max(F.struct("support", "cid", "n", "pos")).alias("one"))
