@@ -53,6 +53,7 @@ SKETCH_DOCUMENTS = 16  # a cell for so many of them
 LEAST_RANGES, MOST_RANGES = 64, 16_384  # hash ranges of a set's profile: a power of two, one or two shingles in each
 PROFILE_BYTES = 2_000_000  # of profiles that are compared at a time
 COARSE = 16  # hash ranges of the coarser one that list entries are compared by
+HEAVY_TOKENS = 65_536  # bound of the tokens whose list lengths are broadcast
 VERIFY_COST = 8  # comparing along one list entry costs as much as so many subset rows
 SHORT_LIST = 1024  # a list is compared in full when it has at most so many cross pairs per member, before the filters
 BLOCK_MEMBERS = 32_768  # of a list, that are compared with as many others in a task; a member is sent once for each block of its list
@@ -214,9 +215,18 @@ def _overlapping(percent: int, x: str, y: str) -> str:
     return f"(size({x}.ranges) = 0 OR size({y}.ranges) = 0 OR {100 + percent} * {most} >= {percent} * ({x}.n + {y}.n))"
 
 
-def _only_shared(bloom):
-    """List entries: prefixes cut down to tokens that may be shared, each with the one before it (null for the first)."""
-    schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("token", pa.int64()), ("before", pa.int64())])
+def heavy_tokens(shared: DataFrame, most: int = HEAVY_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens whose lists hold more than ``1 / most`` of all entries of ``shared(token, length)``, which fewer than ``most`` can,
+    and the lengths of those lists."""
+    total = shared.agg(F.sum("length")).first()[0] or 0
+    found = shared.filter(F.col("length") * most > total).select("token", "length").toArrow().sort_by("token")
+    return found["token"].to_numpy(), found["length"].to_numpy()
+
+
+def _only_shared(bloom, heavy):
+    """List entries: prefixes cut down to tokens that may be shared, each with the one before it (null for the first) and the
+    support of its set: how many such tokens it has, heavy ones counted as often as their lists are long."""
+    schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("token", pa.int64()), ("before", pa.int64()), ("support", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -229,8 +239,14 @@ def _only_shared(bloom):
             row, tokens = row[hit], tokens[hit]
             first = np.diff(row, prepend=-1) != 0
             before = pa.array(np.roll(tokens, 1), mask=first)
+            weights = np.ones(len(tokens))
+            long_tokens, lengths = heavy.value
+            if len(long_tokens):
+                place = np.minimum(np.searchsorted(long_tokens, tokens), len(long_tokens) - 1)
+                weights = np.where(long_tokens[place] == tokens, lengths[place], 1)
+            support = np.bincount(row, weights, batch.num_rows).astype(np.int64)
             cid, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(cid[row]), pa.array(n[row]), pa.array(pos[hit].astype(np.int32)), pa.array(tokens), before], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[row]), pa.array(n[row]), pa.array(pos[hit].astype(np.int32)), pa.array(tokens), before, pa.array(support[row])], schema=schema)
 
     return run
 
@@ -359,9 +375,11 @@ def _labels(
     shared = materialize(entered.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"), "shared")
     thin = spark.sparkContext.broadcast(blooms.build(shared.select("token")))
     entries = entered.filter("size(prefix) > 0").select("cid", "n", "prefix")
-    lists = materialize(entries.mapInArrow(_only_shared(thin), "cid long, n int, pos int, token long, before long").join(shared, "token"), "lists")
     # A class whose shingles stand in long lists is central to its group: the hub that most others link with.
-    members = lists.drop("length").join(lists.groupBy("cid").agg(F.sum("length").alias("support")), "cid")
+    heavy = spark.sparkContext.broadcast(heavy_tokens(shared))
+    members = entries.mapInArrow(_only_shared(thin, heavy), "cid long, n int, pos int, token long, before long, support long")
+    if thin.value.full:  # else the few that the filter lets pass wrongly are lists of one entry, which give no pairs
+        members = members.join(shared.select("token"), "token", "left_semi")
     members = materialize(members, "members")
     profiles = entered.select("cid", "profile")
     light = subset_candidates(subset_keys, percent)

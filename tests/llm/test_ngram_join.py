@@ -158,3 +158,14 @@ def test_profiles_lose_no_link():
     left, right = (N._profiles(x, np.array([0, len(x)])) for x in far)
     pairs = pa.record_batch([pa.array([1]), pa.array([2]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b", "profile_a", "profile_b"])
     assert next(N._may_link(80)([pairs])).num_rows == 0
+
+
+def test_heavy_tokens_have_a_bound(spark):
+    lengths = [2] * 50 + [3] * 20 + [40, 60]
+    shared = spark.createDataFrame([(1000 - i, n) for i, n in enumerate(lengths)], "token long, length long")
+    for most in (1, 4, 5, 100):
+        tokens, counts = N.heavy_tokens(shared, most)
+        expected = sorted((1000 - i, n) for i, n in enumerate(lengths) if n * most > sum(lengths))
+        assert list(zip(tokens.tolist(), counts.tolist())) == expected and len(expected) < most
+    tokens, counts = N.heavy_tokens(shared.limit(0))
+    assert len(tokens) == len(counts) == 0
