@@ -142,6 +142,60 @@ def rdf_classes(spark, sf):
     return classes.select("file", "technical_name", "name", F.explode("rules").alias("r")).select("file", "technical_name", "name", "r.property", "r.operator", "r.value", "r.qualifier")
 
 
+def part_rdf_text(spark, sf, suffix: str, head: str, one: str, between: str, tail: str):
+    """part_rdf() in another format: ``one`` is a part, with its key, name and size for {key}, {name} and {size}."""
+    parts = table(spark, sf, "part").filter("p_partkey IS NOT NULL")
+    item = F.lit(one)
+    for mark, value in (("{key}", F.col("p_partkey").cast("string")), ("{name}", F.col("p_name")), ("{size}", F.col("p_size").cast("string"))):
+        item = F.replace(item, F.lit(mark), value)
+    files = parts.groupBy("p_type", (F.col("p_partkey") % 8).alias("k")).agg(F.array_join(F.collect_list(item), between).alias("body"))
+    return files.select(F.concat(F.concat_ws("/", "p_type", "k"), F.lit(suffix)).alias("file"), F.encode(F.concat(F.lit(head), "body", F.lit(tail)), "UTF-8").alias("content"))
+
+
+def rules_of(rows):
+    classes = rdf.ontology(rows)["classes"]
+    classes = classes.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("file"), "technical_name", "name", F.explode("rules").alias("r"))
+    return classes.select("file", "technical_name", "name", "r.property", "r.operator", "r.value", "r.qualifier")
+
+
+@query(ORACLES["rdf_classes"])
+def rdf_classes_turtle(spark, sf):
+    """The classes of rdf_classes from Turtle files: prefixes, property lists in brackets, abbreviated numbers."""
+    head = """@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+PREFIX owl: <http://www.w3.org/2002/07/owl#>
+@prefix e: <http://e.org/o/> . @base <http://e.org/> .
+<o/> a owl:Ontology . # the base
+e:has a owl:ObjectProperty ; rdfs:label "has it" .
+"""
+    one = """e:P{key} a owl:Class ; rdfs:label "{name} {key}"@en ;
+  rdfs:subClassOf [ a owl:Restriction ; owl:onProperty <o/has> ; owl:minQualifiedCardinality {size} ; owl:onClass e:P1 ] .
+"""
+    return rules_of(rdf.read_rdf(part_rdf_text(spark, sf, ".ttl", head, one, "", "")))
+
+
+@query(ORACLES["rdf_classes"])
+def rdf_classes_n3(spark, sf):
+    """The classes of rdf_classes from N3 files, with statements that only N3 has."""
+    head = """@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix e: <http://e.org/o/> .
+owl:Ontology is a of e: . e:has has a owl:ObjectProperty ; rdfs:label '''has it''' .
+"""
+    one = """e:P{key} a owl:Class ; rdfs:label "{name} {key}"@en . _:r{key} a owl:Restriction .
+_:r{key} owl:minQualifiedCardinality "{size}" ; owl:onProperty e:has ; owl:onClass e:P1 ; is rdfs:subClassOf of e:P{key} .
+"""
+    return rules_of(rdf.read_rdf(part_rdf_text(spark, sf, ".n3", head, one, "", "")))
+
+
+@query(ORACLES["rdf_classes"])
+def rdf_classes_jsonld(spark, sf):
+    """The classes of rdf_classes from JSON-LD files: terms of a context, keyword aliases, coerced values, nodes without an id."""
+    head = """{"@context": {"rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "e": "http://e.org/o/", "id": "@id", "a": "@type",
+ "label": {"@id": "rdfs:label", "@language": "en"}, "sub": {"@id": "rdfs:subClassOf", "@type": "@id"}, "on": {"@id": "owl:onProperty", "@type": "@id"}, "class": {"@id": "owl:onClass", "@type": "@id"}},
+"@graph": [{"id": "http://e.org/o/", "a": "owl:Ontology"}, {"id": "e:has", "a": "owl:ObjectProperty", "rdfs:label": "has it"},
+"""
+    one = """{"id": "e:P{key}", "a": "owl:Class", "label": "{name} {key}", "sub": {"a": "owl:Restriction", "on": "e:has", "owl:minQualifiedCardinality": {size}, "class": "e:P1"}}"""
+    return rules_of(rdf.read_rdf(part_rdf_text(spark, sf, ".jsonld", head, one, ",\n", "]}")))
+
+
 @query("""
 SELECT p_type || '/' || (p_partkey % 8) AS file, 'http://e.org/o/' AS base, CAST(3 + 7 * count(*) AS BIGINT) AS triples, CAST(count(*) AS BIGINT) AS nodes, CAST(1 AS BIGINT) AS edges, CAST(0 AS BIGINT) AS properties FROM part GROUP BY ALL
 """)

@@ -1,4 +1,4 @@
-"""RDF/XML and N-Triples files as triples, and triples as ontology tables.
+"""RDF files (RDF/XML, Turtle, N3, N-Triples, JSON-LD) as triples, and triples as ontology tables.
 
 One row per file is parsed by a small streaming helper; everything after that (labels, definitions, compact names, restriction
 rules, counts) is joins and aggregates keyed by file, so many files of any mix of sizes run in parallel.
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from quernel.functions.text import humanize, local_name
 from quernel.session import materialize
+from quernel.sources.jsonld import jsonld_triples
+from quernel.sources.turtle import turtle_triples
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -136,22 +138,29 @@ def xml_triples(content: bytes):
             yield from node_triples(node, base, root.get(f"{{{XML}}}lang"))
 
 
+PARSERS = {"xml": xml_triples, "turtle": turtle_triples, "nt": turtle_triples, "n3": lambda content: turtle_triples(content, n3=True), "json-ld": jsonld_triples}
+
+
 def _parse(frames):
     columns = [c.split()[0] for c in TRIPLE.split(", ")]
     for frame in frames:
-        for file, content in zip(frame["file"], frame["content"]):
-            rows = []
-            for ord_, triple in enumerate(xml_triples(bytes(content))):
-                rows.append((file, ord_, *triple))
-                if len(rows) == 20_000:
+        for file, content, form in zip(frame["file"], frame["content"], frame["format"]):
+            try:
+                found = enumerate(PARSERS[form](bytes(content)))
+                while rows := [(file, ord_, *triple) for ord_, triple in itertools.islice(found, 20_000)]:
                     yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+            except (ValueError, ET.ParseError) as error:
+                raise ValueError(f"{file} is no {form} document: {error}") from error
+
+
+def read_rdf(files: DataFrame, explicit: str | None = None) -> DataFrame:
+    """Triples and prefixes of RDF files (file, content), each in the format of its suffix unless one is given. A file is one task's work."""
+    return files.select("file", "content", rdf_format(F.col("file"), explicit).alias("format")).mapInPandas(_parse, TRIPLE)
 
 
 def read_xml(files: DataFrame) -> DataFrame:
     """Triples and prefixes of RDF/XML files (file, content)."""
-    return files.select("file", "content").mapInPandas(_parse, TRIPLE)
+    return read_rdf(files, "xml")
 
 
 def read_ntriples(lines: DataFrame) -> DataFrame:
