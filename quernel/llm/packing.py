@@ -33,12 +33,13 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from pyspark.sql.window import Window
 
 from quernel.llm import arrow_text as at
-from quernel.llm.bpe import byte_letters, tokenizer_path
+from quernel.llm.bpe import PIECES, UNCOMMON, byte_letters, tokenizer_path
 from quernel.session import materialize
 
 CACHE_WORDS = 200_000
 CACHE_WORD_CHARS = 64
 WHITE = r"[\s\x1c-\x1f]"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ODD_SPACE = regex.compile(rf"{WHITE} {WHITE}")
 RANK_BITS = 42  # pieces of a length, below 2 ** 42, and their length share a key of 63 bits
 
@@ -73,18 +74,32 @@ class Ids:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.cut = regex.compile(PIECES).findall
         self.pieces = Recent(self.piece)
-        self.words = Recent(lambda word: self.rule(" " + word))
+        self.words = Recent(self.word)
         self.starts = Recent(self.rule)
 
-    def piece(self, letters: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
+        """Ids of a text that the library doesn't cut."""
+        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         return array("I", [token.id for token in self.tokenizer.model.tokenize(letters)]).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of a space and a word. Letters are one piece, and ASCII punctuation after them another."""
+        if word.isalpha() and (word.isascii() or not UNCOMMON.search(word)):
+            return self.piece(" " + word)
+        body = word.rstrip(PUNCTUATION)
+        if body.isalpha():
+            return self.words[body] + self.pieces[word[len(body) :]]
+        return self.rule(" " + word)
+
     def rule(self, text: str) -> bytes:
-        """The library's own way: special strings, then its cuts, then the ids of each piece."""
+        """Ids of any text, by the library's own cuts; where versions of Unicode may disagree about letters the library cuts itself."""
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(self.pieces[letters] for letters, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        if UNCOMMON.search(text):
+            return b"".join(self.pieces[text[a:b]] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def encode(self, text: str) -> bytes:
         if not text:
