@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.functions.text import fold_text, overlap_share, road_name, sequence_ratio, similarity, token_set
+from quernel.functions.text import fold_text, overlap_share, ratio_above, road_name, similarity, token_set
 from quernel.functions.values import duration_minutes
-
-MOST_QUERIES = 10_000  # query lists up to this size are broadcast
-
+from quernel.operators.similar import similar_pairs
 
 def relevance(terms: list[str], corpus: Column, name: Column) -> Column:
     """For each term, the share of its tokens found in the corpus plus that found in the name. A term may hold many tokens."""
@@ -53,13 +51,11 @@ def ranked_search(
 def fuzzy_matches(queries: DataFrame, candidates: DataFrame, threshold: float, limit: int = 5, ratio: bool = True) -> DataFrame:
     """The best ``limit`` candidates (id, text) for each query (query_id, query) whose similarity is strictly above the threshold.
 
-    A scored comparison of all queries with all candidates is what is asked for; the query list is the small side and is
-    broadcast only up to MOST_QUERIES rows. Texts are normalised.
+    Texts are normalised. Strings are compared only if an index of tokens, q-grams and characters says that they may be similar enough; each
+    distinct pair of strings is scored once.
     """
-    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    pairs = candidates.join(F.broadcast(queries) if few else queries, F.col("query") != "", "inner")
-    score = similarity(F.col("query"), F.col("text"), sequence_ratio("query", "text") if ratio else None)
-    scored = pairs.withColumn("similarity", score).filter(F.col("similarity") > threshold)
+    pairs = similar_pairs(queries, candidates, threshold, ratio)
+    scored = queries.select("query_id", "query").join(pairs, "query").join(candidates.select("id", "text"), "text")
     best = scored.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"), F.max_by("text", "similarity").alias("text"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -80,11 +76,11 @@ def search_locations(nodes: DataFrame, edges: DataFrame, query: str, target_type
     needle = F.lit(fold_text(query))
     road_needle = road_name(needle)
     folded = nodes.withColumn("id_key", normalize_text("node_id")).withColumn("name_key", normalize_text("name"))
-    own = F.greatest(*[similarity(needle, F.col(c), sequence_ratio(needle, F.col(c))) for c in ("id_key", "name_key")])
+    own = F.greatest(*[similarity(needle, F.col(c), ratio_above(needle, F.col(c), min_similarity)) for c in ("id_key", "name_key")])
     scored = folded.withColumn("own", own if target_type in ("auto", "node") else F.lit(0.0))
     if target_type in ("auto", "road"):
         roads = incident_labels(edges, label="road_name").withColumn("key", road_name(normalize_text("label")))
-        roads = roads.withColumn("score", F.when(road_needle != "", similarity(road_needle, F.col("key"), sequence_ratio(road_needle, F.col("key")))).otherwise(0.0))
+        roads = roads.withColumn("score", F.when(road_needle != "", similarity(road_needle, F.col("key"), ratio_above(road_needle, F.col("key"), min_similarity))).otherwise(0.0))
         best = roads.groupBy(F.col("node").alias("node_id")).agg(F.max(F.struct("score", F.lit(0))).getField("score").alias("road_score"), F.min_by("label", F.struct(-F.col("score"), "label")).alias("road"))
         scored = scored.join(best, "node_id", "left")
     else:

@@ -74,7 +74,28 @@ def fuzzy_match(spark, sf):
     return search.fuzzy_matches(queries, parts, 0.4, 5, ratio=False).select("query_id", F.col("id").alias("p_partkey"), "similarity", "rank")
 
 
-@query()
+@query("""
+WITH RECURSIVE q AS (SELECT * FROM (VALUES (1, 'supplier 42'), (2, 'suplier#000000007')) t(query_id, query)),
+c AS (SELECT query_id, query, s_suppkey AS id, lower(s_name) AS text FROM q CROSS JOIN supplier),
+-- the longest common substring first, then what stands left and right of it
+seg(query_id, id, a, b, n) AS (
+    SELECT query_id, id, query, text, 0 FROM c
+    UNION ALL
+    SELECT s.query_id, s.id, CASE side WHEN 0 THEN left(s.a, m.i - 1) WHEN 1 THEN substr(s.a, m.i + m.k) END,
+        CASE side WHEN 0 THEN left(s.b, m.j - 1) WHEN 1 THEN substr(s.b, m.j + m.k) END, CASE side WHEN 2 THEN m.k ELSE 0 END
+    FROM seg s, LATERAL (
+        SELECT i, k, instr(s.b, substr(s.a, i, k)) AS j FROM range(1, length(s.a) + 1) x(i), range(1, length(s.a) + 1) y(k)
+        WHERE i + k <= length(s.a) + 1 AND contains(s.b, substr(s.a, i, k)) ORDER BY k DESC, i LIMIT 1
+    ) m, range(3) t(side)
+    WHERE s.a IS NOT NULL AND s.a <> '' AND s.b <> ''
+),
+r AS (SELECT query_id, id, sum(n) AS m FROM seg GROUP BY query_id, id),
+s AS (SELECT query_id, id, CASE WHEN query = text THEN 1.0::DOUBLE WHEN contains(text, query) OR contains(query, text) THEN 0.92::DOUBLE
+    ELSE greatest(0.9::DOUBLE * len(list_intersect(string_split(query, ' '), string_split(text, ' '))) / len(string_split(query, ' ')), 2.0::DOUBLE * m / (length(query) + length(text))) END AS similarity
+  FROM c JOIN r USING (query_id, id))
+SELECT query_id, id, similarity, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity > 0.6::DOUBLE) WHERE rank <= 5
+""")
 def fuzzy_ratio(spark, sf):
     """As fuzzy_match, with the Ratcliff-Obershelp ratio, over supplier names."""
     queries = spark.sql("SELECT * FROM VALUES (1, 'supplier 42'), (2, 'suplier#000000007') AS t(query_id, query)")
