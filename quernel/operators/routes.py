@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quernel.session import materialize
+from quernel.session import bucketed, materialize, new_folder
 
 
 def usable_edges(edges: DataFrame, access: str) -> DataFrame:
@@ -15,38 +15,71 @@ def usable_edges(edges: DataFrame, access: str) -> DataFrame:
     return edges.filter((F.col("status") == "open") & F.array_contains("access", access))
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+COMPACT_AFTER = 32  # rounds whose improvements are kept apart
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None, delta: int | None = None) -> DataFrame:
     """(node, cost, hops, via, prev): cheapest cost from the nearest of ``starts`` (node) over ``edges`` (edge_id, source, target, cost >= 0).
 
-    Frontier relaxation: a round joins only the nodes improved in the last one with their edges, and keeps the least
-    (cost, hops, edge) for each node, a partial aggregate before the shuffle. Equal costs go to fewer hops, then to the
-    smaller edge id. With ``targets`` (node) the loop ends once no open node is cheaper than the cheapest target reached. Each
-    round is written to the shared folder, which keeps plans short and survives lost executors. The loop goes on until no
-    node improves; if ``max_rounds`` is given and runs out before, it raises.
+    Edges are written once, in buckets by source, so that no round shuffles them. A round relaxes the edges of the open nodes, and
+    one aggregate over what they offer and what is known gives the nodes that improve; only these are written (distances are the least
+    of all rounds), in the shared folder, which keeps plans short and survives lost executors. With ``delta`` a round relaxes only open nodes that
+    cost at most ``delta`` more than the cheapest open one, which saves detours over costs that don't last; without it all of them.
+    Equal costs go to fewer hops, then to the smaller edge id. With ``targets`` (node) the loop ends once no open node is cheaper
+    than the cheapest target reached. It goes on until no node is open; if ``max_rounds`` is given and runs out before, it raises.
     """
-    first = starts.select("node", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(starts.schema["node"].dataType).alias("prev")).distinct()
-    links = materialize(edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", F.col("cost").cast("long").alias("step")), "edges")
-    best = frontier = materialize(first, "best")
+    fields = ["cost", "hops", "via", "prev"]
+    kind = starts.schema["node"].dataType
+    links = bucketed(edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", F.col("cost").cast("long").alias("step")), "source")
+    first = starts.select("node", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(kind).alias("prev"), F.lit(True).alias("fresh")).distinct()
+    wanted = None if targets is None else targets.select("node").distinct()
+
+    spark, folder, rounds = edges.sparkSession, new_folder(edges.sparkSession), []
+
+    def written(rows: DataFrame) -> tuple[DataFrame, int, int | None]:
+        """The rows of a round, their number and the least cost."""
+        seen, path = Observation(), f"{folder}/round-{len(rounds)}-{done}"
+        rows.observe(seen, F.count("*").alias("open"), F.min("cost").alias("least")).write.parquet(path)
+        rounds.append(path)
+        return spark.read.schema(rows.schema).parquet(path), seen.get["open"], seen.get["least"]
+
+    def best(paths: list[str]) -> DataFrame:
+        rows = spark.read.schema(first.schema).parquet(*paths).filter("fresh")
+        return rows.groupBy("node").agg(F.min(F.struct(*fields)).alias("best")).select("node", "best.*")
+
+    done = -1
+    opened, count, least = written(first)
     for done in itertools.count():
+        if not count:
+            break
         if done == max_rounds:
             raise RuntimeError("paths did not settle")
-        reached = frontier.join(links, frontier["node"] == links["source"]).select(
-            F.col("target").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("edge_id").alias("via"), F.col("source").alias("prev")
-        )
-        if targets is not None:
-            bound = best.join(targets.select("node").distinct(), "node", "left_semi").agg(F.min("cost")).first()[0]
-            if bound is not None:
-                reached = reached.filter(F.col("cost") < bound)
-        offers = reached.groupBy("node").agg(F.min(F.struct("cost", "hops", "via", "prev")).alias("new"))
-        known = best.select("node", F.col("cost").alias("old_cost"), F.col("hops").alias("old_hops"), F.col("via").alias("old_via"))
-        better = offers.join(known, "node", "left").filter(
-            "old_cost IS NULL OR new.cost < old_cost OR new.cost = old_cost AND (new.hops < old_hops OR new.hops = old_hops AND new.via < old_via)"
-        ).select("node", "new.cost", "new.hops", "new.via", "new.prev")
-        frontier = materialize(better, "frontier")
-        if frontier.isEmpty():
+        known = spark.read.schema(first.schema).parquet(*rounds).filter("fresh").select("node", *fields)
+        bound = None if wanted is None else known.join(wanted, "node", "left_semi").agg(F.min("cost")).first()[0]
+        if bound is not None and least >= bound:
             break
-        best = materialize(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), "best")
-    return best
+        now, later = opened, None
+        if delta is not None:
+            now, later = opened.filter(F.col("cost") <= least + delta), opened.filter(F.col("cost") > least + delta)
+        offers = now.join(links, now["node"] == links["source"]).select(
+            F.col("target").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("edge_id").alias("via"), F.col("source").alias("prev"), F.lit("offer").alias("is")
+        )
+        if bound is not None:
+            offers = offers.filter(F.col("cost") < bound)
+        rows = known.withColumn("is", F.lit("known")).unionByName(offers)
+        if later is not None:
+            rows = rows.unionByName(later.select("node", *fields, F.lit("open").alias("is")))
+        value = F.struct(*fields)
+        merged = rows.groupBy("node").agg(F.min(value).alias("new"), F.min(F.when(F.col("is") == "known", value)).alias("old"), F.max(F.col("is") == "open").alias("was_open"))
+        order = lambda s: F.struct(s["cost"], s["hops"], s["via"])
+        fresh = F.col("old").isNull() | (order(F.col("new")) < order(F.col("old")))
+        merged = merged.withColumn("fresh", fresh).filter("fresh OR was_open")
+        opened, count, least = written(merged.select("node", *[f"new.{f}" for f in fields], "fresh"))
+        if len(rounds) == COMPACT_AFTER:
+            compact = f"{folder}/known-{done}"
+            best(rounds).withColumn("fresh", F.lit(True)).write.parquet(compact)
+            rounds[:] = [compact]
+    return best(rounds)
 
 
 def route(paths: DataFrame, target) -> DataFrame:

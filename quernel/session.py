@@ -51,9 +51,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+_tables: list[str] = []  # names of bucketed tables
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` once, split and sorted by ``key`` in the shared folder: joins on ``key`` don't shuffle it again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"quernel_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.option("path", f"{new_folder(spark)}/{name}").option("compression", "zstd")
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that this driver has materialized; call it once results are written. Returns their number."""
     done = 0
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
         done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,10 +2,12 @@ import hashlib
 import inspect
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quernel.operators import catalog, chunks, identity, merge, recipes, routes, search, state, upsert, validate
+from quernel.session import bucketed
 from quernel.sources import rdf
 from quernel.streaming import state_stream
 
@@ -296,3 +298,39 @@ def test_text_files_are_one_chunk(spark):
     assert got == {("a.txt", 0, None, "intro\n# Head\nbody"), ("b.MD", 0, None, "intro"), ("b.MD", 1, "Head", "body"), ("d.txt", 0, None, "\ufeffx"), ("product.md", 0, "Product", "Code: CARD-001")}
     context = {r["id"]: r["context"] for r in chunks.document_context(chunks.chunk_documents(files.filter("status = 'ok'"))).collect()}
     assert context["b.MD"] == "[CHUNK 0]\nSOURCE: b.MD\nSECTION: N/A\nintro\n\n[CHUNK 1]\nSOURCE: b.MD\nSECTION: Head\nbody"
+
+
+@pytest.mark.parametrize("delta", [None, 3])
+def test_shortest_paths_in_any_graph(spark, delta, monkeypatch):
+    """Against a plain relaxation over random edges with zero costs, circles, parallel edges and unreachable nodes."""
+    rng = np.random.default_rng(11)
+    edges = [(f"e{i}", int(a), int(b), int(c)) for i, (a, b, c) in enumerate(zip(rng.integers(0, 40, 150), rng.integers(0, 40, 150), rng.integers(0, 9, 150)))]
+    edges += [(f"c{i}", 100 + i, 101 + i, 1) for i in range(8)] + [("in", 0, 100, 0), ("away", 200, 0, 1)]
+    monkeypatch.setattr(routes, "COMPACT_AFTER", 3)
+    best = {0: (0, 0, "")}
+    changed = True
+    while changed:
+        changed = False
+        for name, a, b, c in edges:
+            if a in best:
+                offer = (best[a][0] + c, best[a][1] + 1, name)
+                if b not in best or offer < best[b]:
+                    best[b], changed = offer, True
+    table = spark.createDataFrame(edges, "edge_id string, source long, target long, cost long")
+    starts = spark.createDataFrame([(0,), (0,)], "node long")
+    found = {r["node"]: (r["cost"], r["hops"], r["via"] or "") for r in routes.shortest_paths(table, starts, delta=delta).collect()}
+    assert found == best
+    targets = spark.createDataFrame([(n,) for n in (105, 107, 999)], "node long")
+    paths = routes.shortest_paths(table, starts, targets, delta=delta)
+    assert paths.filter("node = 105").first()["cost"] == best[105][0]
+
+
+def test_edges_are_shuffled_once(spark, capsys):
+    links = bucketed(spark.range(1000).selectExpr("id AS source", "id + 1 AS target"), "source")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        spark.range(100).withColumnRenamed("id", "node").join(links, F.col("node") == F.col("source")).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # of the nodes
