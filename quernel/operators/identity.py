@@ -40,6 +40,17 @@ def canonical_json(documents: pd.Series) -> pd.Series:
     return documents.map(_compact, na_action="ignore")
 
 
+def _value_text(document: str, key: str) -> str | None:
+    value = json.loads(document).get(key)
+    return None if value is None else str(value)
+
+
+@F.pandas_udf(StringType())
+def value_text(documents: pd.Series, keys: pd.Series) -> pd.Series:
+    """The value of a top-level key as text: a number as it is written in its shortest form, True and False; null if there is none."""
+    return pd.Series([None if d is None or k is None else _value_text(d, k) for d, k in zip(documents, keys)], dtype=object)
+
+
 def source_scoped_key(source: Column, class_name: Column, properties: Column) -> Column:
     """SHA-256 of the compact JSON of class, properties (JSON text) and source, in this order of keys; null if any is null."""
     quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
@@ -56,12 +67,14 @@ def source_scope(evidence: Column) -> Column:
 def resolve(nodes: DataFrame, natural_keys: dict[str, str] = NATURAL_KEYS, classes: DataFrame | None = None) -> DataFrame:
     """``nodes`` (class_name, properties VARIANT, source_scope, ...) with strategy, key_name, key_value and reason.
 
+    Where ``nodes`` have ``properties_json``, the JSON text of the properties, identities are made of it: a VARIANT doesn't tell 1.0 from 1.
+
     natural_key, or source_scoped for classes without one; unresolved without a source; error if the class is not among
     ``classes`` (technical_name), or the natural key is missing or empty.
     """
     keys = F.create_map(*[F.lit(x) for pair in natural_keys.items() for x in pair])[F.col("class_name")]
-    as_json = F.to_json("properties")
-    given = F.when(keys.isNotNull(), F.element_at(F.from_json(as_json, "map<string,string>"), keys))
+    as_json = F.col("properties_json") if "properties_json" in nodes.columns else F.to_json("properties")
+    given = value_text(F.when(keys.isNotNull(), as_json), keys)
     rows = nodes.withColumn("key_name", keys).withColumn("given", given).withColumn("natural", normalize_identity("given"))
     if classes is None:
         rows = rows.withColumn("is_known", F.lit(True))

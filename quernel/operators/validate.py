@@ -173,7 +173,7 @@ def patch_reports(nodes: DataFrame, edges: DataFrame, violations: DataFrame) ->
 
 EVIDENCE = "array<struct<source: string, section: string, text: string>>"
 PATCH = (
-    f"nodes array<struct<tempId: string, className: string, properties: variant, evidence: {EVIDENCE}, confidence: double>>, "
+    f"nodes array<struct<tempId: string, className: string, properties: string, evidence: {EVIDENCE}, confidence: double>>, "
     f"edges array<struct<edgeName: string, sourceTempId: string, targetTempId: string, evidence: {EVIDENCE}, confidence: double>>, warnings array<string>"
 )
 NEEDED = {"nodes": {"tempId": "tempId", "className": "className"}, "edges": {"edgeName": "edgeName", "sourceTempId": "sourceTempId", "targetTempId": "targetTempId"}}  # fixed values
@@ -197,6 +197,6 @@ def parse_patches(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         confidence = F.col("item.confidence")
         for bad, message in ((confidence > 1, "Input should be less than or equal to 1"), (confidence < 0, "Input should be greater than or equal to 0")):
             errors = errors.unionByName(items.filter(bad).select("patch_id", place("confidence").alias("place"), F.lit(message).alias("message")))
-    nodes = parts["nodes"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.tempId").alias("temp_id"), F.col("item.className").alias("class_name"), F.coalesce("item.properties", F.parse_json(F.lit("{}"))).alias("properties"), F.col("item.evidence").alias("evidence"))
+    nodes = parts["nodes"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.tempId").alias("temp_id"), F.col("item.className").alias("class_name"), F.try_parse_json(F.coalesce("item.properties", F.lit("{}"))).alias("properties"), F.coalesce("item.properties", F.lit("{}")).alias("properties_json"), F.col("item.evidence").alias("evidence"))
     edges = parts["edges"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.edgeName").alias("edge_name"), F.col("item.sourceTempId").alias("source_temp_id"), F.col("item.targetTempId").alias("target_temp_id"))
     return nodes, edges, errors

@@ -277,6 +277,25 @@ def identity_hash(spark, sf):
     return identity.resolve(nodes).select("s_suppkey", "key_value")
 
 
+@query("""
+SELECT s_suppkey, sha256('{"class":"e:Rate","properties":{"big":1e+22,"cap":100.0,"id":' || s_suppkey || '.0,"list":[1.5,"a b",{"a":true,"z":null},[' || s_nationkey || ']],"rate":1.0},"source":"file ' || (s_suppkey % 3) || '"}') AS key_value,
+  CASE s_suppkey % 4 WHEN 0 THEN s_suppkey || '.5' WHEN 1 THEN 'True' WHEN 2 THEN '1e+16' ELSE 'x y' END AS natural FROM supplier
+""")
+def identity_numbers(spark, sf):
+    """Keys of properties given as JSON text: numbers keep whether they are whole, nested lists and objects are canonical; natural keys that aren't strings."""
+    k = F.col("s_suppkey").cast("string")
+    doc = F.concat(F.lit('{"rate": 1.0, "list": [1.50, " a  b ", {"z": null, "a": true}, ['), F.col("s_nationkey").cast("string"), F.lit(']], "cap": 100.00, "id": '), k, F.lit('.0, "big": 1e22}'))
+    source = F.concat(F.lit(" file  "), (F.col("s_suppkey") % 3).cast("string"))
+    which = F.col("s_suppkey") % 4
+    code = F.when(which == 0, F.concat(k, F.lit(".50"))).when(which == 1, F.lit("true")).when(which == 2, F.lit("1E16")).otherwise(F.lit('" x  y "'))
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.array(
+        F.struct(F.lit("e:Rate").alias("class_name"), doc.alias("properties_json"), source.alias("source_scope")),
+        F.struct(F.lit("pskg:Customer").alias("class_name"), F.concat(F.lit('{"pskg:customerIdentifier": '), code, F.lit("}")).alias("properties_json"), F.lit(None).cast("string").alias("source_scope")),
+    )).alias("n")).select("s_suppkey", "n.*").withColumn("properties", F.parse_json("properties_json"))
+    found = identity.resolve(rows).groupBy("s_suppkey").agg(F.max(F.when(F.col("strategy") == "source_scoped", F.col("key_value"))).alias("key_value"), F.max(F.when(F.col("strategy") == "natural_key", F.col("key_value"))).alias("natural"))
+    return found
+
+
 @query("""
 WITH s AS (SELECT user_id, event_type AS property, 'old' AS value FROM (SELECT DISTINCT user_id, event_type FROM events)),
 c AS (SELECT user_id, event_type AS property, CASE WHEN event_id % 4 = 0 THEN NULL ELSE props END AS value, event_id FROM events WHERE event_id % 3 = 0),

@@ -200,6 +200,14 @@ def template_and_aliases(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", message.alias("message"), T.unknown_keys(named, ["segment"]).alias("unknown_keys"), named["segment"].alias("segment"))
 
 
+@query("SELECT c_custkey, '$seg of ' || c_name || ' ($5): ' || c_mktsegment || 'x $namely ' || '${' || c_name || '} None $1 $ ${bad name} $seg of ' || c_name AS message FROM customer")
+def template_marks(spark, sf):
+    """Templates in one pass: doubled dollars, longer names, null values, values that look like marks, dollars that start none."""
+    text = F.lit("$name ($$5): ${seg}x $namely $${$raw} $none $1 $ ${bad name} ${name}")
+    values = {"name": F.concat(F.lit("$seg of "), "c_name"), "seg": F.col("c_mktsegment"), "raw": F.col("c_name"), "none": F.lit(None).cast("string")}
+    return table(spark, sf, "customer").select("c_custkey", T.render_template(text, values).alias("message"))
+
+
 @query(r"""
 WITH d AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y%m%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m')
    WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ELSE '2026-13-45' END AS t FROM orders)

@@ -79,3 +79,20 @@ def test_arithmetic(spark):
 def test_skill_codes(spark, text, codes, rest):
     row = spark.range(1).select(*[c.alias(n) for c, n in zip(T.skill_codes(F.lit(text)), "ab")]).first()
     assert (row["a"], row["b"]) == (codes, rest)
+
+
+@pytest.mark.parametrize("template", ["$a and $$a ${b} $ab", "", "no marks", "$a", "$a$b$$", "${a}x${b}y", "$", "$1 ${ } $-", "$$$a", "${ab}$a_b", "$A $é${é}", "$a\n$b\\$a"])
+def test_templates_are_rendered_in_one_pass(spark, template):
+    from string import Template
+
+    values = {"a": "$b", "b": "B$$\\1", "a_b": "${a}"}
+    row = spark.createDataFrame([(template, *values.values())], ["t", *values])
+    columns = {k: F.col(k) for k in values}
+    assert row.select(T.render_template(F.col("t"), columns)).first()[0] == Template(template).safe_substitute(values)
+    try:
+        expected = Template(template).substitute(values)
+    except (KeyError, ValueError):
+        with pytest.raises(Exception, match="template"):
+            row.select(T.render_template(F.col("t"), columns, strict=True)).collect()
+    else:
+        assert row.select(T.render_template(F.col("t"), columns, strict=True)).first()[0] == expected
