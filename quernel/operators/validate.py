@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.values import fits_range
+from quernel.operators.schema import Items, Model, Number, Object, Text, error, violations
 
 RULE_TYPES = {"pskg:hasEligibilityRule": "ELIGIBILITY", "pskg:hasSalesConditionRule": "SALES_CONDITION", "pskg:governedByPolicy": "POLICY"}  # fixed values
 COLUMNS = ["patch_id", "phase", "ord", "step", "subject", "code", "message"]
@@ -176,27 +177,48 @@ PATCH = (
     f"nodes array<struct<tempId: string, className: string, properties: string, evidence: {EVIDENCE}, confidence: double>>, "
     f"edges array<struct<edgeName: string, sourceTempId: string, targetTempId: string, evidence: {EVIDENCE}, confidence: double>>, warnings array<string>"
 )
-NEEDED = {"nodes": {"tempId": "tempId", "className": "className"}, "edges": {"edgeName": "edgeName", "sourceTempId": "sourceTempId", "targetTempId": "targetTempId"}}  # fixed values
+_EVIDENCE = Items(Model("Evidence", {"source": Text(), "section": Text(nullable=True), "text": Text()}, ["section"]))
+_PARTS = {"evidence": _EVIDENCE, "confidence": Number(0, 1)}
+SCHEMA = Model("GraphPatch", {
+    "nodes": Items(Model("ExtractedNode", {"tempId": Text(), "className": Text(), "properties": Object(), **_PARTS})),
+    "edges": Items(Model("ExtractedEdge", {"edgeName": Text(), "sourceTempId": Text(), "targetTempId": Text(), **_PARTS})),
+    "warnings": Items(Text()),
+}, ["warnings"])  # fixed values
 
 
-def parse_patches(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and schema errors (patch_id, place, message) of patches given as JSON text (patch_id, document).
+def schema_errors(documents: DataFrame) -> DataFrame:
+    """(patch_id, ord, place, message) of what doesn't fit the schema of patches given as JSON text (patch_id, document)."""
+    variant = F.try_parse_json("document")
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), F.lit(False))
+    found = F.when(is_object, violations(variant, SCHEMA)).otherwise(error(F.lit(""), "not a JSON object"))
+    return documents.select("patch_id", F.posexplode(found).alias("ord", "e")).select("patch_id", "ord", "e.place", "e.message")
 
-    A document that is no JSON object, an item without a needed field and a confidence outside 0 to 1 are errors.
-    """
-    rows = documents.select("patch_id", "document", F.from_json("document", PATCH).alias("p"))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("document")), F.lit("OBJECT")), F.lit(False))
-    errors = rows.filter(~is_object).select("patch_id", F.lit("").alias("place"), F.lit("not a JSON object").alias("message"))
-    parts = {}
-    for kind, fields in NEEDED.items():
-        items = rows.filter(is_object).select("patch_id", F.posexplode(f"p.{kind}").alias("ord", "item"))
-        parts[kind] = items
-        place = lambda field: F.format_string(f"{kind}.%d.{field}", "ord")  # noqa: B023, E731
-        for field in fields:
-            errors = errors.unionByName(items.filter(F.col(f"item.{field}").isNull()).select("patch_id", place(field).alias("place"), F.lit("Field required").alias("message")))
-        confidence = F.col("item.confidence")
-        for bad, message in ((confidence > 1, "Input should be less than or equal to 1"), (confidence < 0, "Input should be greater than or equal to 0")):
-            errors = errors.unionByName(items.filter(bad).select("patch_id", place("confidence").alias("place"), F.lit(message).alias("message")))
+
+def parse_patches(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and schema errors (patch_id, ord, place, message) of patches given as JSON text (patch_id, document)."""
+    rows = documents.select("patch_id", F.from_json("document", PATCH).alias("p"))
+    parts = {kind: rows.select("patch_id", F.posexplode(f"p.{kind}").alias("ord", "item")) for kind in ("nodes", "edges")}
+    errors = schema_errors(documents)
     nodes = parts["nodes"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.tempId").alias("temp_id"), F.col("item.className").alias("class_name"), F.try_parse_json(F.coalesce("item.properties", F.lit("{}"))).alias("properties"), F.coalesce("item.properties", F.lit("{}")).alias("properties_json"), F.col("item.evidence").alias("evidence"))
     edges = parts["edges"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.edgeName").alias("edge_name"), F.col("item.sourceTempId").alias("source_temp_id"), F.col("item.targetTempId").alias("target_temp_id"))
     return nodes, edges, errors
+
+
+def patch_envelopes(documents: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
+    """(patch_id, valid, errors, nodeCount, edgeCount, warningCount) of patches given as JSON text (patch_id, document).
+
+    A patch that doesn't fit the schema has its "place: message" errors and counts of 0; others are checked against the ontology, errors in the
+    order of nodes, edges and cardinalities. A patch is one row already, so its errors are one too; for patches that are tables
+    take validate_patches, whose violations stay rows.
+    """
+    nodes, edges, errors = parse_patches(documents)
+    broken = errors.groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(": ", F.nullif("place", F.lit("")), "message").alias("message")))).getField("message").alias("schema_errors"))
+    sound = documents.select("patch_id").join(broken.select("patch_id"), "patch_id", "left_anti")
+    nodes, edges = nodes.join(sound, "patch_id", "left_semi"), edges.join(sound, "patch_id", "left_semi")
+    found = validate_patches(nodes, edges, classes, properties).groupBy("patch_id")
+    found = found.agg(F.array_sort(F.collect_list(F.struct("phase", "ord", "step", "message"))).getField("message").alias("found"))
+    size = lambda path: F.coalesce(F.size(F.from_json("document", PATCH).getField(path)), F.lit(0)).cast("long")
+    rows = documents.join(broken, "patch_id", "left").join(found, "patch_id", "left")
+    said = F.coalesce("schema_errors", "found", F.array().cast("array<string>"))
+    count = lambda path: F.when(F.col("schema_errors").isNull(), F.greatest(size(path), F.lit(0))).otherwise(0).cast("long")
+    return rows.select("patch_id", (F.size(said) == 0).alias("valid"), said.alias("errors"), count("nodes").alias("nodeCount"), count("edges").alias("edgeCount"), count("warnings").alias("warningCount"))

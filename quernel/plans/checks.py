@@ -218,3 +218,35 @@ def datatype_lists(spark, sf):
     k = F.col("p_partkey") % 4
     doc = F.when(k == 0, "[1, 2, 30]").when(k == 1, '[1, "x"]').when(k == 2, F.col("p_partkey").cast("string")).otherwise('"text"')
     return table(spark, sf, "part").select("p_partkey", validate.fits_any(F.parse_json(doc), F.array(F.lit("xsd:integer"))).alias("fits"))
+
+
+@query("""
+WITH d AS (SELECT c_custkey AS patch_id, c_custkey % 5 AS k, 'p' || c_custkey AS t FROM customer)
+SELECT patch_id, k IN (0, 4) AS valid, CASE k
+  WHEN 1 THEN ['nodes: Input should be a valid list', 'edges: Field required']
+  WHEN 2 THEN ['nodes.0.tempId: Input should be a valid string', 'nodes.0.properties: Input should be a valid dictionary', 'nodes.0.evidence.1.text: Field required',
+    'nodes.0.confidence: Input should be a valid number, unable to parse string as a number', 'nodes.1: Input should be a valid dictionary or instance of ExtractedNode', 'edges.0.confidence: Input should be less than or equal to 1', 'warnings.0: Input should be a valid string']
+  WHEN 3 THEN ['Node ' || t || ': Unknown ontology property: e:no', 'Node g' || t || ': Unknown ontology class: e:Ghost', 'Edge e:near: sourceTempId ' || t || 'x does not exist'] ELSE [] END AS errors,
+  CAST(CASE k WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS "nodeCount", CAST(CASE k WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS "edgeCount", CAST(CASE k WHEN 0 THEN 2 ELSE 0 END AS BIGINT) AS "warningCount" FROM d
+""")
+def patch_envelopes(spark, sf):
+    """Patches given as documents: schema errors with their places, else errors against the ontology, and counts."""
+    k, name = F.col("c_custkey") % 5, F.concat(F.lit("p"), F.col("c_custkey").cast("string"))
+    shared = '"evidence": [{"source": "s", "text": "t"}], "confidence": 0.5'
+    texts = {
+        0: '{"nodes": [{"tempId": "{t}", "className": "e:Part", "properties": {"e:code": "A"}, ' + shared + '}], "edges": [], "warnings": ["a", "b"]}',
+        1: '{"nodes": 5}',
+        2: '{"nodes": [{"tempId": 7, "className": "e:Part", "properties": [], "evidence": [{"source": "s", "text": "t", "section": null}, {"source": "s"}], "confidence": "high"}, 3], '
+        '"edges": [{"edgeName": "e", "sourceTempId": "a", "targetTempId": "b", "evidence": [], "confidence": 2}], "warnings": [1]}',
+        3: '{"nodes": [{"tempId": "{t}", "className": "e:Part", "properties": {"e:code": "A", "e:no": 1}, ' + shared + '}, {"tempId": "g{t}", "className": "e:Ghost", "properties": {}, ' + shared + "}], "
+        '"edges": [{"edgeName": "e:near", "sourceTempId": "{t}x", "targetTempId": "{t}", ' + shared + "}]}",
+        4: '{"nodes": [], "edges": [], "more": true}',
+    }
+    document = F.lit(None).cast("string")
+    for number, text_ in texts.items():
+        document = F.when(k == number, F.replace(F.lit(text_), F.lit("{t}"), name)).otherwise(document)
+    documents = table(spark, sf, "customer").select(F.col("c_custkey").alias("patch_id"), document.alias("document"))
+    item = "technical_name string, name string"
+    classes = spark.createDataFrame([("e:Part", "part", [])], f"{item}, rules array<struct<property: string, operator: string, value: string, qualifier: string>>")
+    properties = spark.createDataFrame([("property", "e:code", "code", ["part"], ["xsd:string"]), ("edge", "e:near", "near", ["part"], ["part"])], f"kind string, {item}, domain array<string>, range array<string>")
+    return validate.patch_envelopes(documents, classes, properties)

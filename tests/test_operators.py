@@ -265,15 +265,46 @@ def test_catalog(spark):
     assert {r["term"]: r["is_class"] for r in catalog.exists(terms, classes, properties).collect()} == {"pskg:Rule": True, "no": False}
 
 
+EVIDENCE = {"evidence": [{"source": "s", "text": "t"}], "confidence": 0.5}
+
+
 def test_patch_documents(spark):
-    good = {"nodes": [{"tempId": "p", "className": "pskg:Product", "properties": {"pskg:productCode": "C", "pskg:status": "Active"}, "confidence": 0.5}, {"tempId": "r", "className": "pskg:Rule"}], "edges": [{"edgeName": "pskg:hasOffer", "sourceTempId": "p", "targetTempId": "r"}]}
+    good = {"nodes": [{"tempId": "p", "className": "pskg:Product", "properties": {"pskg:productCode": "C", "pskg:status": "Active"}, **EVIDENCE}, {"tempId": "r", "className": "pskg:Rule", "properties": {}, **EVIDENCE}], "edges": [{"edgeName": "pskg:hasOffer", "sourceTempId": "p", "targetTempId": "r", **EVIDENCE}]}
     bad = {"nodes": [{"className": "x", "confidence": 2.0}], "edges": [{"edgeName": "e", "sourceTempId": "p"}]}
     rows = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(bad)), (3, "[1"), (4, None)], "patch_id int, document string")
     nodes, links, errors = validate.parse_patches(rows)
-    assert sorted(tuple(r) for r in errors.collect()) == [
-        (2, "edges.0.targetTempId", "Field required"), (2, "nodes.0.confidence", "Input should be less than or equal to 1"), (2, "nodes.0.tempId", "Field required"), (3, "", "not a JSON object"), (4, "", "not a JSON object"),
+    assert [tuple(r) for r in errors.orderBy("patch_id", "ord").collect()] == [
+        (2, 0, "nodes.0.tempId", "Field required"), (2, 1, "nodes.0.properties", "Field required"), (2, 2, "nodes.0.evidence", "Field required"), (2, 3, "nodes.0.confidence", "Input should be less than or equal to 1"),
+        (2, 4, "edges.0.targetTempId", "Field required"), (2, 5, "edges.0.evidence", "Field required"), (2, 6, "edges.0.confidence", "Field required"), (3, 0, "", "not a JSON object"), (4, 0, "", "not a JSON object"),
     ]
     assert validate.validate_patches(nodes.filter("patch_id = 1"), links.filter("patch_id = 1"), *mini(spark)).count() == 0
+    found = {r["patch_id"]: tuple(r)[1:] for r in validate.patch_envelopes(rows, *mini(spark)).collect()}
+    assert found[1] == (True, [], 2, 1, 0) and found[4] == (False, ["not a JSON object"], 0, 0, 0)
+    assert found[2][0] is False and found[2][1][0] == "nodes.0.tempId: Field required" and found[2][2:] == (0, 0, 0)
+
+
+CASES = [  # (what is wrong, where, message)
+    ({"tempId": 7}, "nodes.0.tempId", "Input should be a valid string"), ({"className": None}, "nodes.0.className", "Input should be a valid string"), ({"properties": []}, "nodes.0.properties", "Input should be a valid dictionary"),
+    ({"evidence": {}}, "nodes.0.evidence", "Input should be a valid list"), ({"evidence": [1]}, "nodes.0.evidence.0", "Input should be a valid dictionary or instance of Evidence"),
+    ({"evidence": [{"source": "s", "text": "t"}, {"source": "s", "text": "t", "section": 3}]}, "nodes.0.evidence.1.section", "Input should be a valid string"), ({"evidence": [{"source": "s", "text": "t", "section": None}]}, None, None),
+    ({"evidence": [{"source": "s"}]}, "nodes.0.evidence.0.text", "Field required"), ({"confidence": "abc"}, "nodes.0.confidence", "Input should be a valid number, unable to parse string as a number"),
+    ({"confidence": None}, "nodes.0.confidence", "Input should be a valid number"), ({"confidence": [1]}, "nodes.0.confidence", "Input should be a valid number"), ({"confidence": "0.5"}, None, None), ({"confidence": " 1e-1 "}, None, None), ({"confidence": True}, None, None),
+    ({"confidence": "1d"}, "nodes.0.confidence", "Input should be a valid number, unable to parse string as a number"), ({"confidence": -0.5}, "nodes.0.confidence", "Input should be greater than or equal to 0"), ({"confidence": "2"}, "nodes.0.confidence", "Input should be less than or equal to 1"),
+    ({"confidence": 1}, None, None), ({"confidence": 10**30}, "nodes.0.confidence", "Input should be less than or equal to 1"), ({"more": 1}, None, None), ({"evidence": []}, None, None),
+]
+
+
+def test_every_schema_error(spark):
+    node = {"tempId": "p", "className": "c", "properties": {"a": 1}, **EVIDENCE}
+    documents = [(i, json.dumps({"nodes": [{**node, **change}], "edges": []})) for i, (change, _, _) in enumerate(CASES)]
+    documents += [(100, json.dumps({"nodes": ["x", node], "edges": None, "warnings": ["a", 1]})), (101, "{}"), (102, json.dumps({"nodes": 5, "edges": [], "warnings": None}))]
+    found = {}
+    for r in validate.schema_errors(spark.createDataFrame(documents, "patch_id int, document string")).orderBy("patch_id", "ord").collect():
+        found.setdefault(r["patch_id"], []).append((r["place"], r["message"]))
+    for i, (_, place, message) in enumerate(CASES):
+        assert found.get(i, []) == ([(place, message)] if place else []), CASES[i]
+    assert found[100] == [("nodes.0", "Input should be a valid dictionary or instance of ExtractedNode"), ("edges", "Input should be a valid list"), ("warnings.1", "Input should be a valid string")]
+    assert found[101] == [("nodes", "Field required"), ("edges", "Field required")] and found[102] == [("nodes", "Input should be a valid list"), ("warnings", "Input should be a valid list")]
 
 
 def test_identity_wording(spark):
