@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernel.operators import state, state_store
 from quernel.session import new_folder, table
 from quernel.sources import export
 from quernel.sources.json_files import write_files
@@ -138,3 +139,23 @@ def merge_files(spark, sf):
     found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="all*").select("value", F.col("_metadata.file_path").alias("path"))
     text = F.replace("value", F.lit(folder), F.lit("/root"))
     return found.select(F.substring_index("path", f"{folder.rsplit('/', 1)[-1]}/", -1).alias("path"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha256"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events),
+f AS (SELECT user_id, 'mode' AS field, '"m' || (k % 10) || '"' AS json, ts, event_id FROM e WHERE k % 2 = 0 AND k % 10 <> 4
+      UNION ALL SELECT user_id, 'k' || (k % 3), CAST(k AS VARCHAR), ts, event_id FROM e WHERE k % 10 <> 4),
+l AS (SELECT user_id, field, arg_max(json, {'b': event_id % 2, 't': ts, 'e': event_id}) AS json FROM f GROUP BY ALL)
+SELECT user_id, '{"criteria":{' || string_agg('"' || field || '":' || json, ',' ORDER BY field) FILTER (field <> 'mode') || '}' || coalesce(',"mode":' || max(json) FILTER (field = 'mode'), '') || '}' AS state FROM l GROUP BY user_id
+""")
+def state_write_back(spark, sf):
+    """Patches of all events, written back in two versions; those that break a check are refused, criteria merge one level deep."""
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    criteria = F.concat(F.lit('"criteria":{"k'), (k % 3).cast("string"), F.lit('":'), k.cast("string"), F.lit("}}"))
+    document = F.concat(F.lit("{"), F.when(k % 2 == 0, F.concat(F.lit('"mode":"m'), (k % 10).cast("string"), F.lit('",'))).otherwise(""), criteria)
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session"), "ts", F.col("event_id").alias("seq"), F.parse_json(document).alias("delta"))
+    store = state_store.StateStore(spark, f"{new_folder(spark)}/states")
+    checks = {"mode": state.in_vocabulary(F.col("delta"), "mode", ["m0", "m2", "m6", "m8"])}
+    for batch in (0, 1):
+        state_store.update(store, events.filter(F.col("seq") % 2 == batch), checks, ("criteria",))
+    return store.read().select(F.col("session").cast("long").alias("user_id"), "state")
