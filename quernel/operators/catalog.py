@@ -58,16 +58,34 @@ def storage_names(classes: DataFrame, properties: DataFrame) -> DataFrame:
     return rows.select("kind", "technical_name", stored.alias("stored")).withColumn("error", F.when(~is_identifier(F.col("stored")), F.concat(F.lit("Unsafe identifier: "), "stored")))
 
 
+def shown(value: Column) -> Column:
+    """A string in quotes: single ones unless it holds these alone."""
+    escaped = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    double = F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def shown_list(values: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(values, F.array().cast("array<string>")), shown), ", "), F.lit("]"))
+
+
 def class_context(classes: DataFrame, properties: DataFrame) -> DataFrame:
-    """(class, context): a readable description of each class with its properties, edges and rules, for extraction."""
-    linked = properties_of_classes(classes, properties).groupBy("class").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == "property", F.col("property")))), ", ").alias("attributes"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == "edge", F.col("property")))), ", ").alias("edges"),
-    )
-    rule = F.array_join(F.transform("rules", lambda r: F.concat_ws(" ", r.property, r.operator, r.value)), "; ")
-    rows = classes.select(F.col("technical_name").alias("class"), "name", "definition", rule.alias("rule_text")).join(linked, "class", "left")
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("Class: "), "class"), F.concat(F.lit("Definition: "), "definition"), F.concat(F.lit("Properties: "), F.nullif("attributes", F.lit(""))),
-        F.concat(F.lit("Edges: "), F.nullif("edges", F.lit(""))), F.concat(F.lit("Rules: "), F.nullif("rule_text", F.lit(""))),
-    )
-    return rows.select("class", text.alias("context"))
+    """(class, context): a block of text for each class with its properties, outgoing edges and rules, for extraction.
+
+    Properties and edges stand in the order of ``pos`` if ``properties`` have it, else of their names. Blocks of an ontology
+    are joined by a line feed, each ending with one; they stay rows here.
+    """
+    none = lambda c: F.coalesce(c, F.lit("None"))
+    place = F.struct("path", "pos", "technical_name") if {"path", "pos"} <= set(properties.columns) else F.struct("pos", "technical_name") if "pos" in properties.columns else F.struct("technical_name")
+    is_edge = F.col("kind") == "edge"
+    line = F.concat(F.lit("  - "), "technical_name", F.when(is_edge, F.concat(F.lit(" | domain="), shown_list(F.col("domain")))).otherwise(""), F.lit(" | range="), shown_list(F.col("range")))
+    spread = properties.select("kind", place.alias("place"), line.alias("line"), F.explode(F.array_distinct("domain")).alias("name"))
+    linked = classes.select("name", F.col("technical_name").alias("class")).distinct().join(spread, "name")
+    ordered = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "line")))).getField("line")
+    linked = linked.groupBy("class").agg(ordered("property").alias("attribute_lines"), ordered("edge").alias("edge_lines"))
+    rule_lines = F.transform("rules", lambda r: F.concat(F.lit("  - "), none(r.property), F.lit(" | operator="), none(r.operator), F.lit(" | value="), none(r.value), F.lit(" | qualifier="), none(r.qualifier)))
+    part = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(title)), lines)).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.concat(F.lit("CLASS: "), "class"), F.concat(F.lit("NAME: "), none(F.col("name"))), F.concat(F.lit("DEFINITION: "), none(F.col("definition"))))
+    rows = classes.select(F.col("technical_name").alias("class"), "name", "definition", rule_lines.alias("rule_lines")).join(linked, "class", "left")
+    lines = F.concat(head, part("PROPERTIES:", F.col("attribute_lines")), part("OUTGOING EDGES:", F.col("edge_lines")), part("RULES:", F.col("rule_lines")), F.array(F.lit("")))
+    return rows.select("class", F.array_join(lines, "\n").alias("context"))

@@ -71,3 +71,15 @@ def document_context(chunks: DataFrame) -> DataFrame:
     )
     ordered = F.array_sort(F.collect_list(F.struct("index", block.alias("block")))).getField("block")
     return chunks.groupBy("id").agg(F.array_join(ordered, "\n\n").alias("context"))
+
+
+def prepare_context(documents: DataFrame) -> DataFrame:
+    """(source, document_name, stage, errorMessage, chunk_count, context) of every document (source, content: bytes): readable ones with
+    their chunks as text, others with the stage at which they fail."""
+    decoded = decode_documents(documents)
+    chunks = chunk_documents(decoded.filter("status = 'ok'").select("source", "content"))
+    found = document_context(chunks).join(chunks.groupBy("id").agg(F.count("*").alias("chunk_count")), "id").withColumnRenamed("id", "source")
+    message = F.when(F.col("status") == "unsupported", "unsupported document type").when(F.col("status") == "not_utf8", "document is not valid UTF-8").when(F.col("status") == "empty", "document is empty")
+    stage = F.when(F.col("status") == "ok", "completed").when(F.col("status") == "unsupported", "document_type").otherwise("document_read")
+    rows = decoded.select("source", F.substring_index("source", "/", -1).alias("document_name"), stage.alias("stage"), message.alias("errorMessage"))
+    return rows.join(found, "source", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("long")))

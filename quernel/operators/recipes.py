@@ -45,6 +45,12 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     return last_per_key(rows.withColumn("at", F.col("_metadata.file_path")), "id", F.col("at")).drop("at", "place")
 
 
+def with_recipes(dishes: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``dishes`` with ``recipe``, the whole recipe of the same id, and ``errorCode`` RECIPE_NOT_FOUND where there is none."""
+    found = recipes.select("id", F.struct(*[F.col(c) for c in recipes.columns]).alias("recipe"))
+    return dishes.join(found, "id", "left").withColumn("errorCode", F.when(F.col("recipe").isNull(), F.lit("RECIPE_NOT_FOUND")))
+
+
 def scale_items(items: Column, factor: Column, field: str = "quantity", digits: int = 6) -> Column:
     """Multiply one field of each struct of an array; the others stay."""
     return F.transform(items, lambda i: i.withField(field, F.bround(i[field] * factor, digits)))

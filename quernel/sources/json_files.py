@@ -1,7 +1,7 @@
 """JSON documents of any size as single files at given paths, written by a Python data source.
 
 A document is not one row but sorted rows: ``path``, ``field`` and ``json``, a field's value (``kind`` value), the start of an array (array) or an item of
-the array that was started last (item). A task streams the rows of each of its documents into one file, so that a document with millions of
+the array that was started last (item). A row of the kind text is a file's whole content, whatever it is. A task streams the rows of each of its documents into one file, so that a document with millions of
 items needs no more memory than its largest item. Files are written below a staging folder and moved to their places when all tasks
 are done: nothing is seen of a run that fails, files that a run doesn't write are left alone, and attempts of lost or repeated tasks
 don't count.
@@ -55,6 +55,10 @@ class _File:
             self.items = None
 
     def add(self, kind: str, field: str, value: str | None) -> None:
+        if kind == "text":
+            self.put(value)
+            self.fields = None
+            return
         if kind == "item":
             if self.items is None:
                 raise ValueError(f"an item of {field} without its array")
@@ -72,7 +76,8 @@ class _File:
 
     def close(self) -> None:
         self.end_array()
-        self.put("\n}" if self.fields else "{}")
+        if self.fields is not None:
+            self.put("\n}" if self.fields else "{}")
         self.stream.close()
 
 

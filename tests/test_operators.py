@@ -258,7 +258,9 @@ def test_catalog(spark):
     classes, properties = mini(spark)
     classes = classes.withColumn("definition", F.lit(None).cast("string"))
     text = {r["class"]: r["context"] for r in catalog.class_context(classes, properties).collect()}
-    assert "Properties: pskg:from, pskg:productCode, pskg:status" in text["pskg:Product"]
+    block = text["pskg:Product"].split("\n")
+    assert block[0] == "CLASS: pskg:Product" and block[2] == "DEFINITION: None" and block[-1] == "" and "PROPERTIES:" in block and "OUTGOING EDGES:" in block
+    assert [line.split(" | ")[0] for line in block if line.startswith("  - pskg:from") or line.startswith("  - pskg:productCode | r")] == ["  - pskg:from", "  - pskg:productCode"]
     stored = {r["technical_name"]: r["stored"] for r in catalog.storage_names(classes, properties).collect()}
     assert (stored["pskg:hasOffer"], stored["pskg:from"], stored["pskg:Rule"]) == ("HAS_OFFER", "from", "Rule")
     terms = spark.createDataFrame([("pskg:Rule",), ("no",)], "term string")
