@@ -2,16 +2,19 @@
 
 A rule is a host and a path; its canonical URL is the two strung together. It fits a URL when the URL's host is the
 rule's or a subdomain of it and the URL's path starts with the rule's path; the longest fitting rule wins. Every URL is
-therefore looked up under all its host suffixes combined with its path prefixes of the lengths that occur in the list.
+therefore looked up under its host suffixes of the numbers of labels that occur in the list, combined with its path prefixes of the lengths
+that occur there.
 
 The Bloom filter is split into 64-bit blocks: one hash picks the block, four more set bits in it, so a probe reads one
 word. Its size is ``2 ** ceil(log2(rules / 4))`` words and at most ``max_words`` (8 bytes each), so what is broadcast has a
 fixed bound. It has no false negatives; false positives are removed by the exact join with the list.
 
-Probes work on distinct URLs, so a hot URL costs nothing more; the way back to the rows is an ordinary left join.
+Probes work on distinct URLs, so a hot URL costs nothing more; the way back to the rows is an ordinary left join, in which rows without a URL
+are spread.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; URLs that no rule fits are
-allowed (this method blocks only what is listed); repeated rows are judged alike; an empty table gives an empty result.
+allowed (this method blocks only what is listed); repeated rows are judged alike; very long URLs, also of many labels, are looked up like any
+other, in time that grows with their length; extra columns are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,13 +81,13 @@ def build_bloom(keys: DataFrame, words: int) -> DataFrame:
 
 def judge_urls(urls: DataFrame, rules: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """rule and verdict for each distinct ``url`` that a rule fits: (url, rule, verdict)."""
-    stats = rules.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.length("path"))).alias("lengths")).first()
+    label_count = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    stats = rules.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.length("path"))).alias("lengths"), F.array_sort(F.collect_set(label_count)).alias("labels")).first()
     if not stats["n"]:
         return urls.select("url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).limit(0)
     words, lengths = bloom_words(stats["n"], max_words), stats["lengths"]
     parts = urls.filter(F.col("url").isNotNull()).select("url").distinct().select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.filter(F.array(*[F.when(label_count >= n, F.substring_index("host", ".", -n)) for n in stats["labels"]]), lambda s: s.isNotNull())
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     prefixes = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
     probes = (
@@ -110,8 +113,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, max_words: int = MAX_WORDS) ->
 
 def filter_urls(pages: DataFrame, rules: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule and verdict."""
-    judged = judge_urls(pages.select("url"), rules, max_words)
-    return pages.select("page_id", "url").join(judged, "url", "left").select(
+    judged = judge_urls(pages.select("url"), rules, max_words).withColumn("spread", F.lit(0).cast("long"))
+    rows = pages.select("page_id", "url").withColumn("spread", F.when(F.col("url").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long")))
+    return rows.join(judged, ["url", "spread"], "left").select(
         "page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "rule",
         F.coalesce("verdict", F.lit("allow")).alias("verdict"),
     )

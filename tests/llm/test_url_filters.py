@@ -52,3 +52,13 @@ def test_empty_list_and_table(spark):
     pages = spark.createDataFrame([(1, "http://x.net/es/")], "page_id long, url string")
     assert U.filter_urls(pages, U.rule_table(spark).limit(0)).first()["verdict"] == "allow"
     assert U.filter_urls(pages.limit(0), U.rule_table(spark)).count() == 0
+
+
+def test_hosts_of_many_labels_and_long_lists(spark):
+    rules = [("block", "b.c.d.e.f", "/"), ("allow", "f", "/x"), ("block", "", "/y"), ("block", "a..f", "/")]
+    urls = ["http://" + "a." * 20_000 + "com/en/", "http://" + "." * 20_000, "http://a.b.c.d.e.f/x", "http://f/x", "http://f/y", "http:///y", "http://a..f/x", "http://x.a..f/", "http://" + "b" * 100_000 + ".f/x", None, None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.filter_urls(pages, U.rule_table(spark, rules)).collect()}
+    assert got == {i: brute(url, rules) for i, url in enumerate(urls)}
+    got = U.filter_urls(pages, U.rule_table(spark)).filter("page_id = 0").first()
+    assert got["rule"] == "com/"
