@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernel import api
 from quernel.operators import catalog, identity, merge, routes, upsert, validate
-from quernel.session import table
+from quernel.session import materialize, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -298,7 +299,7 @@ def identity_numbers(spark, sf):
 
 @query("""
 WITH s AS (SELECT user_id, event_type AS property, 'old' AS value FROM (SELECT DISTINCT user_id, event_type FROM events)),
-c AS (SELECT user_id, event_type AS property, CASE WHEN event_id % 4 = 0 THEN NULL ELSE props END AS value, event_id FROM events WHERE event_id % 3 = 0),
+c AS (SELECT user_id, event_type AS property, CASE WHEN event_id % 4 = 0 THEN NULL ELSE props END AS value, event_id FROM events),
 l AS (SELECT user_id, property, arg_max_null(value, event_id) AS value FROM (SELECT user_id, property, value, event_id FROM c UNION ALL SELECT user_id, property, value, -1 FROM s) GROUP BY ALL)
 SELECT user_id, property, value FROM l WHERE value IS NOT NULL
 """)
@@ -306,7 +307,7 @@ def upsert_nodes(spark, sf):
     """Property merge: the last change wins, a null removes, what isn't mentioned stays."""
     events = table(spark, sf, "events")
     stored = events.select("user_id", F.col("event_type").alias("property")).distinct().withColumn("value", F.lit("old"))
-    changes = events.filter("event_id % 3 = 0").select("user_id", F.col("event_type").alias("property"), F.when(F.col("event_id") % 4 != 0, F.col("props")).alias("value"), F.col("event_id").alias("ord"))
+    changes = events.select("user_id", F.col("event_type").alias("property"), F.when(F.col("event_id") % 4 != 0, F.col("props")).alias("value"), F.col("event_id").alias("ord"))
     return upsert.merge_properties(stored, changes, ["user_id"])
 
 
@@ -322,3 +323,35 @@ def source_scope(spark, sf):
     """Distinct stripped sources of each language, sorted and joined."""
     evidence = table(spark, sf, "documents").groupBy("lang").agg(F.collect_set(F.struct(F.concat(F.lit(" "), "source").alias("source"))).alias("evidence"))
     return evidence.select("lang", identity.source_scope(F.col("evidence")).alias("scope"))
+
+
+@query(SSSP_SQL.format(cost="CAST(l_quantity AS BIGINT)") + """, t AS (SELECT p_partkey * 2 AS node FROM part),
+far AS (SELECT r.node, r.cost FROM r JOIN t ON t.node = r.node ORDER BY r.cost DESC, r.node LIMIT 1)
+SELECT 'found' AS answer, CAST(cost AS BIGINT) AS total, true AS ends_meet, true AS adds_up FROM far
+UNION ALL SELECT 'same', CAST(0 AS BIGINT), true, true UNION ALL SELECT 'NODE_NOT_FOUND', NULL, NULL, NULL UNION ALL SELECT 'INVALID_ACCESS', NULL, NULL, NULL
+UNION ALL SELECT 'recovered', CAST((SELECT min(r.cost) FROM r JOIN t ON t.node = r.node) AS BIGINT), true, true
+""")
+def route_answers(spark, sf):
+    """Routes from supplier 0 by the service entry points: to the part that is farthest away, to itself, to an unknown node, by no access mode,
+    and back to the nearest part. Steps have to follow each other from start to end and add up to the total."""
+    lines = part_graph(spark, sf).select(F.concat_ws(">", "source", "target").alias("edge_id"), F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("cost").alias("distance"), F.lit(1).cast("long").alias("time"))
+    lines = materialize(lines.withColumns({"status": F.lit("open"), "access": F.array(F.lit("car")), "heading": F.lit(90), "toll": F.lit(False), "road_name": F.lit("r")}), "edges")
+    suppliers = table(spark, sf, "supplier").select((F.col("s_suppkey") * 2 + 1).cast("string").alias("node_id"))
+    parts = table(spark, sf, "part").select((F.col("p_partkey") * 2).cast("string").alias("node_id"))
+    nodes = materialize(suppliers.unionByName(parts).withColumn("name", F.concat(F.lit("n"), "node_id")), "nodes")
+    paths = routes.shortest_paths(lines.withColumn("cost", F.col("distance")), spark.sql("SELECT '1' AS node"))
+    to_parts = materialize(paths.join(parts.withColumnRenamed("node_id", "node"), "node").select("node", "cost"), "to_parts")
+    far = to_parts.orderBy(F.desc("cost"), F.col("node").cast("long")).first()["node"]
+    near = [r["node"] for r in to_parts.orderBy("cost", F.col("node").cast("long")).limit(20).collect()]  # the rest of a route
+
+    def row(answer: str, found: dict):
+        if not found["success"]:
+            return (found["errorCode"], None, None, None)
+        steps = found["steps"].orderBy("index").collect()  # one route
+        chain = [found["start"], *[s["target"] for s in steps]]
+        return (answer, found["total_distance"], chain[:-1] == [s["source"] for s in steps] and chain[-1] == found["end"] and all(s["to_node"]["id"] == s["target"] for s in steps), sum(s["distance"] for s in steps) == found["total_distance"])
+
+    ask = lambda end, access="car": api.find_route(nodes, lines, "1", end, access, "shortest_distance")
+    back = api.find_recovery_route(nodes, lines, "1", ["3", *near], 1, "car", "shortest_distance")
+    out = [row("found", ask(far)), row("same", ask("1")), row("", ask("x")), row("", ask(far, "boat")), row("recovered", back)]
+    return spark.createDataFrame(out, "answer string, total long, ends_meet boolean, adds_up boolean")
