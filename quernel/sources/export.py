@@ -69,6 +69,7 @@ def write_exports(tables: dict[str, DataFrame], input_dir: str, output_dir: str)
 
 def export_folder(spark: SparkSession, input_dir: str, output_dir: str, explicit: str | None = None, include_all: bool = False, lang: str = "en", skip_metadata: bool = True) -> dict:
     """Export every RDF file of a folder tree; the report has counts and the tables of exported (input, output, summary) and skipped (path) files."""
+    input_dir = rdf.resolve_input(spark, input_dir, folder=True)
     scanned = rdf.scan_files(spark, input_dir, skip_metadata=False)
     files = rdf.scan_files(spark, input_dir, skip_metadata=skip_metadata)
     exported = write_exports(rdf.ontology(rdf.read_rdf(files, explicit), lang, include_all), input_dir, output_dir)

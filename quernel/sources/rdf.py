@@ -7,6 +7,7 @@ rules, counts) is joins and aggregates keyed by file, so many files of any mix o
 from __future__ import annotations
 
 import itertools
+import re
 import xml.etree.ElementTree as ET
 from urllib.parse import urljoin
 
@@ -53,6 +54,30 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.rdf", skip_metadat
     return files.filter(~F.contains(F.lower(file_stem(F.col("file"))), F.lit("metadata"))) if skip_metadata else files
 
 
+def resolve_input(spark: SparkSession, path: str, data_dir: str | None = None, folder: bool = False) -> str:
+    """The full path of an input: a relative path is looked up in ``data_dir`` first. Raises FileNotFoundError if there is nothing, ValueError if it is
+    no file (with ``folder``: no folder). Any store that Spark reads will do."""
+    place, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    found = place(path)
+    if data_dir and not found.isAbsolute():
+        inside = place(data_dir, path)
+        found = inside if inside.getFileSystem(conf).exists(inside) else found
+    files = found.getFileSystem(conf)
+    full = files.makeQualified(found)
+    shown = re.sub(r"^file:/*", "/", full.toString())
+    if not files.exists(full):
+        raise FileNotFoundError(f"RDF input {'directory' if folder else 'file'} not found: {shown}")  # fixed wording
+    if files.getFileStatus(full).isDirectory() != folder:
+        raise ValueError(f"RDF input path must be a {'directory' if folder else 'file'}: {shown}")
+    return shown
+
+
+def read_file(spark: SparkSession, path: str, data_dir: str | None = None, explicit: str | None = None) -> DataFrame:
+    """Triples and prefixes of one file."""
+    files = spark.read.format("binaryFile").load(resolve_input(spark, path, data_dir)).select(F.col("path").alias("file"), "content")
+    return read_rdf(files, explicit)
+
+
 def _clark(tag: str) -> str:
     return tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
 

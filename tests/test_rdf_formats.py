@@ -132,3 +132,15 @@ def test_a_broken_file_is_named(spark):
     broken = spark.createDataFrame([("x/broken.ttl", b"<a> <b> .")], "file string, content binary")
     with pytest.raises(Exception, match="broken.ttl is no turtle document"):
         rdf.read_rdf(broken).collect()
+
+
+def test_input_paths(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.ttl").write_text("<http://e/a> <http://e/b> 1 .")
+    assert rdf.resolve_input(spark, "sub/a.ttl", str(tmp_path)) == rdf.resolve_input(spark, str(tmp_path / "sub" / "a.ttl")) == str(tmp_path / "sub" / "a.ttl")
+    assert rdf.read_file(spark, "sub/a.ttl", str(tmp_path)).count() == 1
+    for path, error, words in (("sub/b.ttl", FileNotFoundError, "RDF input file not found"), (str(tmp_path / "sub"), ValueError, "must be a file")):
+        with pytest.raises(error, match=words):
+            rdf.resolve_input(spark, path, str(tmp_path))
+    with pytest.raises(ValueError, match="must be a directory"):
+        rdf.resolve_input(spark, str(tmp_path / "sub" / "a.ttl"), folder=True)
