@@ -11,7 +11,7 @@ from page to page. Among elements that hold at least half of it, the outermost `
 decides between containers, never against the mass of the slots. Tags and class words mark side elements,
 but what holds nearly all varying text, or the article where none is outside, is not one, whatever its class. Inside it, menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments go, and so do texts that the pages with the region have in
-common, as long as other text in the region varies. A text is common if its votes would still be more than three quarters with one
+common, as long as other text in the region varies; headings stay if what follows them varies. A text is common if its votes would still be more than three quarters with one
 more page against it; a few cut or empty pages don't matter, and the rule is the same for hosts of any size. Wrappers hold one
 candidate for each slot, found by majority vote in which a page with another text cancels a vote, so that between three quarters
 and seven eighths of the pages the order of the votes can decide. A page without the host's region is judged by its
@@ -44,10 +44,11 @@ from quernel.session import materialize
 
 # Element kinds of HTML, and words that mark what is not main text.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-RAW = {"script", "style", "textarea", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "button"}
+RAW = {"script", "style", "textarea", "iframe", "noembed", "noframes", "noscript", "template", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NEVER = {"head", "title", "nav", "header", "footer", "aside", "form", "dialog", "menu", "search", "fieldset"}
-SIDE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent notice notices alert alerts gdpr nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side footer header masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search widget widgets pagination pager toolbar toc skip hidden contentinfo complementary dialog".split())
+SIDE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent notice notices alert alerts gdpr nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side footer header masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay search widget widgets pagination pager toolbar toc skip hidden contentinfo complementary cmt cmts usernotes feedback spons".split())
+PLAIN_SIDE = set("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors spons promo promotion cookie cookies consent gdpr breadcrumb breadcrumbs share sharing newsletter subscribe subscription skip hidden pagination pager".split())
 WHOLE = {"html", "body", "main"}
 STATE_FIRST = {"no", "not", "non", "without", "has", "have", "with"}
 STATE_LAST = {"page", "layout", "open", "opened", "closed", "on", "off", "enabled", "disabled"}
@@ -69,8 +70,13 @@ SPLIT = re.compile(r"[^a-z]+")
 
 
 def _marked(tag: str, words) -> bool:
-    """Whether tag and words are those of a menu, sidebar, comment section and so on; what they hold can overrule it, see opened()."""
-    return tag in NEVER or tag not in WHOLE and not SIDE_WORDS.isdisjoint(words)
+    """Whether tag and words are those of a menu, sidebar, comment section and so on; what they hold can overrule it, see opened_paths().
+
+    A word marks a container. Paragraphs, items and cells are text, whatever style a word like side or search gives them: only words
+    that say that a text is an advert, a notice on cookies, a share link or hidden mark these; nothing but hidden and skip marks a heading."""
+    if tag in NEVER or tag in WHOLE:
+        return tag in NEVER
+    return not (PLAIN_SIDE & {"hidden", "skip"} if tag in HEADINGS else PLAIN_SIDE if tag in TEXTY else SIDE_WORDS).isdisjoint(words)
 
 
 class Element:
@@ -111,8 +117,9 @@ def _is_state(parts: list[str]) -> bool:
     return len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)
 
 
-def words_of(attributes: str) -> tuple:
-    """Words of class and role, sorted, and 'hidden'. Digits and ids are left out: they tell instances apart, not kinds.
+def words_of(attributes: str, tag: str = "") -> tuple:
+    """Words of class and role, sorted, and 'hidden'. Digits and ids are left out: they tell instances apart, not kinds; of ids only the words that
+    mark side elements count, and those of sections and headings, which are named after what they are about, don't.
     A name that only says how the page is laid out (no-sidebar, has-comments, search-page) is one word, so that it marks nothing."""
     found = set()
     for name, value in ATTRIBUTE.findall(attributes):
@@ -120,8 +127,8 @@ def words_of(attributes: str) -> tuple:
         if name in ("class", "role"):
             for kind in html.unescape(value).lower().strip("\"'").split():
                 parts = [w for w in SPLIT.split(kind) if w]
-                found.update(["-".join(parts)] if _is_state(parts) else parts)
-        elif name == "id":
+                found.update(["-".join(parts)] if _is_state(parts) else ["modal"] if name == "role" and "dialog" in parts + [kind.removeprefix("alert")] else parts)
+        elif name == "id" and tag != "section" and tag not in HEADINGS:
             parts = [w for w in SPLIT.split(value.lower()) if w]
             found.update(() if _is_state(parts) else (w for w in parts if w in SIDE_WORDS))
         elif name == "hidden":
@@ -129,6 +136,21 @@ def words_of(attributes: str) -> tuple:
     return tuple(sorted(found))
 
 
+def settle(element: Element) -> None:
+    """Marked inline elements amid other text are part of it (a highlighted comment in code, a styled word in a sentence), unless a word says
+    plainly that they are adverts or the like."""
+    for part in element.parts:
+        if isinstance(part, Element):
+            settle(part)
+    if element.tag != "pre" and not any(isinstance(part, str) and part.strip() for part in element.parts):
+        return
+    parts: list = []
+    for part in element.parts:
+        inline = isinstance(part, Element) and part.tag not in BLOCKS and PLAIN_SIDE.isdisjoint(part.words)
+        parts.extend(part.parts if inline else [part])
+    element.parts = parts
+
+
 def parse(page: str) -> Element:
     """The element tree of block elements; inline elements are their text, <br> is white space."""
     root = Element("#page", ())
@@ -145,6 +167,7 @@ def parse(page: str) -> Element:
         found = TAG.search(page, at)
         if not found:
             text(page[at:])
+            settle(root)
             return root
         text(page[at : found.start()])
         name = (found[2] or "").lower()
@@ -184,7 +207,7 @@ def parse(page: str) -> Element:
             if name == "hr":
                 stack[-1].parts.append(Element("hr", ()))
             continue
-        words = words_of(attributes) if attributes.strip() else ()
+        words = words_of(attributes, name) if attributes.strip() else ()
         if name not in BLOCKS:
             if words and not SIDE_WORDS.isdisjoint(words) and not attributes.rstrip().endswith("/") and len(stack) < MOST_DEPTH:
                 element = Element(name, words)  # an inline element that is marked as boilerplate
@@ -461,9 +484,20 @@ def rule_of(wrapper: list) -> dict:
             return
         if node[TEXT] and not node[PLUS] and is_template(node, pages):
             fixed.extend([list(inside), key] for key in node[TEXT].split("\n"))
-        for child in node[CHILDREN]:
+        for at, child in enumerate(node[CHILDREN]):
+            if child[LABEL].split(".")[0] in HEADINGS and heads_varying(node[CHILDREN][at + 1 :], (*path, *inside)):
+                continue
             template(child, path, (*inside, child[LABEL]), pages)
 
+    def heads_varying(following: list[list], around: tuple) -> bool:
+        """Whether what comes up to the next heading varies: then a heading that all pages have is a heading of their texts."""
+        for node in following:
+            if node[LABEL].split(".")[0] in HEADINGS:
+                return False
+            if varying_chars(node, (*around, node[LABEL]), opened):
+                return True
+        return False
+
     for path, node in region:
         if varying_chars(node, path, opened):
             template(node, path, (), node[PAGES])

@@ -203,3 +203,41 @@ def test_very_long_page_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "http://a.example/", page, "x", 5, None)], "page_id long, url string, html string, host string, salt int, rule string")
     got = H.extract_pages(rows).first()
     assert got["text"] == "T\n" + ("long text & more " * 100_000).strip()
+
+
+KEPT = [  # (what stands in the article, what has to stay of it, what has to go)
+    ('<section id="discussion"><h2>Discussion</h2><p>We discuss result {i}.</p></section>', ["Discussion", "We discuss result {i}."], []),
+    ('<h2 id="related-work">Related work</h2><p>Others did {i}.</p>', ["Related work", "Others did {i}."], []),
+    ('<pre><code>x = {i} <span class="hljs-comment"># set x to 3</span></code></pre>', ["x = {i} # set x to 3"], []),
+    ('<p class="side-effects">Side effects of {i}.</p>', ["Side effects of {i}."], []),
+    ('<div class="dialog"><p>Who is number {i}?</p></div>', ["Who is number {i}?"], []),
+    ('<p>Find <b class="search">term{i}</b> in a text.</p>', ["Find term{i} in a text."], []),
+    ('<h2>Ingredients</h2><p>Flour {i}</p><h2>Method</h2><p>Stir {i}</p>', ["Ingredients", "Flour {i}", "Method", "Stir {i}"], []),
+    ("<p>The energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> joule {i}</p>", ["The energy E=m joule {i}"], []),
+    ('<p>Before <span class="ad">Buy {i}</span> after.</p>', ["Before after."], ["Buy"]),
+    ('<div class="cmt-list"><p>Reader {i} says no.</p></div>', [], ["Reader"]),
+    ('<div id="feedback"><p>Send us {i}.</p></div>', [], ["Send us"]),
+    ('<div role="dialog"><p>Accept {i}?</p></div>', [], ["Accept"]),
+    ('<p class="share-links">Share {i}</p>', [], ["Share"]),
+]
+
+
+@pytest.mark.parametrize("count", [1, 3, 12])
+@pytest.mark.parametrize("extra, stays, goes", KEPT)
+def test_text_of_the_article_stays(count, extra, stays, goes):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    pages = []
+    for i in range(count):
+        text = " ".join(f"{w}{i}{k}" for k in range(8) for w in words)
+        pages.append(f'<html><body><nav>Home</nav><article><h1>Title {i}</h1><p>{text}</p>{extra.replace("{i}", str(i))}<p>Last {i} words.</p></article><footer>f</footer></body></html>')
+    for order in (pages, pages[::-1]):
+        wrapper = None
+        for page in order:
+            tree = H.expression(H.parse(page))
+            wrapper = tree if wrapper is None else H.merge(wrapper, tree)
+        rule = H.rule_of(wrapper)
+        for i, page in enumerate(pages):
+            lines = H.extract(page, rule).split("\n")
+            assert [b for b in lines if b in [s.replace("{i}", str(i)) for s in stays]] == [s.replace("{i}", str(i)) for s in stays], lines
+            assert not any(g in line for g in goes for line in lines), lines
+            assert lines[0] == f"Title {i}" and lines[-1] == f"Last {i} words."
