@@ -108,15 +108,15 @@ def merged_brute(root):
 def test_folder_files(spark, tmp_path):
     root = tmp_path / "root"
     trees = {
-        "BE/AllBE": [{"iri": "be-root"}, {"iri": "shared", "from": "BE"}], "BE/Corporations/Corporations": [{"iri": "corporation"}, {"iri": "shared", "from": "corp"}],
-        "BE/Corporations/Nested/NestedCorporation": [{"iri": "nested"}, {"name": "no iri"}, {"x": 1}, {"x": 1}], "LOAN/AllLOAN": [{"iri": "loan-root"}, {"iri": "shared"}, {"name": "no iri", "ö": [1.5, None, {"b": "€"}]}],
-        "BE/Zed A": [{"iri": "z", "technicalName": "t"}, {"iri": "", "technicalName": "t"}], "Top": [{"iri": "top"}, {"iri": "nested", "late": True}],
+        "Fruit/AllFruit": [{"iri": "fruit"}, {"iri": "shared", "from": "fruit"}], "Fruit/Berries/Berries": [{"iri": "berry"}, {"iri": "shared", "from": "berry"}],
+        "Fruit/Berries/Wild/WildBerry": [{"iri": "nested"}, {"name": "no iri"}, {"x": 1}, {"x": 1}], "VEG/AllVEG": [{"iri": "veg"}, {"iri": "shared"}, {"name": "no iri", "ö": [1.5, None, {"b": "€"}]}],
+        "Fruit/Zed A": [{"iri": "z", "technicalName": "t"}, {"iri": "", "technicalName": "t"}], "Top": [{"iri": "top"}, {"iri": "nested", "late": True}],
     }
     for name, classes in trees.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / f"{name}.ontology.json").write_text(json.dumps({"classes": classes, "edges": [{"technicalName": name}], "attributes": []}))
     expected = merged_brute(root)
-    (root / "BE" / "all_be.ontology.json").write_text(json.dumps({"classes": [{"iri": "stale"}]}))  # generated before, and written again
+    (root / "Fruit" / "all_fruit.ontology.json").write_text(json.dumps({"classes": [{"iri": "stale"}]}))  # generated before, and written again
     report = {r["output"]: r["summary"].asDict() for r in export.merge_folder_files(spark, str(root)).collect()}
     assert report == {str(p): d["summary"] for p, d in expected.items()}
     for path, document in expected.items():
