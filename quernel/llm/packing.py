@@ -89,7 +89,7 @@ class Ids:
         if word.isalpha() and (word.isascii() or not UNCOMMON.search(word)):
             return self.piece(" " + word)
         body = word.rstrip(PUNCTUATION)
-        if body.isalpha():
+        if body != word and body.isalpha():
             return self.words[body] + self.pieces[word[len(body) :]]
         return self.rule(" " + word)
 
