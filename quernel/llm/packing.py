@@ -20,6 +20,7 @@ shorter one; repeated rows and ids are documents of their own; extra columns are
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -36,11 +37,13 @@ from quernel.llm import arrow_text as at
 from quernel.llm.bpe import PIECES, UNCOMMON, byte_letters, tokenizer_path
 from quernel.session import materialize
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
 WHITE = r"[\s\x1c-\x1f]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ODD_SPACE = regex.compile(rf"{WHITE} {WHITE}")
+ODD_SPACE = re.compile(rf" (?={WHITE})(?<={WHITE} )")  # at each space the next character decides nearly always
+RARE = re.compile(UNCOMMON.pattern)
+SPACE_LETTER = "\u0120"
 RANK_BITS = 42  # pieces of a length, below 2 ** 42, and their length share a key of 63 bits
 
 
@@ -73,6 +76,7 @@ class Ids:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = {b: c for c, b in byte_letters().items()}
         self.cut = regex.compile(PIECES).findall
         self.pieces = Recent(self.piece)
@@ -82,12 +86,16 @@ class Ids:
     def piece(self, piece: str) -> bytes:
         """Ids of a text that the library doesn't cut."""
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [token.id for token in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return array("I", [token.id for token in self.tokenize(letters)]).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of a space and a word. Letters are one piece, and ASCII punctuation after them another."""
-        if word.isalpha() and (word.isascii() or not UNCOMMON.search(word)):
-            return self.piece(" " + word)
+        if word.isalpha():
+            if word.isascii():  # ASCII letters stand for themselves
+                return array("I", [token.id for token in self.tokenize(SPACE_LETTER + word)]).tobytes()
+            if not RARE.search(word):
+                return self.piece(" " + word)
+            return self.rule(" " + word)
         body = word.rstrip(PUNCTUATION)
         if body != word and body.isalpha():
             return self.words[body] + self.pieces[word[len(body) :]]
@@ -97,7 +105,7 @@ class Ids:
         """Ids of any text, by the library's own cuts; where versions of Unicode may disagree about letters the library cuts itself."""
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if UNCOMMON.search(text):
+        if not text.isascii() and RARE.search(text):
             return b"".join(self.pieces[text[a:b]] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 

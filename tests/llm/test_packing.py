@@ -101,3 +101,19 @@ def test_exact_complements_fill_whole_sequences():
 def test_capacity_is_checked(spark, make_docs):
     with pytest.raises(ValueError):
         packing.pack(make_docs([]), capacity=0)
+
+
+def test_table_of_words_holds_those_of_large_texts():
+    made = []
+    table = packing.Recent(lambda key: made.append(key) or key.encode())
+    for _ in range(2):
+        for i in range(600_000):
+            table[str(i)]
+    assert len(made) == 600_000
+
+
+def test_short_cuts_give_the_ids_of_the_library():
+    words = packing.Ids(packing.tokenizer_path())
+    for text in ("a b", "Word Wörter, слово. x1 ...", "a  b", "a \n b", "a\x1c b", "a　 b", " ก ͸a b", "\U0001f600 x", "it's <|endoftext|> a"):
+        want = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(text), np.uint32).tolist() == want, text
