@@ -91,3 +91,17 @@ def test_chunks_keep_keys_together(monkeypatch):
     whole = [tuple(r.values()) for b in S._compare(400)([table]) for r in b.to_pylist()]
     parts = [tuple(r.values()) for b in S._compare(400)([table.slice(i, 2) for i in range(0, 15, 2)]) for r in b.to_pylist()]
     assert sorted(whole) == sorted(parts) and whole
+
+
+def test_batches_of_texts_are_small(spark, monkeypatch):
+    """Executors hold a few batches outside the heap, whatever the length of texts."""
+    import pyarrow as pa
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    monkeypatch.setattr(S, "_maybe", lambda bloom: lambda batches: (b.append_column("hit", pa.array([b.nbytes < 5_000_000] * b.num_rows)) for b in batches))
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('x', id, ' '), 20000) AS text").coalesce(1)
+    kept = S.remove_repeats(docs.filter("doc_id < 0").unionByName(docs).coalesce(1), length=10**6)
+    assert kept.filter("n_removed = 0").count() == 300
+    got = docs.mapInArrow(sizes, "n long").collect()
+    assert len(got) > 1 and max(r["n"] for r in got) < 5_000_000
