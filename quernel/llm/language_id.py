@@ -169,13 +169,14 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, rate: float = 0.6, seed: int = 5) -> Model | None:
     """Train on the driver from the subword counts of a bounded sample."""
     examples = materialize(sample.mapInArrow(_examples, "lang string, order long, part int, buckets array<int>, counts array<int>"), "examples")
-    rows = [{**r.asDict(), "buckets": np.array(r["buckets"], np.int32), "counts": np.array(r["counts"], np.float32)} for r in examples.toLocalIterator()]
-    rows.sort(key=lambda r: (r["order"], r["lang"], r["part"], len(r["buckets"])))
-    languages = sorted({r["lang"] for r in rows})
+    rows = [(r["order"], r["lang"], r["part"], np.array(r["buckets"], np.int32), np.array(r["counts"], np.int32)) for r in examples.toLocalIterator()]
+    rows.sort(key=lambda r: (*r[:3], len(r[3])))
+    languages = sorted({r[1] for r in rows})
     if not languages:
         return None
     number = {lang: i for i, lang in enumerate(languages)}
-    data = [(r["buckets"], r["counts"].astype(np.float64) / float(r["counts"].sum(dtype=np.float64)), number[r["lang"]], r["part"], r["order"] % 5 == 0) for r in rows]
+    data = [(buckets, counts, number[lang], part, order % 5 == 0) for order, lang, part, buckets, counts in rows]
+    del rows  # shares are made from counts when they are needed: the driver holds 8 bytes for each subword of an example
     train, check = [d for d in data if not d[4]] or data, [d for d in data if d[4]] or data
     rng = np.random.default_rng(seed)
 
@@ -184,7 +185,7 @@ def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, ra
         made = []
         for d in like[::3]:
             buckets, counts = np.unique(rng.integers(0, 1 << BUCKET_BITS, max(2, len(d[0]))), return_counts=True)
-            made.append((buckets, counts / counts.sum(), len(languages), -1, d[4]))
+            made.append((buckets.astype(np.int32), counts.astype(np.int32), len(languages), -1, d[4]))
         return made
 
     train, check = train + others(train), check + others(check)
@@ -193,7 +194,8 @@ def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, ra
     step, steps = 0, epochs * len(train)
     for _ in range(epochs):
         for i in rng.permutation(len(train)):
-            buckets, share, label, _, _ = train[i]
+            buckets, counts, label, _, _ = train[i]
+            share = counts / counts.sum()
             lr = rate * (1 - step / steps)
             step += 1
             part = embedding[buckets]
@@ -204,7 +206,7 @@ def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, ra
             weights -= lr * np.outer(hidden, error)
             bias -= lr * 0.1 * error
             embedding[buckets] = part - (lr * EMBEDDING_RATE * share)[:, None] * back
-    averages = np.array([share @ embedding[buckets] for buckets, share, *_ in check])
+    averages = np.array([(counts / counts.sum()) @ embedding[buckets] for buckets, counts, *_ in check])
     logits = averages @ weights + bias
     labels, whole = np.array([d[2] for d in check]), np.array([d[3] == 0 for d in check])
     grid = [2.0**k for k in range(-4, 9)]
@@ -212,6 +214,8 @@ def fit(sample: DataFrame, reject_rate: float = REJECT_RATE, epochs: int = 6, ra
     temperature = grid[int(np.argmin(loss))]
     top = _softmax(logits / temperature)[:, :-1].max(axis=1)
     threshold = min(0.5, float(np.quantile(top[whole], reject_rate)) / 2) if whole.any() else 0.0
+    del data, train, check
+    at.make_room("")
     table, rest = (embedding @ weights, None) if len(bias) < DIMENSION else (embedding, weights)
     return Model(languages, table, rest, bias, temperature, threshold)
 

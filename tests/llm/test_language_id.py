@@ -96,3 +96,30 @@ def test_folded_and_parted_models_agree(monkeypatch, model, spark, sf):
     assert parted.weights is not None  # as many classes as dimensions, or more
     whole = L.Model(parted.languages, parted.table @ parted.weights, None, parted.bias, parted.temperature, parted.threshold)
     assert np.allclose(L._logits(whole, data, np.array([0, len(data)])), L._logits(parted, data, np.array([0, len(data)])))
+
+
+def test_fit_holds_eight_bytes_a_subword(spark, monkeypatch):
+    """The driver's peak while it learns is that of the examples' buckets and counts."""
+    import tracemalloc
+
+    import numpy as np
+    from pyspark.sql import Row
+
+    from quernel.llm import language_id as L
+
+    rng = np.random.default_rng(1)
+    examples = [Row(lang="en", order=i, part=0, buckets=b, counts=b) for i, b in enumerate(rng.integers(1, 30_000, (600, 5_000)).astype(np.int32))]
+
+    class Sample:
+        def mapInArrow(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            return iter(examples)
+
+    monkeypatch.setattr(L, "materialize", lambda df, name: df)
+    tracemalloc.start()
+    L.fit(Sample(), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000 * 8 * 2
