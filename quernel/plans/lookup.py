@@ -8,7 +8,7 @@ from quernel.functions import text as T
 from quernel.functions import values as V
 from quernel.operators import search
 from quernel.operators.recipes import scale_items
-from quernel.session import table
+from quernel.session import small_batches, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,6 +57,7 @@ def facet_filter(spark, sf):
 @query(f"SELECT doc_id, {FOLD_SQL.format('text')} AS folded FROM documents")
 def norm_text(spark, sf):
     """Accents removed, case folded, white space collapsed, for every whole text."""
+    small_batches(spark)
     return table(spark, sf, "documents").select("doc_id", T.normalize_text("text").alias("folded"))
 
 

@@ -96,3 +96,20 @@ def test_templates_are_rendered_in_one_pass(spark, template):
             row.select(T.render_template(F.col("t"), columns, strict=True)).collect()
     else:
         assert row.select(T.render_template(F.col("t"), columns, strict=True)).first()[0] == expected
+
+
+def test_texts_are_folded_one_by_one():
+    """Only one text is in words at a time."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from quernel.functions import text
+
+    values = pd.Series(["Ünd đa  x " * 200, None] * 2000, dtype=object)
+    tracemalloc.start()
+    found = text.folded(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] == " ".join(["und da x"] * 200) and found[1] is None
+    assert peak < 3 * found.str.len().sum()
