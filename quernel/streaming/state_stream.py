@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-STATE = "ts_us long, seq long, value double"
+from pyspark.sql import functions as F
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
@@ -15,19 +12,8 @@ def fold_stream(events: DataFrame) -> DataFrame:
     Late events don't overwrite newer ones, so the end state is that of the batch fold whatever the order of arrival.
     """
 
-    def update(key, frames, state):
-        held = tuple(state.get) if state.exists else None
-        for frame in frames:
-            top = frame.sort_values(["ts_us", "seq"]).iloc[-1]
-            new = (int(top["ts_us"]), int(top["seq"]), None if pd.isna(top["value"]) else float(top["value"]))
-            if held is None or new[:2] > tuple(held[:2]):
-                held = new
-        state.update(held)
-        yield pd.DataFrame([[*key, *held]], columns=["user_id", "field", "ts_us", "seq", "value"])
-
-    return events.groupBy("user_id", "field").applyInPandasWithState(
-        update, f"user_id long, field string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    last = F.max_by(F.struct("ts_us", "seq", "value"), F.struct("ts_us", "seq")).alias("last")
+    return events.groupBy("user_id", "field").agg(last).select("user_id", "field", "last.*")
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, sink) -> None:

@@ -367,3 +367,12 @@ def test_edges_are_shuffled_once(spark, capsys):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # of the nodes
+
+
+def test_stream_folds_without_python(spark, tmp_path):
+    stream = spark.readStream.schema("user_id long, field string, ts_us long, seq long, value double").parquet(str(tmp_path))
+    from quernel.streaming import state_stream
+
+    folded = state_stream.fold_stream(stream)
+    assert folded.columns == ["user_id", "field", "ts_us", "seq", "value"]
+    assert "Pandas" not in folded._jdf.queryExecution().analyzed().toString()
