@@ -114,19 +114,26 @@ def register_dishes(spark: SparkSession, dishes: DataFrame) -> list[str]:
 
 
 def register_recipes(spark: SparkSession, recipes: DataFrame) -> list[str]:
-    """recipe_details(dish_id) and scale_recipe(dish_id, servings) over recipes (id, meta.yield_count, ingredients, ...)."""
+    """recipe_details(dish_id) and scale_recipe(dish_id, servings) over recipes (id, meta.yield_count, ingredients, ...).
+
+    With LATERAL over many rows scale_recipe meets all recipes with each distinct number of servings; there take recipe_details and
+    scale_ingredients(ingredients, scale_factor(servings, yield_count)), which is one join by id.
+    """
     recipes.createOrReplaceTempView("quernel_recipes")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in recipes.schema)
     fields = {f.name: f.dataType.simpleString() for f in recipes.schema}
-    names = [_define(spark, f"recipe_details(dish_id STRING) RETURNS TABLE({columns})", "SELECT * FROM quernel_recipes WHERE id = recipe_details.dish_id")]
+    names = [_define(spark, f"recipe_details(dish_id {fields['id']}) RETURNS TABLE({columns})", "SELECT * FROM quernel_recipes WHERE id = recipe_details.dish_id")]
     group = [f.name for f in recipes.schema["ingredients"].dataType.elementType]
     item = [f.name for f in recipes.schema["ingredients"].dataType.elementType["items"].dataType.elementType]
-    factor = "scale_recipe.servings / meta.yield_count"
-    scaled = ", ".join(f"'{n}', " + (f"bround(i.quantity * {factor}, 6)" if n == "quantity" else f"i.`{n}`") for n in item)
+    scaled = ", ".join(f"'{n}', " + ("bround(i.quantity * factor, 6)" if n == "quantity" else f"i.`{n}`") for n in item)
     groups = ", ".join(f"'{n}', " + (f"transform(g.items, i -> named_struct({scaled}))" if n == "items" else f"g.`{n}`") for n in group)
+    kind = fields["ingredients"]
+    names.append(_define(spark, "scale_factor(servings INT, yield_count DOUBLE) RETURNS DOUBLE", "CASE WHEN servings > 0 THEN servings / yield_count ELSE raise_error('INVALID_SERVINGS') END"))
+    names.append(_define(spark, f"scale_ingredients(ingredients {kind}, factor DOUBLE) RETURNS {kind}", f"CAST(transform(ingredients, g -> named_struct({groups})) AS {kind})"))
+    factor = "scale_recipe.servings / meta.yield_count"
     guard = "CASE WHEN scale_recipe.servings > 0 THEN true ELSE raise_error('INVALID_SERVINGS') END"
-    body = f"SELECT id, {factor}, CAST(transform(ingredients, g -> named_struct({groups})) AS {fields['ingredients']}) FROM quernel_recipes WHERE id = scale_recipe.dish_id AND {guard}"
-    names.append(_define(spark, f"scale_recipe(dish_id STRING, servings INT) RETURNS TABLE(id STRING, scale_factor DOUBLE, ingredients {fields['ingredients']})", body))
+    body = f"SELECT id, {factor}, scale_ingredients(ingredients, {factor}) FROM quernel_recipes WHERE id = scale_recipe.dish_id AND {guard}"
+    names.append(_define(spark, f"scale_recipe(dish_id {fields['id']}, servings INT) RETURNS TABLE(id {fields['id']}, scale_factor DOUBLE, ingredients {kind})", body))
     return names
 
 

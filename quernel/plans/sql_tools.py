@@ -71,15 +71,16 @@ SELECT i.o_orderkey, s / y::DOUBLE AS scale_factor, l_linenumber, l_partkey, CAS
 """)
 def sql_scale_recipe(spark, sf):
     """Orders as recipes with their lines as ingredients, scaled from SQL for as many servings as each order asks for."""
-    item = F.struct(F.concat_ws("/", "l_linenumber", "l_partkey").alias("name"), F.col("l_quantity").alias("quantity"), F.lit("piece").alias("unit"))
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("lines"))  # names are made after the shuffle
+    items = F.transform("lines", lambda i: F.struct(F.concat_ws("/", i["l_linenumber"], i["l_partkey"]).alias("name"), i["l_quantity"].alias("quantity"), F.lit("piece").alias("unit")))
     orders = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    orders = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.struct((F.col("o_custkey") % 7 + 1).cast("int").alias("yield_count")).alias("meta"), F.array(F.struct(F.lit("all").alias("group_name"), "items")).alias("ingredients"))
+    orders = orders.select(F.col("o_orderkey").alias("id"), F.struct((F.col("o_custkey") % 7 + 1).cast("int").alias("yield_count")).alias("meta"), F.array(F.struct(F.lit("all").alias("group_name"), items.alias("items"))).alias("ingredients"))
     tools.register_recipes(spark, orders)
-    table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_custkey") % 3 + 1).cast("int").alias("servings")).createOrReplaceTempView("quernel_wanted")
+    table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3 + 1).cast("int").alias("servings")).createOrReplaceTempView("quernel_wanted")
     return spark.sql("""
-        SELECT CAST(id AS BIGINT) AS o_orderkey, scale_factor, CAST(split(i.name, '/')[0] AS INT) AS l_linenumber, CAST(split(i.name, '/')[1] AS BIGINT) AS l_partkey, CAST(round(i.quantity * 1000000) AS BIGINT) AS micro
-        FROM (SELECT r.id, r.scale_factor, explode(flatten(r.ingredients.items)) AS i FROM quernel_wanted w, LATERAL scale_recipe(w.id, w.servings) AS r)
+        SELECT id AS o_orderkey, scale_factor, CAST(split(i.name, '/')[0] AS INT) AS l_linenumber, CAST(split(i.name, '/')[1] AS BIGINT) AS l_partkey, CAST(round(i.quantity * 1000000) AS BIGINT) AS micro
+        FROM (SELECT id, scale_factor, explode(flatten(scaled.items)) AS i FROM (SELECT id, factor AS scale_factor, scale_ingredients(ingredients, factor) AS scaled
+            FROM (SELECT r.id, r.ingredients, scale_factor(w.servings, r.meta.yield_count) AS factor FROM quernel_wanted w, LATERAL recipe_details(w.id) AS r)))
     """)
 
 

@@ -47,3 +47,12 @@ def test_table_functions(spark):
         spark.sql("SELECT * FROM scale_recipe('r', 0)").collect()
     tools.register_states(spark, spark.createDataFrame([("a", json.dumps({"n": 1})), ("b", "[")], "session string, state string"))
     assert [tuple(r) for r in spark.sql("SELECT s.* FROM VALUES ('a'), ('b'), ('c') AS q(x), LATERAL session_state(q.x) s ORDER BY s.session").collect()] == [("a", '{"n": 1}', None), ("b", None, "INVALID_STATE")]
+
+
+def test_scaling_many_recipes_is_a_join_by_id(spark, sf):
+    """Not all recipes with each number of servings."""
+    from quernel.plans import sql_tools
+
+    plan = sql_tools.sql_scale_recipe(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and all(" = " in line for line in joins)
