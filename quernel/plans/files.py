@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernel.operators import catalog, chunks, identity, recipes, state, state_store, upsert
-from quernel.session import new_folder, table
+from quernel.session import materialize, new_folder, table
 from quernel.sources import export, navigation, skills
-from quernel.sources.json_files import write_files
+from quernel.sources.json_files import read_folders, write_files
 
 QUERIES, ORACLES = {}, {}
 
@@ -246,9 +246,12 @@ def document_files(spark, sf):
     """All documents as Markdown, text or other files, read back as context texts or with the stage at which they fail."""
     folder, key = new_folder(spark), F.col("doc_id").cast("string")
     kind, text = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
-    name = F.concat(F.lit("d"), key, F.when(kind == 0, ".md").when(kind == 1, ".TXT").otherwise(".pdf"))
-    write_texts(table(spark, sf, "documents").select(name.alias("path"), F.when(kind == 0, F.concat(F.lit("## Intro "), key, F.lit("  \n"), text)).otherwise(text).alias("content")), folder)
-    files = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("source"), "content")
+    inside = F.format_string("%06d", F.floor(F.col("doc_id") / 1000))  # folders of a thousand
+    name = F.concat(inside, F.lit("/d"), key, F.when(kind == 0, ".md").when(kind == 1, ".TXT").otherwise(".pdf"))
+    documents = table(spark, sf, "documents")
+    write_texts(documents.select(name.alias("path"), F.when(kind == 0, F.concat(F.lit("## Intro "), key, F.lit("  \n"), text)).otherwise(text).alias("content")), folder)
+    files = read_folders(documents.select(F.concat(F.lit(f"{folder}/"), inside).alias("folder")).distinct())
+    files = materialize(files.select(F.substring_index("path", "/", -1).alias("source"), "content"), "files")  # read once by several steps
     return chunks.prepare_context(files).drop("source")
 
 

@@ -4,28 +4,34 @@ A document is not one row but sorted rows: ``path``, ``field`` and ``json``, a f
 the array that was started last (item). A row of the kind text is a file's whole content, whatever it is. A task streams the rows of each of its documents into one file, so that a document with millions of
 items needs no more memory than its largest item. Files are written below a staging folder and moved to their places when all tasks
 are done: nothing is seen of a run that fails, files that a run doesn't write are left alone, and attempts of lost or repeated tasks
-don't count.
+don't count. The driver hears of one folder a task: the names of a task's files lie in a list beside them, and tasks move them.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from quernel.session import BATCH_BYTES
+
 ROWS = "path string, kind string, field string, json string"
 INDENT = 2
+LIST = "files"  # final paths of a task's files, one JSON text a line, in the order of their numbers
+CONTENTS = "path string, content binary"
+BATCH_FILES = 1000
 
 
 def file_system(path: str):
     """(file system, path in it) of a path or URI."""
-    from pyarrow import fs
-
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -37,7 +43,7 @@ def laid_out(value: str, depth: int) -> str:
 
 @dataclass
 class Staged(WriterCommitMessage):
-    files: list[tuple[str, str]]  # staged and final paths
+    attempt: str  # the folder below the staging folder
 
 
 class _File:
@@ -82,39 +88,72 @@ class _File:
 
 
 class JsonFilesWriter(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.staging = f"{folder.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    """Leaves the files in the staging folder, with the attempts that count in the file ``LIST`` there."""
+
+    def __init__(self, staging: str):
+        self.staging = staging
 
     def write(self, rows) -> Staged:
         context = TaskContext.get()
-        attempt = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        system, folder = file_system(attempt)
+        attempt = f"{context.partitionId()}-{context.taskAttemptId()}"
+        system, folder = file_system(f"{self.staging}/{attempt}")
         system.create_dir(folder, recursive=True)
-        files, current = [], None
-        for row in rows:
-            if not files or row.path != files[-1][1]:
-                if current:
-                    current.close()
-                files.append((f"{attempt}/{len(files)}", row.path))
-                current = _File(system.open_output_stream(f"{folder}/{len(files) - 1}"))
-            current.add(row.kind, row.field, row.json)
-        if current:
-            current.close()
-        return Staged(files)
+        number, path, current = 0, None, None
+        with system.open_output_stream(f"{folder}/{LIST}") as names:
+            for row in rows:
+                if current is None or row.path != path:
+                    if current:
+                        current.close()
+                    current, path = _File(system.open_output_stream(f"{folder}/{number}")), row.path
+                    names.write(f"{json.dumps(path)}\n".encode())
+                    number += 1
+                current.add(row.kind, row.field, row.json)
+            if current:
+                current.close()
+        return Staged(attempt)
 
     def commit(self, messages) -> None:
-        for message in messages:
-            for staged, final in message.files if message else []:
-                system, source = file_system(staged)
-                target = file_system(final)[1]
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                system.move(source, target)
-        self.abort(messages)
+        system, folder = file_system(self.staging)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{LIST}") as out:
+            out.write("\n".join(m.attempt for m in messages if m).encode())
 
     def abort(self, messages) -> None:
-        system, folder = file_system(self.staging)
-        if system.get_file_info(folder).type.name == "Directory":
-            system.delete_dir(folder)
+        delete(self.staging)
+
+
+def delete(path: str) -> None:
+    system, folder = file_system(path)
+    if system.get_file_info(folder).type.name == "Directory":
+        system.delete_dir(folder)
+
+
+def _move(staging: str, attempts: list[str]):
+    """Moves the files of attempts (their numbers come as rows) to their places; what a lost task has moved already is passed over."""
+
+    def move(system, source: str, target: str) -> None:
+        try:
+            system.move(source, target)
+        except OSError:
+            if system.get_file_info(source).type.name != "NotFound" or system.get_file_info(target).type.name != "File":
+                raise
+
+    def run(batches):
+        for batch in batches:
+            for attempt in batch.column(0).to_pylist():
+                system, folder = file_system(f"{staging}/{attempts[attempt]}")
+                number, made = -1, set()
+                with system.open_input_stream(f"{folder}/{LIST}") as names:
+                    for number, line in enumerate(io.TextIOWrapper(names, encoding="utf-8")):
+                        target = file_system(json.loads(line))[1]
+                        parent = target.rsplit("/", 1)[0]
+                        if parent not in made:
+                            system.create_dir(parent, recursive=True)
+                            made.add(parent)
+                        move(system, f"{folder}/{number}", target)
+                yield pa.RecordBatch.from_arrays([pa.array([number + 1], pa.int64())], ["files"])
+
+    return run
 
 
 class JsonFiles(DataSource):
@@ -135,7 +174,48 @@ def write_files(rows: DataFrame, folder: str, order: list) -> None:
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(JsonFiles)
     placed = rows.repartition("path").sortWithinPartitions("path", *order)
-    placed.select("path", "kind", "field", "json").write.format("json_files").mode("append").option("path", folder).save()
+    staging = f"{folder.rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    try:
+        placed.select("path", "kind", "field", "json").write.format("json_files").mode("append").option("path", staging).save()
+        system, staged = file_system(staging)
+        with system.open_input_stream(f"{staged}/{LIST}") as found:
+            attempts = found.read().decode().split()  # one a task
+        if attempts:
+            numbers = spark.range(0, len(attempts), 1, len(attempts))
+            numbers.mapInArrow(_move(staging, attempts), "files long").agg(F.sum("files")).collect()
+    finally:
+        delete(staging)
+
+
+def read_folders(folders: DataFrame) -> DataFrame:
+    """(path, content) of the files that lie in folders (folder, each once): tasks list and read them, so that no name passes through the driver.
+
+    A folder is one task's work at a time; batches end at about BATCH_BYTES.
+    """
+    spark = folders.sparkSession
+    spread = folders.select("folder").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folder")
+    return spread.mapInArrow(_contents, CONTENTS)
+
+
+def _contents(batches):
+    def batch_of(rows):
+        paths, contents = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    rows, size = [], 0
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            system, place = file_system(folder)
+            for info in system.get_file_info(fs.FileSelector(place)):
+                if info.type == fs.FileType.File:
+                    with system.open_input_stream(info.path) as stream:
+                        rows.append((f"{folder}/{info.base_name}", stream.read()))
+                    size += len(rows[-1][1])
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_FILES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+    if rows:
+        yield batch_of(rows)
 
 
 def field_rows(documents: DataFrame, fields: list[tuple[str, str]], keep: list[str]) -> DataFrame:

@@ -139,3 +139,39 @@ def test_a_document_of_many_items_is_streamed(spark, tmp_path):
     write_files(items.unionByName(start), str(tmp_path), ["at", "ord"])
     assert [i["id"] for i in json.loads((tmp_path / "big.json").read_text())["items"]] == list(range(30_000))
     assert (tmp_path / "empty.json").read_text() == json.dumps({"items": []}, indent=2)
+
+
+def test_the_driver_hears_of_folders_instead_of_files(spark, tmp_path, monkeypatch):
+    import pickle
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quernel.sources import json_files
+
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3, taskAttemptId=lambda: 8))
+    monkeypatch.setattr(json_files, "TaskContext", task)
+    rows = [SimpleNamespace(path=f"{tmp_path}/out/{n % 7}/á\n{n}.txt", kind="text", field="", json=f"text {n}") for n in range(500)]
+    message = json_files.JsonFilesWriter(f"{tmp_path}/staging").write(rows)
+    assert len(pickle.dumps(message)) < 500  # not a name for each file
+    batch = pa.RecordBatch.from_arrays([pa.array([0])], ["id"])
+    move = json_files._move(f"{tmp_path}/staging", [message.attempt])
+    for _ in range(2):  # a lost task is repeated
+        assert [b.column(0).to_pylist() for b in move([batch])] == [[500]]
+    assert {str(p): p.read_text() for p in (tmp_path / "out").rglob("*.txt")} == {r.path: r.json for r in rows}
+    (tmp_path / "out" / "0" / "á\n0.txt").unlink()
+    import pytest
+
+    with pytest.raises(OSError):  # neither staged nor in its place
+        list(move([batch]))
+
+
+def test_folders_are_read_in_tasks(spark, tmp_path):
+    from quernel.sources.json_files import read_folders
+
+    for n in range(30):
+        (tmp_path / str(n % 3)).mkdir(exist_ok=True)
+        (tmp_path / str(n % 3) / f"{n}").write_bytes(bytes([255, n]) * n)
+    (tmp_path / "0" / "below").mkdir()
+    folders = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in range(3)], "folder string")
+    assert {r["path"]: bytes(r["content"]) for r in read_folders(folders).collect()} == {f"{tmp_path}/{n % 3}/{n}": bytes([255, n]) * n for n in range(30)}
