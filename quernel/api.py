@@ -77,7 +77,7 @@ def search_locations(nodes: DataFrame, edges: DataFrame, query: str, target_type
     return {"success": True, "candidates": search.search_locations(nodes, edges, query, target_type, min_similarity)}
 
 
-def _paths(nodes: DataFrame, edges: DataFrame, start: str, wanted: list[str], access: str, optimization: str):
+def _paths(nodes: DataFrame, edges: DataFrame, start: str, wanted: list[str], access: str, optimization: str, placed: bool, paths: DataFrame | None = None):
     if access not in ACCESS:
         return _error("INVALID_ACCESS", f"unknown access {access}")
     if optimization not in OPTIMIZATION:
@@ -88,8 +88,10 @@ def _paths(nodes: DataFrame, edges: DataFrame, start: str, wanted: list[str], ac
         return _error("NODE_NOT_FOUND", "unknown nodes: " + ", ".join(unknown))
     spark = nodes.sparkSession
     targets = spark.createDataFrame([(n, i) for i, n in enumerate(wanted)], "node string, index int")
+    if paths is not None:
+        return paths, targets
     usable = routes.usable_edges(edges, access).withColumn("cost", F.col(OPTIMIZATION[optimization]))
-    return routes.shortest_paths(usable, spark.createDataFrame([(start,)], "node string"), targets), targets
+    return routes.shortest_paths(usable, spark.createDataFrame([(start,)], "node string"), targets, placed=placed), targets
 
 
 def _route(paths: DataFrame, nodes: DataFrame, edges: DataFrame, start: str, end: str, optimization: str) -> dict:
@@ -107,8 +109,12 @@ def _route(paths: DataFrame, nodes: DataFrame, edges: DataFrame, start: str, end
     }
 
 
-def find_route(nodes: DataFrame, edges: DataFrame, start: str, end: str, access: str = "car", optimization: str = "fastest_time") -> dict:
-    found = _paths(nodes, edges, start, [end], access, optimization)
+def find_route(
+    nodes: DataFrame, edges: DataFrame, start: str, end: str, access: str = "car", optimization: str = "fastest_time", placed: bool = False, paths: DataFrame | None = None,
+) -> dict:
+    """The cheapest route. For many requests: ``placed`` edges come from routes.by_source, ``paths`` from a search without targets from this start over
+    the edges and costs that the request means."""
+    found = _paths(nodes, edges, start, [end], access, optimization, placed, paths)
     if isinstance(found, dict):
         return found
     paths, _ = found
@@ -117,11 +123,11 @@ def find_route(nodes: DataFrame, edges: DataFrame, start: str, end: str, access:
     return _route(paths, nodes, edges, start, end, optimization)
 
 
-def find_recovery_route(nodes: DataFrame, edges: DataFrame, position: str, route_nodes: list[str], current_index: int, access: str = "car", optimization: str = "fastest_time") -> dict:
-    """The cheapest way back to any node of the rest of a route."""
+def find_recovery_route(nodes: DataFrame, edges: DataFrame, position: str, route_nodes: list[str], current_index: int, access: str = "car", optimization: str = "fastest_time", placed: bool = False) -> dict:
+    """The cheapest way back to any node of the rest of a route; ``placed`` as in find_route."""
     if not route_nodes or not 0 <= current_index < len(route_nodes):
         return _error("INVALID_RECOVERY_INPUT", "current index is outside the route")
-    found = _paths(nodes, edges, position, route_nodes[current_index:], access, optimization)
+    found = _paths(nodes, edges, position, route_nodes[current_index:], access, optimization, placed)
     if isinstance(found, dict):
         return found
     paths, targets = found

@@ -18,10 +18,15 @@ def usable_edges(edges: DataFrame, access: str) -> DataFrame:
 COMPACT_AFTER = 32  # rounds whose improvements are kept apart
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None, delta: int | None = None) -> DataFrame:
+def by_source(edges: DataFrame) -> DataFrame:
+    """``edges`` written in buckets by source, which several searches with ``placed`` read instead of writing their own."""
+    return bucketed(edges, "source")
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None, delta: int | None = None, placed: bool = False) -> DataFrame:
     """(node, cost, hops, via, prev): cheapest cost from the nearest of ``starts`` (node) over ``edges`` (edge_id, source, target, cost >= 0).
 
-    Edges are written once, in buckets by source, so that no round shuffles them. A round relaxes the edges of the open nodes, and
+    Edges are written once, in buckets by source, so that no round shuffles them; with ``placed`` they come from by_source, filtered at most. A round relaxes the edges of the open nodes, and
     one aggregate over what they offer and what is known gives the nodes that improve; only these are written (distances are the least
     of all rounds), in the shared folder, which keeps plans short and survives lost executors. With ``delta`` a round relaxes only open nodes that
     cost at most ``delta`` more than the cheapest open one, which saves detours over costs that don't last; without it all of them.
@@ -30,7 +35,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
     """
     fields = ["cost", "hops", "via", "prev"]
     kind = starts.schema["node"].dataType
-    links = bucketed(edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", F.col("cost").cast("long").alias("step")), "source")
+    links = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", F.col("cost").cast("long").alias("step"))
     first = starts.select("node", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(kind).alias("prev"), F.lit(True).alias("fresh")).distinct()
     wanted = None if targets is None else targets.select("node").distinct()
 
@@ -58,6 +63,8 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
         bound = None if wanted is None else known.join(wanted, "node", "left_semi").agg(F.min("cost")).first()[0]
         if bound is not None and least >= bound:
             break
+        if not placed:
+            links, placed = bucketed(links, "source"), True
         now, later = opened, None
         if delta is not None:
             now, later = opened.filter(F.col("cost") <= least + delta), opened.filter(F.col("cost") > least + delta)

@@ -30,9 +30,8 @@ def part_graph(spark, sf, cost: str = "quantity"):
     usable = routes.usable_edges(lines, "N")
     least = usable.groupBy("s", "p").agg(F.min(cost).alias("cost"))
     edge = F.concat_ws("-", "s", "p")
-    return least.select(edge.alias("edge_id"), F.col("s").alias("source"), F.col("p").alias("target"), "cost").unionByName(
-        least.select(edge.alias("edge_id"), F.col("p").alias("source"), F.col("s").alias("target"), "cost")
-    )
+    ends = F.array(F.struct(F.col("s").alias("source"), F.col("p").alias("target")), F.struct(F.col("p").alias("source"), F.col("s").alias("target")))
+    return least.select(edge.alias("edge_id"), F.inline(ends), "cost")
 
 
 SSSP_SQL = """
@@ -335,11 +334,12 @@ def route_answers(spark, sf):
     """Routes from supplier 0 by the service entry points: to the part that is farthest away, to itself, to an unknown node, by no access mode,
     and back to the nearest part. Steps have to follow each other from start to end and add up to the total."""
     lines = part_graph(spark, sf).select(F.concat_ws(">", "source", "target").alias("edge_id"), F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.col("cost").alias("distance"), F.lit(1).cast("long").alias("time"))
-    lines = materialize(lines.withColumns({"status": F.lit("open"), "access": F.array(F.lit("car")), "heading": F.lit(90), "toll": F.lit(False), "road_name": F.lit("r")}), "edges")
+    lines = routes.by_source(lines.withColumns({"status": F.lit("open"), "access": F.array(F.lit("car")), "heading": F.lit(90), "toll": F.lit(False), "road_name": F.lit("r")}))
     suppliers = table(spark, sf, "supplier").select((F.col("s_suppkey") * 2 + 1).cast("string").alias("node_id"))
     parts = table(spark, sf, "part").select((F.col("p_partkey") * 2).cast("string").alias("node_id"))
     nodes = materialize(suppliers.unionByName(parts).withColumn("name", F.concat(F.lit("n"), "node_id")), "nodes")
-    paths = routes.shortest_paths(lines.withColumn("cost", F.col("distance")), spark.sql("SELECT '1' AS node"))
+    usable = routes.usable_edges(lines, "car").withColumn("cost", F.col("distance"))
+    paths = materialize(routes.shortest_paths(usable, spark.sql("SELECT '1' AS node"), placed=True), "paths")  # answers all routes from there
     to_parts = materialize(paths.join(parts.withColumnRenamed("node_id", "node"), "node").select("node", "cost"), "to_parts")
     far = to_parts.orderBy(F.desc("cost"), F.col("node").cast("long")).first()["node"]
     near = [r["node"] for r in to_parts.orderBy("cost", F.col("node").cast("long")).limit(20).collect()]  # the rest of a route
@@ -351,7 +351,7 @@ def route_answers(spark, sf):
         chain = [found["start"], *[s["target"] for s in steps]]
         return (answer, found["total_distance"], chain[:-1] == [s["source"] for s in steps] and chain[-1] == found["end"] and all(s["to_node"]["id"] == s["target"] for s in steps), sum(s["distance"] for s in steps) == found["total_distance"])
 
-    ask = lambda end, access="car": api.find_route(nodes, lines, "1", end, access, "shortest_distance")
-    back = api.find_recovery_route(nodes, lines, "1", ["3", *near], 1, "car", "shortest_distance")
+    ask = lambda end, access="car": api.find_route(nodes, lines, "1", end, access, "shortest_distance", True, paths)
+    back = api.find_recovery_route(nodes, lines, "1", ["3", *near], 1, "car", "shortest_distance", True)
     out = [row("found", ask(far)), row("same", ask("1")), row("", ask("x")), row("", ask(far, "boat")), row("recovered", back)]
     return spark.createDataFrame(out, "answer string, total long, ends_meet boolean, adds_up boolean")

@@ -62,3 +62,21 @@ def test_route_answer(spark, tmp_path):
     assert [(r["from_node"]["id"], r["to_node"]["name"], r["edge_id"], r["turn"]) for r in steps] == [("A", "b", "AB", "start"), ("B", "c", "BC", "right")]
     same = api.find_route(nodes, edges, "A", "A")
     assert (same["success"], same["total_distance"], same["steps"].count(), same["warnings"]) == (True, 0, 0, [])
+
+
+def test_searches_share_placed_edges_and_paths(spark, monkeypatch):
+    from quernel.operators import routes
+
+    written, searched = [], []
+    write, search = routes.bucketed, routes.shortest_paths
+    monkeypatch.setattr(routes, "bucketed", lambda df, key: written.append(key) or write(df, key))
+    monkeypatch.setattr(routes, "shortest_paths", lambda *a, **k: searched.append(1) or search(*a, **k))
+    table = routes.by_source(edges(spark, COST).selectExpr("*", "10 AS heading"))
+    nodes = spark.createDataFrame([("A", "a"), ("B", "b"), ("C", "c"), ("D", "d")], "node_id string, name string")
+    paths = routes.shortest_paths(routes.usable_edges(table, "car").withColumn("cost", table["distance"]), nodes.filter("node_id = 'A'").selectExpr("node_id AS node"), placed=True)
+    found = api.find_route(nodes, table, "A", "B", "car", "shortest_distance", True, paths)
+    assert [r["edge_id"] for r in found["steps"].orderBy("index").collect()] == ["AC", "CB"]
+    assert api.find_route(nodes, table, "A", "D", "car", "shortest_distance", True, paths)["errorCode"] == "NO_ROUTE"
+    back = api.find_recovery_route(nodes, table, "A", ["A", "B"], 1, "car", "shortest_distance", True)
+    assert (back["end"], back["total_distance"], back["resume_index"]) == ("B", found["total_distance"], 1)
+    assert (written, len(searched)) == (["source"], 2)
