@@ -6,6 +6,7 @@ that opens the document level by level, so that a document is checked in its row
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ def error(place: Column, message: Column | str) -> Column:
     return F.array(F.struct(place.alias("place"), (F.lit(message) if isinstance(message, str) else message).alias("message"))).cast(ERROR)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def violations(value: Column, schema, place: Column | None = None) -> Column:
     """An array of (place, message) for a VARIANT; places are dotted, without one for the document itself. Messages are fixed wording."""
     kind = F.schema_of_variant(value)  # null if there is no value, VOID for a JSON null
@@ -79,5 +85,5 @@ def violations(value: Column, schema, place: Column | None = None) -> Column:
     for name, kept in schema.fields.items():
         found = F.try_variant_get(value, f"$.{name}", "variant")
         missing = none() if name in schema.optional else error(inside(F.lit(name)), "Field required")
-        parts.append(F.when(F.schema_of_variant(found).isNull(), missing).otherwise(violations(found, kept, inside(F.lit(name)))))
+        parts.append(once(found, lambda v: F.when(F.schema_of_variant(v).isNull(), missing).otherwise(violations(v, kept, inside(F.lit(name))))))
     return F.when(F.startswith(kind, F.lit("OBJECT")), F.concat(*parts)).otherwise(error(here, f"Input should be a valid dictionary or instance of {schema.name}"))

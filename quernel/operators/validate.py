@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.values import fits_range
-from quernel.operators.schema import Items, Model, Number, Object, Text, error, violations
+from quernel.operators.schema import Items, Model, Number, Object, Text, error, once, violations
+from quernel.session import materialize
 
 RULE_TYPES = {"pskg:hasEligibilityRule": "ELIGIBILITY", "pskg:hasSalesConditionRule": "SALES_CONDITION", "pskg:governedByPolicy": "POLICY"}  # fixed values
 COLUMNS = ["patch_id", "phase", "ord", "step", "subject", "code", "message"]
@@ -186,22 +187,29 @@ SCHEMA = Model("GraphPatch", {
 }, ["warnings"])  # fixed values
 
 
+def _misfits(document: Column) -> Column:
+    """Array of (place, message) of what doesn't fit the schema of patches."""
+    is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    return once(F.try_parse_json(document), lambda v: F.when(is_object(v), violations(v, SCHEMA)).otherwise(error(F.lit(""), "not a JSON object")))
+
+
 def schema_errors(documents: DataFrame) -> DataFrame:
     """(patch_id, ord, place, message) of what doesn't fit the schema of patches given as JSON text (patch_id, document)."""
-    variant = F.try_parse_json("document")
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(variant), F.lit("OBJECT")), F.lit(False))
-    found = F.when(is_object, violations(variant, SCHEMA)).otherwise(error(F.lit(""), "not a JSON object"))
-    return documents.select("patch_id", F.posexplode(found).alias("ord", "e")).select("patch_id", "ord", "e.place", "e.message")
+    return documents.select("patch_id", F.posexplode(_misfits(F.col("document"))).alias("ord", "e")).select("patch_id", "ord", "e.place", "e.message")
 
 
-def parse_patches(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and schema errors (patch_id, ord, place, message) of patches given as JSON text (patch_id, document)."""
-    rows = documents.select("patch_id", F.from_json("document", PATCH).alias("p"))
+def _opened(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of parsed patches (patch_id, p)."""
     parts = {kind: rows.select("patch_id", F.posexplode(f"p.{kind}").alias("ord", "item")) for kind in ("nodes", "edges")}
-    errors = schema_errors(documents)
     nodes = parts["nodes"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.tempId").alias("temp_id"), F.col("item.className").alias("class_name"), F.try_parse_json(F.coalesce("item.properties", F.lit("{}"))).alias("properties"), F.coalesce("item.properties", F.lit("{}")).alias("properties_json"), F.col("item.evidence").alias("evidence"))
     edges = parts["edges"].select("patch_id", F.col("ord").cast("long").alias("ord"), F.col("item.edgeName").alias("edge_name"), F.col("item.sourceTempId").alias("source_temp_id"), F.col("item.targetTempId").alias("target_temp_id"))
-    return nodes, edges, errors
+    return nodes, edges
+
+
+def parse_patches(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and schema errors (patch_id, ord, place, message) of patches given as JSON text (patch_id, document)."""
+    nodes, edges = _opened(documents.select("patch_id", F.from_json("document", PATCH).alias("p")))
+    return nodes, edges, schema_errors(documents)
 
 
 def patch_envelopes(documents: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
@@ -209,16 +217,17 @@ def patch_envelopes(documents: DataFrame, classes: DataFrame, properties: DataFr
 
     A patch that doesn't fit the schema has its "place: message" errors and counts of 0; others are checked against the ontology, errors in the
     order of nodes, edges and cardinalities. A patch is one row already, so its errors are one too; for patches that are tables
-    take validate_patches, whose violations stay rows.
+    take validate_patches, whose violations stay rows. Documents are parsed and held against the schema once, in their rows, and what comes of it
+    is written: the checks read it several times.
     """
-    nodes, edges, errors = parse_patches(documents)
-    broken = errors.groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(": ", F.nullif("place", F.lit("")), "message").alias("message")))).getField("message").alias("schema_errors"))
-    sound = documents.select("patch_id").join(broken.select("patch_id"), "patch_id", "left_anti")
-    nodes, edges = nodes.join(sound, "patch_id", "left_semi"), edges.join(sound, "patch_id", "left_semi")
+    said = F.transform(_misfits(F.col("document")), lambda e: F.concat_ws(": ", F.nullif(e["place"], F.lit("")), e["message"]))
+    parsed = materialize(documents.select("patch_id", said.alias("schema_errors"), F.from_json("document", PATCH).alias("p")), "patches")
+    fits = F.size("schema_errors") == 0
+    nodes, edges = _opened(parsed.filter(fits))
     found = validate_patches(nodes, edges, classes, properties).groupBy("patch_id")
     found = found.agg(F.array_sort(F.collect_list(F.struct("phase", "ord", "step", "message"))).getField("message").alias("found"))
-    size = lambda path: F.coalesce(F.size(F.from_json("document", PATCH).getField(path)), F.lit(0)).cast("long")
-    rows = documents.join(broken, "patch_id", "left").join(found, "patch_id", "left")
-    said = F.coalesce("schema_errors", "found", F.array().cast("array<string>"))
-    count = lambda path: F.when(F.col("schema_errors").isNull(), F.greatest(size(path), F.lit(0))).otherwise(0).cast("long")
-    return rows.select("patch_id", (F.size(said) == 0).alias("valid"), said.alias("errors"), count("nodes").alias("nodeCount"), count("edges").alias("edgeCount"), count("warnings").alias("warningCount"))
+    count = lambda part: F.when(fits, F.greatest(F.coalesce(F.size(f"p.{part}"), F.lit(0)), F.lit(0))).otherwise(0).cast("long")
+    rows = parsed.select("patch_id", "schema_errors", count("nodes").alias("nodeCount"), count("edges").alias("edgeCount"), count("warnings").alias("warningCount"))
+    errors = F.when(F.size("schema_errors") > 0, F.col("schema_errors")).otherwise(F.coalesce("found", F.array().cast("array<string>")))
+    rows = rows.join(found, "patch_id", "left").withColumn("errors", errors)
+    return rows.select("patch_id", (F.size("errors") == 0).alias("valid"), "errors", "nodeCount", "edgeCount", "warningCount")

@@ -245,7 +245,9 @@ def patch_envelopes(spark, sf):
     document = F.lit(None).cast("string")
     for number, text_ in texts.items():
         document = F.when(k == number, F.replace(F.lit(text_), F.lit("{t}"), name)).otherwise(document)
-    documents = table(spark, sf, "customer").select(F.col("c_custkey").alias("patch_id"), document.alias("document"))
+    # keys are small and the checks of a document are not: spread before the texts are made
+    keys = table(spark, sf, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    documents = keys.select(F.col("c_custkey").alias("patch_id"), document.alias("document"))
     item = "technical_name string, name string"
     classes = spark.createDataFrame([("e:Part", "part", [])], f"{item}, rules array<struct<property: string, operator: string, value: string, qualifier: string>>")
     properties = spark.createDataFrame([("property", "e:code", "code", ["part"], ["xsd:string"]), ("edge", "e:near", "near", ["part"], ["part"])], f"kind string, {item}, domain array<string>, range array<string>")

@@ -285,6 +285,23 @@ def test_patch_documents(spark):
     assert found[2][0] is False and found[2][1][0] == "nodes.0.tempId: Field required" and found[2][2:] == (0, 0, 0)
 
 
+def test_patch_documents_are_parsed_once(spark):
+    node = {"tempId": "p", "className": "pskg:Ghost", "properties": {}, **EVIDENCE}
+    rows = [(1, json.dumps({"nodes": [node], "edges": []})), (2, json.dumps({"nodes": [], "edges": []})), (3, "{}"), (None, "[1")]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(document):
+        read.add(1)
+        return document
+
+    documents = spark.createDataFrame(rows, "patch_id int, document string").withColumn("document", counted.asNondeterministic()("document"))
+    found = {r["patch_id"]: tuple(r)[1:] for r in validate.patch_envelopes(documents, *mini(spark)).collect()}
+    assert found[1] == (False, ["Node p: Unknown ontology class: pskg:Ghost"], 1, 0, 0) and found[2] == (True, [], 0, 0, 0)
+    assert found[3] == (False, ["nodes: Field required", "edges: Field required"], 0, 0, 0) and found[None] == (False, ["not a JSON object"], 0, 0, 0)
+    assert read.value == len(rows)
+
+
 CASES = [  # (what is wrong, where, message)
     ({"tempId": 7}, "nodes.0.tempId", "Input should be a valid string"), ({"className": None}, "nodes.0.className", "Input should be a valid string"), ({"properties": []}, "nodes.0.properties", "Input should be a valid dictionary"),
     ({"evidence": {}}, "nodes.0.evidence", "Input should be a valid list"), ({"evidence": [1]}, "nodes.0.evidence.0", "Input should be a valid dictionary or instance of Evidence"),
