@@ -105,7 +105,7 @@ def _route(paths: DataFrame, nodes: DataFrame, edges: DataFrame, start: str, end
         warnings = (routes.first_seen(tolls, "route", "index", "warning").first() or {"values": []})["values"]
     return {
         "success": True, "route_id": str(uuid.uuid4()), "start": start, "end": end, "optimization": optimization, "total_distance": totals["total_distance"] if totals else 0,
-        "total_time": totals["total_time"] if totals else 0, "warnings": warnings, "steps": routes.with_nodes(steps.drop("route"), nodes),
+        "total_time": totals["total_time"] if totals else 0, "warnings": warnings, "steps": routes.with_nodes(steps.drop("route"), nodes, count=steps.count()),
     }
 
 

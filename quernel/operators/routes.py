@@ -16,6 +16,13 @@ def usable_edges(edges: DataFrame, access: str) -> DataFrame:
 
 
 COMPACT_AFTER = 32  # rounds whose improvements are kept apart
+BROADCAST_ROWS = 50_000  # about 8 MB of nodes or steps in the driver's memory
+
+
+def sized(rows: DataFrame, count: int, otherwise: str = "merge") -> DataFrame:
+    """``rows`` for a join with many others: broadcast by their known ``count``. Spark would judge by the bytes of files, but ids in order take
+    3 bytes there and 150 on the driver, which builds what is broadcast."""
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows.hint(otherwise)
 
 
 def by_source(edges: DataFrame) -> DataFrame:
@@ -37,7 +44,9 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
     kind = starts.schema["node"].dataType
     links = edges.select(F.col("edge_id").cast("string").alias("edge_id"), "source", "target", F.col("cost").cast("long").alias("step"))
     first = starts.select("node", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(kind).alias("prev"), F.lit(True).alias("fresh")).distinct()
-    wanted = None if targets is None else targets.select("node").distinct()
+    if targets is not None:
+        wanted = materialize(targets.select("node").distinct(), "wanted")
+        wanted = sized(wanted, wanted.count())
 
     spark, folder, rounds = edges.sparkSession, new_folder(edges.sparkSession), []
 
@@ -60,7 +69,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
         if done == max_rounds:
             raise RuntimeError("paths did not settle")
         known = spark.read.schema(first.schema).parquet(*rounds).filter("fresh").select("node", *fields)
-        bound = None if wanted is None else known.join(wanted, "node", "left_semi").agg(F.min("cost")).first()[0]
+        bound = None if targets is None else known.join(wanted, "node", "left_semi").agg(F.min("cost")).first()[0]
         if bound is not None and least >= bound:
             break
         if not placed:
@@ -68,6 +77,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
         now, later = opened, None
         if delta is not None:
             now, later = opened.filter(F.col("cost") <= least + delta), opened.filter(F.col("cost") > least + delta)
+        now = sized(now, count, "shuffle_hash")  # each node once, so the parts are even, and edges aren't sorted
         offers = now.join(links, now["node"] == links["source"]).select(
             F.col("target").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("edge_id").alias("via"), F.col("source").alias("prev"), F.lit("offer").alias("is")
         )
@@ -98,25 +108,26 @@ def route(paths: DataFrame, target) -> DataFrame:
     nodes = paths.count()
     jumps = paths.filter("via IS NOT NULL").select("node", F.col("prev").alias("up"))
     on_path = materialize(paths.filter(F.col("node") == F.lit(target)).select("node", F.lit(0).cast("long").alias("back")), "on_path")
-    length = 1
+    count, length = on_path.count(), 1
     while True:
-        more = materialize(on_path.join(jumps, "node").select(F.col("up").alias("node"), (F.col("back") + length).alias("back")), "more")
-        if more.isEmpty():
+        more = materialize(sized(on_path, count).join(jumps, "node").select(F.col("up").alias("node"), (F.col("back") + length).alias("back")), "more")
+        added = more.count()
+        if not added:
             break
-        length *= 2
+        count, length = count + added, length * 2
         if length > 2 * nodes:
             raise RuntimeError("the pointers of the paths run in a circle")
         on_path = materialize(on_path.unionByName(more), "on_path")
-        further = jumps.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        further = jumps.select(F.col("node").alias("up"), F.col("up").alias("next")).hint("merge")
         jumps = materialize(jumps.join(further, "up").select("node", F.col("next").alias("up")), "jumps")
-    last = on_path.agg(F.max("back").alias("last"))
-    steps = on_path.crossJoin(F.broadcast(last)).join(paths.filter("via IS NOT NULL"), "node")
-    return steps.select((F.col("last") - 1 - F.col("back")).cast("int").alias("index"), F.col("via").alias("edge_id"), F.col("prev").alias("source"), F.col("node").alias("target"))
+    steps = sized(on_path, count).join(paths.filter("via IS NOT NULL"), "node")  # all nodes of the path but the first
+    steps = steps.select((count - 2 - F.col("back")).cast("int").alias("index"), F.col("via").alias("edge_id"), F.col("prev").alias("source"), F.col("node").alias("target"))
+    return sized(materialize(steps, "route"), count)
 
 
 def nearest_target(paths: DataFrame, targets: DataFrame) -> DataFrame:
     """The cheapest of ``targets`` (node, index): one row (node, cost, index), the first index of a node that occurs often."""
-    first = targets.groupBy("node").agg(F.min("index").alias("index"))
+    first = targets.groupBy("node").agg(F.min("index").alias("index")).hint("merge")
     return paths.join(first, "node").select("node", "cost", "index").orderBy("cost", "index").limit(1)
 
 
@@ -131,9 +142,15 @@ def with_turns(steps: DataFrame, route_col: str, order_col: str, heading_col: st
     return steps.withColumn("turn", turn(before, F.col(heading_col)))
 
 
-def with_nodes(steps: DataFrame, nodes: DataFrame, id_col: str = "node_id") -> DataFrame:
-    """``steps`` (source, target, ...) with ``from_node`` and ``to_node``: the id and all fields of both nodes."""
+def with_nodes(steps: DataFrame, nodes: DataFrame, id_col: str = "node_id", count: int | None = None) -> DataFrame:
+    """``steps`` (source, target, ...) with ``from_node`` and ``to_node``: the id and all fields of both nodes. ``count``: the number of
+    steps of a route, by which the join is chosen."""
     payload = nodes.select(F.col(id_col).alias("__id"), F.struct(F.col(id_col).alias("id"), *[F.col(c) for c in nodes.columns if c != id_col]).alias("__node"))
+    if count is not None and 2 * count > BROADCAST_ROWS:
+        payload = payload.hint("merge")
+    elif count is not None:
+        ends = steps.select(F.explode(F.array("source", "target")).alias("__id")).distinct()
+        payload = F.broadcast(payload.join(F.broadcast(ends), "__id", "left_semi"))
     for end, name in (("source", "from_node"), ("target", "to_node")):
         steps = steps.join(payload.withColumnsRenamed({"__id": end, "__node": name}), end, "left")
     return steps

@@ -340,16 +340,21 @@ def route_answers(spark, sf):
     nodes = materialize(suppliers.unionByName(parts).withColumn("name", F.concat(F.lit("n"), "node_id")), "nodes")
     usable = routes.usable_edges(lines, "car").withColumn("cost", F.col("distance"))
     paths = materialize(routes.shortest_paths(usable, spark.sql("SELECT '1' AS node"), placed=True), "paths")  # answers all routes from there
-    to_parts = materialize(paths.join(parts.withColumnRenamed("node_id", "node"), "node").select("node", "cost"), "to_parts")
+    to_parts = materialize(paths.join(parts.withColumnRenamed("node_id", "node").hint("merge"), "node").select("node", "cost"), "to_parts")
     far = to_parts.orderBy(F.desc("cost"), F.col("node").cast("long")).first()["node"]
     near = [r["node"] for r in to_parts.orderBy("cost", F.col("node").cast("long")).limit(20).collect()]  # the rest of a route
 
     def row(answer: str, found: dict):
         if not found["success"]:
             return (found["errorCode"], None, None, None)
-        steps = found["steps"].orderBy("index").collect()  # one route
-        chain = [found["start"], *[s["target"] for s in steps]]
-        return (answer, found["total_distance"], chain[:-1] == [s["source"] for s in steps] and chain[-1] == found["end"] and all(s["to_node"]["id"] == s["target"] for s in steps), sum(s["distance"] for s in steps) == found["total_distance"])
+        steps = materialize(found["steps"], "answer")
+        count = steps.count()
+        before = steps.select((F.col("index") + 1).alias("index"), F.col("target").alias("left"))
+        begins = F.col("source") == F.when(F.col("index") == 0, F.lit(found["start"])).otherwise(F.col("left"))
+        arrives = (F.col("index") < count - 1) | ((F.col("index") == count - 1) & (F.col("target") == found["end"]))
+        meets = F.min(F.coalesce(begins & arrives & (F.col("to_node.id") == F.col("target")), F.lit(False)))
+        seen = steps.join(routes.sized(before, count), "index", "left").agg(meets.alias("meets"), F.coalesce(F.sum("distance"), F.lit(0)).alias("distance")).first()
+        return (answer, found["total_distance"], seen["meets"] if count else found["start"] == found["end"], seen["distance"] == found["total_distance"])
 
     ask = lambda end, access="car": api.find_route(nodes, lines, "1", end, access, "shortest_distance", True, paths)
     back = api.find_recovery_route(nodes, lines, "1", ["3", *near], 1, "car", "shortest_distance", True)

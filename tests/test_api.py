@@ -1,7 +1,9 @@
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from quernel import api
 from quernel.operators.recipes import DISH
+from quernel.session import materialize
 from tests.test_operators import COST, edges
 
 
@@ -80,3 +82,51 @@ def test_searches_share_placed_edges_and_paths(spark, monkeypatch):
     back = api.find_recovery_route(nodes, table, "A", ["A", "B"], 1, "car", "shortest_distance", True)
     assert (back["end"], back["total_distance"], back["resume_index"]) == ("B", found["total_distance"], 1)
     assert (written, len(searched)) == (["source"], 2)
+
+
+def listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def executions(spark) -> set[int]:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return {x.executionId() for x in listed(spark._jsparkSession.sharedState().statusStore().executionsList())}
+
+
+def broadcast_rows(spark, ran_before: set[int]) -> list[int]:
+    """Rows of what SQL executions broadcast, but for those that ``ran_before``."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), []
+    for ran in executions(spark) - ran_before:
+        values = store.executionMetrics(ran)
+        for node in listed(store.planGraph(ran).allNodes()):
+            if node.name() == "BroadcastExchange":
+                found = [values.get(m.accumulatorId()) for m in listed(node.metrics()) if m.name() == "number of output rows"]
+                rows += [int(v.get().replace(",", "")) for v in found if v.isDefined()]
+    return rows
+
+
+def test_no_table_of_nodes_is_broadcast(spark):
+    """Ids in order are a few bytes each in files, below Spark's threshold, and far more where the driver builds a broadcast."""
+    n = 60_000
+    leaves = spark.range(n).select(F.concat(F.lit("L"), "id").alias("leaf"))
+    more = {"distance": F.lit(1).cast("long"), "time": F.lit(1).cast("long"), "status": F.lit("open"), "access": F.array(F.lit("car")), "heading": F.lit(10)}
+    table = leaves.select(F.col("leaf").alias("edge_id"), F.lit("A").alias("source"), F.col("leaf").alias("target")).union(spark.sql("SELECT 'last', 'L7', 'Z'")).withColumns(more)
+    nodes = materialize(leaves.union(spark.sql("SELECT * FROM VALUES ('A'), ('Z')")).select(F.col("leaf").alias("node_id"), F.concat(F.lit("n"), "leaf").alias("name")))
+    before = executions(spark)
+    found = api.find_route(nodes, table, "A", "Z", "car", "shortest_distance")
+    steps = found["steps"].orderBy("index").collect()
+    assert [(r["edge_id"], r["from_node"]["name"], r["to_node"]["name"]) for r in steps] == [("L7", "nA", "nL7"), ("last", "nL7", "nZ")]
+    assert found["total_distance"] == 2
+    assert max(broadcast_rows(spark, before)) <= 50_000
+
+
+def test_routes_without_broadcasts(spark, monkeypatch):
+    from quernel.operators import routes
+
+    monkeypatch.setattr(routes, "BROADCAST_ROWS", -1)
+    table = edges(spark, COST).selectExpr("*", "10 AS heading")
+    nodes = spark.createDataFrame([("A", "a"), ("B", "b"), ("C", "c")], "node_id string, name string")
+    found = api.find_route(nodes, table, "A", "B", "car", "shortest_distance")
+    steps = found["steps"].orderBy("index").collect()
+    assert [(r["edge_id"], r["from_node"]["name"], r["to_node"]["name"], r["turn"]) for r in steps] == [("AC", "a", "c", "start"), ("CB", "c", "b", "straight")]
+    assert api.find_recovery_route(nodes, table, "A", ["A", "C", "B"], 1, "car", "shortest_distance")["end"] == "C"
